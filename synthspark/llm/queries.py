@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .common import table
+from .mixing import op6_mixing
 from .sharding import op7_sharding
 
 
 def queries() -> dict:
     return {
+        "op6_mixing": lambda spark, d: op6_mixing(table(spark, d, "documents")),
         "op7_sharding": lambda spark, d: op7_sharding(table(spark, d, "documents")),
     }
 
