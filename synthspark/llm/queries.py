@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .language_id import op8_language_id
 from .mixing import op6_mixing
 from .sharding import op7_sharding
 
@@ -11,6 +12,7 @@ def queries() -> dict:
     return {
         "op6_mixing": lambda spark, d: op6_mixing(table(spark, d, "documents")),
         "op7_sharding": lambda spark, d: op7_sharding(table(spark, d, "documents")),
+        "op8_language_id": lambda spark, d: op8_language_id(table(spark, d, "documents")),
     }
 
 
