@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .decontamination import OP5_SQL, op5_decontamination
 from .language_id import op8_language_id
 from .mixing import op6_mixing
 from .sharding import op7_sharding
@@ -10,6 +11,7 @@ from .sharding import op7_sharding
 
 def queries() -> dict:
     return {
+        "op5_decontamination": lambda spark, d: op5_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op6_mixing": lambda spark, d: op6_mixing(table(spark, d, "documents")),
         "op7_sharding": lambda spark, d: op7_sharding(table(spark, d, "documents")),
         "op8_language_id": lambda spark, d: op8_language_id(table(spark, d, "documents")),
@@ -17,4 +19,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontamination": OP5_SQL,
+    }
