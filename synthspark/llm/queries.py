@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .decontamination import OP5_SQL, op5_decontamination
+from .jaccard_join import OP3_SQL, op3_jaccard_join
 from .language_id import op8_language_id
 from .mixing import op6_mixing
 from .quality_rules import op2_quality_rules
@@ -13,6 +14,7 @@ from .sharding import op7_sharding
 def queries() -> dict:
     return {
         "op2_quality_rules": lambda spark, d: op2_quality_rules(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op3_jaccard_join": lambda spark, d: op3_jaccard_join(table(spark, d, "documents")),
         "op5_decontamination": lambda spark, d: op5_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op6_mixing": lambda spark, d: op6_mixing(table(spark, d, "documents")),
         "op7_sharding": lambda spark, d: op7_sharding(table(spark, d, "documents")),
@@ -23,5 +25,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": lambda spark, d: op2_quality_rules(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op3_jaccard_join": OP3_SQL,
         "op5_decontamination": OP5_SQL,
     }
