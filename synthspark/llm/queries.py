@@ -7,6 +7,7 @@ from .decontamination import OP5_SQL, op5_decontamination
 from .jaccard_join import OP3_SQL, op3_jaccard_join
 from .language_id import op8_language_id
 from .mixing import op6_mixing
+from .personal_data import op10_personal_data
 from .quality_rules import op2_quality_rules
 from .repeated_bytes import op9_repeated_bytes
 from .sharding import op7_sharding
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op7_sharding": lambda spark, d: op7_sharding(table(spark, d, "documents")),
         "op8_language_id": lambda spark, d: op8_language_id(table(spark, d, "documents")),
         "op9_repeated_bytes": lambda spark, d: op9_repeated_bytes(table(spark, d, "documents")),
+        "op10_personal_data": lambda spark, d: op10_personal_data(table(spark, d, "documents")),
     }
 
 
