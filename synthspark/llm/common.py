@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
+#: Ids are broadcast up to so many (16 bytes each).
+BROADCAST_IDS = 4_000_000
 _LOCAL: dict[str, str] = {}
 
 
@@ -54,3 +56,14 @@ def word_count(text: Column) -> Column:
 def root_bits(n: int, least: int = 6) -> int:
     """Bits of a hash that deal ``n`` rows into about sqrt(n) cells."""
     return max(least, (max(1, n).bit_length() + 1) // 2)
+
+
+def with_lists(docs: DataFrame, lists: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(documents joined with their row of ``lists``, documents that have none).
+
+    Up to ``BROADCAST_IDS`` ids are broadcast, so that the other texts are not shuffled.
+    """
+    ids = lists.select(id_col)
+    if lists.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), id_col, "left_semi").join(lists, id_col), docs.join(F.broadcast(ids), id_col, "left_anti")
+    return docs.join(lists, id_col), docs.join(ids, id_col, "left_anti")

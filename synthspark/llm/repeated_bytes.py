@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import with_lists, written
 
 LENGTH, GRAM = 50, 16
 _WINDOW = LENGTH - GRAM + 1
@@ -32,8 +32,6 @@ _HALF = (_WINDOW + 1) // 2 - 1
 _PIECE = 2_000_000
 #: Bytes of text for each bucket, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 4_000_000, 1 << 16
-#: Ids are broadcast up to so many (16 bytes each); beyond, all texts are shuffled.
-BROADCAST_IDS = 4_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -324,14 +322,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(texts[i].as_py() or b"") for i in range(len(texts))], pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas, pa.string()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _with(docs: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with their lists, documents without one); small sets of ids spare the other texts the shuffle."""
-    ids = lists.select("doc_id")
-    if lists.count() <= BROADCAST_IDS:
-        return docs.join(F.broadcast(ids), "doc_id", "left_semi").join(lists, "doc_id"), docs.join(F.broadcast(ids), "doc_id", "left_anti")
-    return docs.join(lists, "doc_id"), docs.join(ids, "doc_id", "left_anti")
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row of ``docs``.
 
@@ -348,10 +338,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = written(known.mapInArrow(_spans_by_bucket(buckets), _BLOBS).groupBy("bucket").applyInArrow(_settle_spans, _FOUND), "repeat-spans")
     pack = F.collect_list(F.struct("first", "n", "back", "sides")).alias("found")
     open_ = written(spans.where("sides > 0").groupBy("doc_id").agg(pack), "repeat-open")
-    rows, _ = _with(known, open_)
+    rows, _ = with_lists(known, open_)
     more = rows.select("doc_id", "t", "found").mapInArrow(_windows_by_bucket(buckets), _BLOBS).groupBy("bucket").applyInArrow(_settle_windows, _FOUND)
     lists = written(spans.where("sides = 0").unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("found")), "repeat-found")
-    rows, rest = _with(own, lists)
+    rows, rest = with_lists(own, lists)
     cut = rows.select("doc_id", "t", "found").mapInArrow(_cut, f"doc_id long, n_bytes long, {_REST}")
     none = rest.select("doc_id", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("t", F.lit(b"")), 256).alias("kept_sha256"), F.array().cast("array<struct<a:long,b:long>>").alias("spans"))
     return cut.unionByName(none)
