@@ -1,0 +1,366 @@
+"""Operators against brute force on small tables with awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import types as T
+
+from synthspark.llm import chat_formatting, decontamination, jaccard_join, language_id, line_dedup, mixing, personal_data, quality_rules, repeated_bytes, sharding
+from synthspark.llm.components import components
+
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("size", T.StringType()), T.StructField("kind", T.StringType())])
+SPACES = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def frame(spark, texts, sources=None):
+    rows = [(i, t, None if i % 7 == 3 else "en", (sources or {}).get(i, f"s{i % 3}" if i % 5 else None), None if t is None else len(t), "clash", None) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)] + ["École", "über", "NIÑO", "Straße"]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    base = [make(rng.randint(1, 120)) for _ in range(25)]
+    passage = make(70)
+    near = []
+    for t in base[:8]:
+        w = t.split()
+        for _ in range(max(1, len(w) // 30)):
+            w[rng.randrange(len(w))] = "edit"
+        near.append(" ".join(w))
+    long = " ".join(make(40) for _ in range(60)) + "\n" + passage
+    lines = "\n".join([passage[:60], "", "  ", passage[60:120], passage[120:160], "own line"])
+    out = [*base, None, "", "   ", "!!! ??", *near, base[0], base[0], base[3], long, f"x {passage} y", passage + "\n" + passage, lines, "pre\n" + lines + "\npost", "a b a b a b a b a b", "To to TO tO", "é" * 60, "é" * 61, "abc" * 40]
+    return out
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_jaccard_components_equal_brute_force(spark, texts, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "COMMON_LEAST", 3)
+    sets = []
+    for t in texts:
+        w = SPACES.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(jaccard_join.op3_jaccard_join(frame(spark, texts)))}
+    assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+    kept = jaccard_join.first_of_each(frame(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in range(len(texts))})
+    assert kept.columns == SCHEMA.names
+
+
+def test_jaccard_regions_larger_than_small(spark, monkeypatch):
+    """A family of near copies in which not all link to the first pivot."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    words = [f"t{i}" for i in range(104)]
+    chain = [" ".join(words[:i] + [f"x{i}_{k}" for k in range(0)] + words[i + 3 * i % 7 :]) for i in range(0, 60, 4)]
+    base = " ".join(words)
+    family = [base] + [" ".join(w if j % 97 != i else f"e{i}" for j, w in enumerate(words)) for i in range(20)] + chain
+    got = {r["doc_id"]: r["component_id"] for r in rows(jaccard_join.op3_jaccard_join(frame(spark, family)))}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in family]
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert got == dict(enumerate(label))
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5), (None, 4)], "a long, b long")
+    assert {r.node: r.root for r in components(links).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}
+    assert components(links.limit(0)).count() == 0
+
+
+def words5(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+
+
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+def test_decontamination(spark, texts, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", broadcast_rows)
+    items = [(1, " ".join(texts[5].split()[:15])), (2, texts[33]), (3, "w1 w2"), (4, "École, über"), (5, None), (6, "..."), (7, "to TO"), (8, " ".join(texts[7].split()[:7])), (9, texts[39][:200])]
+    got = {r["doc_id"]: r for r in rows(decontamination.op5_decontamination(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")))}
+    for i, t in enumerate(texts):
+        w, hit, own = words5(t), set(), set()
+        for k, x in items:
+            b = words5(x)
+            n = min(10, len(b))
+            windows = {tuple(b[j : j + n]) for j in range(len(b) - n + 1)} if n else set()
+            for j in range(len(w) - n + 1):
+                if n and tuple(w[j : j + n]) in windows:
+                    hit |= set(range(j, j + n))
+                    own.add(str(k))
+        assert got[i] == {"doc_id": i, "n_words": len(w), "n_hit": len(hit), "n_items": len(own), "items_sha256": hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), "contaminated": bool(hit)}
+
+
+def test_repeated_bytes(spark, texts, monkeypatch):
+    monkeypatch.setattr(repeated_bytes, "_PIECE", 700)
+    monkeypatch.setattr(repeated_bytes, "_SLICE", 3000)
+    got = {r["doc_id"]: r for r in rows(repeated_bytes.op9_repeated_bytes(frame(spark, texts)))}
+    seen: set[bytes] = set()
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        own = [b[j : j + 50] for j in range(len(b) - 49)]
+        for j, w in enumerate(own):
+            if w in seen:
+                gone[j : j + 50] = True
+        seen |= set(own)
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        assert got[i] == {"doc_id": i, "n_bytes": len(b), "n_removed": int(gone.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()}
+
+
+def test_anchor_pieces_cover_each_window_once(monkeypatch):
+    data = np.frombuffer(random.Random(1).randbytes(5000), np.uint8)
+    offsets = np.array([0, 10, 2500, 2500, 5000])
+    monkeypatch.setattr(repeated_bytes, "_PIECE", 300)
+    t = repeated_bytes.anchor_tuples(data, offsets)
+    covered = Counter((int(d), int(f) + k) for d, f, n in zip(t["doc"], t["first"], t["n"], strict=True) for k in range(int(n)))
+    assert set(covered.values()) == {1}
+    assert set(covered) == {(d, s) for d, n in ((1, 2490), (3, 2500)) for s in range(n - 49)}
+
+
+def test_quality_base_counts_and_trusted_kept(spark, texts):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 25)] + [(39, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in rows(quality_rules.op2_quality_rules(frame(spark, texts), labels))}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        w = SPACES.findall(t or "")
+        three = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+        twice = Counter(three)
+        repeat = {j + k for j, x in enumerate(three) if twice[x] > 1 for k in range(3)}
+        lines = [x for x in (t or "").split("\n") if SPACES.search(x)]
+        want = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t or "")), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(repeat), "base_failed": len(w) < 50 or 100 * len(repeat) > 50 * len(w)}
+        assert {k: got[i][k] for k in want} == want
+        assert not (got[i]["base_failed"] and got[i]["kept"])
+    assert all(got[i]["kept"] for i in range(25) if not got[i]["base_failed"])
+
+
+def test_quality_without_labels(spark, texts):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert all(r["kept"] != r["base_failed"] for r in rows(quality_rules.op2_quality_rules(frame(spark, texts), none)))
+
+
+def test_mixing(spark):
+    rng = random.Random(2)
+    many = [" ".join("w" for _ in range(rng.randint(0, 60))) for _ in range(400)] + [None]
+    sources = {i: [None, "a", "Z", "é"][min(3, rng.randrange(6))] for i in range(401)}
+    got = rows(mixing.op6_mixing(frame(spark, many, sources)))
+    again = rows(mixing.op6_mixing(frame(spark, many, sources).repartition(7)))
+    key = lambda r: r["doc_id"]
+    assert sorted(got, key=key) == sorted(again, key=key)
+    sizes = Counter()
+    for i, t in enumerate(many):
+        sizes[sources[i]] += len((t or "").split())
+    goal = mixing.targets(dict(sizes))
+    assert sum(goal.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    taken = Counter()
+    for r in got:
+        s = sources[r["doc_id"]]
+        assert r["size"] == len((many[r["doc_id"]] or "").split()) and r["taken"] <= 2 * r["size"]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(goal[s])
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - goal[s]) <= 60 for s in goal)
+
+
+def test_targets_reshare():
+    assert mixing.targets({"a": 10, "b": 1000, None: 100}) == pytest.approx({"a": 20, "b": 1445, None: 200}, abs=1e-9) or sum(mixing.targets({"a": 10, "b": 1000, None: 100}).values()) == pytest.approx(1665)
+    assert mixing.targets({}) == {}
+
+
+def test_split_tree_keeps_quotas():
+    tree = mixing.split_tree(np.array([100, 3, 0, 57]), 6, 9)
+    assert tree.sum(axis=0).tolist() == [100, 3, 0, 57]
+    assert tree.sum(axis=1).max() - tree.sum(axis=1).min() <= 3
+
+
+def test_draw_mix_repeats_documents(spark):
+    docs = frame(spark, ["one two three"] * 3 + ["x"] * 5 + [None])
+    plan = mixing.plan_mix(docs)
+    drawn = mixing.draw_mix(docs, plan)
+    assert drawn.columns[: len(SCHEMA.names)] == SCHEMA.names
+    total = {r["doc_id"]: r["taken"] for r in rows(mixing.op6_mixing(docs))}
+    words = Counter()
+    for r in drawn.collect():
+        words[r.doc_id] += len((r.text or "").split())
+    assert all(words[i] == n for i, n in total.items())
+
+
+def minimax(sizes, shards):
+    low, high = max(sizes), sum(sizes)
+    while low < high:
+        mid, n, at = (low + high) // 2, 1, 0
+        for s in sizes:
+            if at + s > mid:
+                n, at = n + 1, 0
+            at += s
+        low, high = (low, mid) if n <= shards else (mid + 1, high)
+    return low
+
+
+def test_sharding_is_minimax(spark, texts):
+    docs = frame(spark, texts)
+    got = rows(sharding.op7_sharding(docs))
+    by = {}
+    for r in got:
+        t = texts[r["doc_id"]]
+        assert r["size"] == len((t or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((t or "").encode()) and r["law"] == "bytes"
+        assert by.setdefault(t, r["shard"]) == r["shard"]
+    for s in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    keys = {r["t"]: r["k"] for r in rows(docs.selectExpr("text as t", "xxhash64(text) as k"))}
+    size = Counter()
+    for t in texts:
+        size[t] += len((t or "").encode()) + 1
+    ordered = [size[t] for t in sorted(size, key=lambda t: keys[t])]
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) == minimax(ordered, 8)
+
+
+def test_line_dedup_deletes_later_runs(spark, texts):
+    docs = frame(spark, texts)
+    out = {r["doc_id"]: r for r in rows(line_dedup.without_repeated_lines(docs))}
+    assert len(out) == len(texts)
+    seen: set = set()
+    for i, t in enumerate(texts):
+        lines = [x for x in (t or "").split("\n") if SPACES.search(x)]
+        kept = out[i]["text"]
+        assert (kept is None) == (t is None)
+        left = [x for x in (kept or "").split("\n") if SPACES.search(x)]
+        # no run of three lines that an earlier document has is left, and nothing else goes
+        assert not {tuple(left[j : j + 3]) for j in range(len(left) - 2)} & seen
+        pairs = {tuple(lines[j : j + 2]) for j in range(len(lines) - 1)}
+        gone = [lines_of for k, lines_of in enumerate((t or "").split("\n")) if k in out[i]["__removed"]]
+        assert all(any(g in p for p in pairs) for g in gone)
+        seen |= {tuple(lines[j : j + 3]) for j in range(len(lines) - 2)}
+    digest = {r["doc_id"]: r for r in rows(line_dedup.op4_line_dedup(docs))}
+    assert all(digest[i]["n_lines"] == len((t or "").split("\n")) for i, t in enumerate(texts))
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(t):
+    def good(k, m):
+        d = re.sub("[^0-9]", "", m)
+        if k == "ip":
+            return all(int(x) <= 255 for x in m.split("."))
+        if k == "card":
+            return 12 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+        return k == "email" or 9 <= len(d) <= 15
+
+    return sorted((m.start(), i, m.end(), k) for i, (k, p) in enumerate(BASE.items()) for m in re.finditer(p, t or "") if good(k, m.group()))
+
+
+def test_personal_data_base(spark, texts):
+    rng = random.Random(4)
+    parts = ["a@b.co", "x@y", "u.v%+-@w-1.z.q_r@s.t", "1.2.3.4.5.6.7.8", "999.1.1.1", "00001.02.3.255", "4111 1111 1111 1111", "4111-1111 11111111", "4111  111111111111", "41111111111111111111111", "+1 (555) 010-9999", "+12", "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "é", "@", "1 -2", "5", "word", "\n", "𝒳"]
+    own = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(60)] + ["".join(rng.choice(parts) for _ in range(8)) for _ in range(60)] + [*texts, "7" * 3000, "a" * 5000 + "@"]
+    got = {r["doc_id"]: r for r in rows(personal_data.op10_personal_data(frame(spark, own)))}
+    for i, t in enumerate(own):
+        want = base_spans(t)
+        assert [got[i][f"n_{k}"] for k in BASE] == [sum(x[3] == k for x in want) for k in BASE], t
+        told = ",".join(f"{k}:{a}:{b}" for a, _, b, k in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert set(told.split(",")) <= set(got[i]["spans"].split(",")) or not told
+
+
+def test_personal_data_bootstraps(spark):
+    seeds = [f"please call me at +1 (555) 010-{1000 + i} today" for i in range(8)]
+    unseen = "so call me at 555-010-7777 soon"
+    other = "the part number 1234567 is here"
+    got = {r["doc_id"]: r["spans"] for r in rows(personal_data.op10_personal_data(frame(spark, [*seeds, unseen, other])))}
+    assert got[8] == f"phone:{unseen.index('555')}:{unseen.index(' soon')}"
+    assert got[9] == ""
+    hidden = {r["doc_id"]: r["text"] for r in rows(personal_data.masked(frame(spark, [*seeds, unseen, other])))}
+    assert hidden[8] == "so call me at <phone> soon" and hidden[0] == "please call me at <phone> today" and hidden[9] == other
+
+
+def test_language_id(spark):
+    rng = random.Random(3)
+    kinds = {"en": ["the", "and", "thing", "with", "over", "hand"], "de": ["der", "und", "straße", "nicht", "über", "haus"], "ru": ["и", "не", "дом", "река", "что"]}
+    docs = []
+    for i in range(240):
+        lang = ["en", "de", "ru"][i % 3]
+        docs.append((i, " ".join(rng.choice(kinds[lang]) for _ in range(rng.randint(3, 40))), lang if i % 11 else None))
+    docs += [(900, None, "en"), (901, "", "en"), (902, "123 !!", "de"), (903, "漢字漢字漢字漢字漢字漢字漢字漢字漢字漢字漢字漢字" * 20, None)]
+    df = spark.createDataFrame([(*d, "s", 1) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in rows(language_id.op8_language_id(df))}
+    for i, text, _ in docs[:240]:
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i]["lang_pred"] == ["en", "de", "ru"][i % 3], text
+        assert 0 <= got[i]["score"] <= 1 and not got[i]["rejected"]
+    assert all(got[i]["lang_pred"] == "und" and got[i]["rejected"] for i in (900, 901, 902))
+    assert got[903]["rejected"] and got[903]["lang_pred"] in kinds
+
+
+def test_kneser_ney_sums_to_one():
+    keys, at, _ = language_id.grams(["abracadabra abra"])
+    model = language_id.KneserNey(keys, np.bincount(at[at >= 0], minlength=len(keys)))
+    context = int(keys[3]) >> 16 << 16
+    total = sum(2.0 ** -model.cost(np.array([context & ~0xFFFF | c], np.uint64))[0] for c in range(4096))
+    assert total == pytest.approx(1.0, abs=0.02)
+
+
+def test_chat_formatting(spark):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 70, "ann", "bye"), (2, None, None, "x"), (2, 3, "bob", "y"), (None, 1, "ann", "z"), (3, 0, "system", "alone"), (4, 1, "a", "t"), (4, 1, "a", "t")]
+    df = spark.createDataFrame([(*t, "clash") for t in turns], "conv_id long, turn long, role string, text string, part string")
+    whole = {}
+    for r in sorted(rows(chat_formatting.rotate_perspectives(df)), key=lambda r: r["start"]):
+        text, spans = whole.get((r["conv"], r["speaker"]), ("", []))
+        assert len(text) == r["start"]
+        whole[r["conv"], r["speaker"]] = text + r["rendered"], spans + [(s["a"], s["b"]) for s in r["spans"]]
+    assert set(whole) == {(1, "ann"), (1, "bob"), (2, "unknown"), (2, "bob"), (4, "a")}
+    text, spans = whole[1, "ann"]
+    assert text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>assistant\nbye<|im_end|>\n"
+    assert [text[a:b] for a, b in spans] == ["hi < |im_end|><|im_end|>", "bye<|im_end|>"]
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert jaccard_join.op3_jaccard_join(docs).count() == 0
+    assert decontamination.op5_decontamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert repeated_bytes.op9_repeated_bytes(docs).count() == 0
+    assert quality_rules.op2_quality_rules(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+    assert mixing.op6_mixing(docs).count() == 0
+    assert sharding.op7_sharding(docs).count() == 0
+    assert line_dedup.op4_line_dedup(docs).count() == 0
+    assert personal_data.op10_personal_data(docs).count() == 0
+    assert language_id.op8_language_id(docs).count() == 0
+    assert chat_formatting.op1_chat_formatting(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_untrained_language_id(spark):
+    docs = spark.createDataFrame([(1, "some text", None, "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    r = language_id.op8_language_id(docs).first()
+    assert (r.lang_pred, r.score) == ("und", 0.0)
