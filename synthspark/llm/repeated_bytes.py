@@ -31,7 +31,7 @@ _WINDOW = LENGTH - GRAM + 1
 #: Windows with fewer bytes than this before the anchor share the right context, the others the left one.
 _HALF = (_WINDOW + 1) // 2 - 1
 #: Bytes that are hashed at a time, and bytes of documents whose tuples are sorted and sent at a time.
-_PIECE, _SLICE = 500_000, 8_000_000
+_PIECE, _SLICE = 250_000, 2_000_000
 #: Bytes of text for each bucket, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 4_000_000, 1 << 16
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -206,6 +206,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def _spans_by_bucket(buckets: int):
