@@ -1 +1 @@
-
+"""Verdicts, reports and the catalogue of queries."""

@@ -1 +1 @@
-
+"""Reading and writing tables, schemas and generated ground truth."""

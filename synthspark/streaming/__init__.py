@@ -1 +1 @@
-
+"""No streaming operator: longitudinal tables are batch data here."""
