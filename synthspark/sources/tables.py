@@ -32,11 +32,15 @@ class DataSource:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parquet by suffix, else CSV with a header; missing-value texts and NaN become null, dates stay text."""
+    """Parquet by suffix, else CSV with a header; missing-value texts and NaN become null.
+
+    Types of a CSV without schema come from one pass over all values: whole
+    numbers, numbers, booleans, else text. Dates stay text.
+    """
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
-        df = spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None, preferDate=False, nanValue="NaN")
+        df = spark.read.csv(path, header=True, schema=schema)
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -45,7 +49,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(~F.isnan(c), c)
         out.append(c.alias(f.name))
-    return df.select(*out)
+    df = df.select(*out)
+    return df if path.endswith(".parquet") or schema is not None else _inferred(df)
+
+
+def _inferred(df: DataFrame) -> DataFrame:
+    kinds = ("bigint", "double", "boolean")
+    fits = [F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(k).isNull()).alias(f"{i}/{k}") for i, c in enumerate(df.columns) for k in kinds]
+    misses = df.agg(*fits).first() if fits else None
+    kind = lambda i: next((k for k in kinds if misses[f"{i}/{k}"] == 0), "string")
+    return df.select(*(F.col(f"`{c}`").cast(kind(i)).alias(c) for i, c in enumerate(df.columns)))
 
 
 def write_table(df: DataFrame, path: str) -> None:
