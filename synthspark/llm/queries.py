@@ -32,8 +32,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_chat_formatting": lambda spark, d: op1_chat_formatting(table(spark, d, "conversations")),
-        "op2_quality_rules": lambda spark, d: op2_quality_rules(table(spark, d, "documents"), table(spark, d, "labels")),
         "op1_chat_formatting": OP1_SQL,
         "op3_jaccard_join": OP3_SQL,
         "op4_line_dedup": OP4_SQL,
