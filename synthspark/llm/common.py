@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of text that a Python worker holds at a time.
+SLICE_BYTES = 2_000_000
 #: Ids are broadcast up to so many (16 bytes each).
 BROADCAST_IDS = 4_000_000
 _LOCAL: dict[str, str] = {}
@@ -67,3 +73,12 @@ def with_lists(docs: DataFrame, lists: DataFrame, id_col: str = "doc_id") -> tup
     if lists.count() <= BROADCAST_IDS:
         return docs.join(F.broadcast(ids), id_col, "left_semi").join(lists, id_col), docs.join(F.broadcast(ids), id_col, "left_anti")
     return docs.join(lists, id_col), docs.join(ids, id_col, "left_anti")
+
+
+def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``SLICE_BYTES`` bytes of text, a document at least, so that memory does not hang on the batch size."""
+    at = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)), dtype=np.int64) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()

@@ -20,18 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_lists, written
+from .common import text_slices, with_lists, written
 
 LENGTH, GRAM = 50, 16
 _WINDOW = LENGTH - GRAM + 1
 #: Windows with fewer bytes than this before the anchor share the right context, the others the left one.
 _HALF = (_WINDOW + 1) // 2 - 1
-#: Bytes that are hashed at a time, and bytes of documents whose tuples are sorted and sent at a time.
-_PIECE, _SLICE = 250_000, 2_000_000
+#: Bytes that are hashed at a time.
+_PIECE = 250_000
 #: Bytes of text for each bucket, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 4_000_000, 1 << 16
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -199,19 +198,9 @@ def _ids(column: pa.Array) -> np.ndarray:
     return np.asarray(column).astype(np.int64).view(np.uint64) ^ _SIGN
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``_SLICE`` bytes, a document at least, so that memory does not hang on the batch size."""
-    for batch in batches:
-        at = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)), dtype=np.int64) // _SLICE
-        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield batch.slice(a, b - a)
-        pa.default_memory_pool().release_unused()
-
-
 def _spans_by_bucket(buckets: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             ids = _ids(batch.column(0))
             t = anchor_tuples(*_binary(batch.column(1)))
             t["doc"] = ids[t["doc"]]
@@ -252,7 +241,7 @@ def _settle_spans(table: pa.Table) -> pa.Table:
 
 def _windows_by_bucket(buckets: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             data, offsets = _binary(batch.column(1))
             lists = batch.column(2)
             count = np.asarray(lists.value_lengths())
