@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from synthspark.llm import chat_formatting, decontamination, jaccard_join, language_id, line_dedup, mixing, personal_data, quality_rules, repeated_bytes, sharding
+from synthspark.llm import chat_formatting, common, decontamination, jaccard_join, language_id, line_dedup, mixing, personal_data, quality_rules, repeated_bytes, sharding
 from synthspark.llm.components import components
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("size", T.StringType()), T.StructField("kind", T.StringType())])
@@ -50,6 +50,7 @@ def rows(df):
 def test_jaccard_components_equal_brute_force(spark, texts, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", 2)
     monkeypatch.setattr(jaccard_join, "COMMON_LEAST", 3)
+    monkeypatch.setattr(jaccard_join, "LARGE", 20)
     sets = []
     for t in texts:
         w = SPACES.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
@@ -121,7 +122,7 @@ def test_decontamination(spark, texts, monkeypatch, broadcast_rows):
 
 def test_repeated_bytes(spark, texts, monkeypatch):
     monkeypatch.setattr(repeated_bytes, "_PIECE", 700)
-    monkeypatch.setattr(repeated_bytes, "_SLICE", 3000)
+    monkeypatch.setattr(common, "SLICE_BYTES", 3000)
     got = {r["doc_id"]: r for r in rows(repeated_bytes.op9_repeated_bytes(frame(spark, texts)))}
     seen: set[bytes] = set()
     for i, t in enumerate(texts):
