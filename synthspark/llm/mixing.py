@@ -2,15 +2,15 @@
 
 Documents of a source are dealt into blocks by a hash. A source's target words
 become an exact quota of blocks in a random order (whole copies of the source,
-then whole blocks, then single documents that fill the rest). A binary tree over
+then whole blocks that fit, then documents that fit until none is left that does). A binary tree over
 the output shards splits the quotas: at each node a multivariate-hypergeometric
 draw decides how many of the left half's places each source takes. Every shard
 then takes the next blocks of each source's order, so that shards are disjoint,
 and shuffles locally by a hash.
 
 The driver holds one row for each source and block, about sqrt(rows) blocks a
-source; documents never go through it but for those that fill the last words of
-a quota (some dozens for each source).
+source; documents never go through it but for those of one block of a source at a
+time, where a quota ends inside the block.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from .common import root_bits, word_count, written
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-FILLERS = 64
 
 
 def targets(sizes: dict, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict:
@@ -95,70 +94,90 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     Documents without a word have size 0; they go with their block.
     """
     spark = docs.sparkSession
-    sized = written(_keys(docs, id_col, source_col, text_col, 16, seed).select("__src", "__u", "__size"), "mix-sizes")
+    keyed = _keys(docs, id_col, source_col, text_col, 16, seed)
+    sized = written(keyed.groupBy("__src", "__u").agg(F.sum("__size").alias("__size")), "mix-sizes")
     bits = min(16, root_bits(max(1, sized.count() // 16), 2))
     block = F.shiftrightunsigned("__u", 64 - bits).cast("int").alias("__block")
     grouped: dict = {}
-    for r in sized.groupBy("__src", block).agg(F.sum("__size").alias("s"), F.count(F.lit(1)).alias("n")).collect():
-        grouped.setdefault(r["__src"], {})[r["__block"]] = (r["s"], r["n"])
+    for r in sized.groupBy("__src", block).agg(F.sum("__size").alias("s")).collect():
+        grouped.setdefault(r["__src"], {})[r["__block"]] = r["s"]
     name = lambda src: None if src == "null" else src[1:]
     sources = sorted(grouped)
-    size = {s: sum(x for x, _ in grouped[s].values()) for s in sources}
+    size = {s: sum(grouped[s].values()) for s in sources}
     goal = {f"s{k}" if k is not None else "null": v for k, v in targets({name(s): size[s] for s in sources}, weights, share, most).items()}
-    plan, wanted = {}, []
+    plan, wanted = {}, {}
     for i, s in enumerate(sources):
         order = [int(b) for b in np.random.default_rng([seed, i]).permutation(sorted(grouped[s]))]
         base = int(goal[s] // size[s]) if size[s] else 0
         rest, extra = goal[s] - base * size[s], []
-        while order and len(order) > 1 and grouped[s][order[0]][0] <= rest:
-            extra.append(order.pop(0))
-            rest -= grouped[s][extra[-1]][0]
+        for b in order:
+            if grouped[s][b] <= rest:
+                extra.append(b)
+                rest -= grouped[s][b]
         plan[s] = {"base": base, "extra": set(extra), "rest": rest}
-        near, n = [], 0
-        while order and n < FILLERS and rest >= 1:
-            near.append(order.pop(0))
-            n += grouped[s][near[-1]][1]
-        wanted += [(s, b) for b in near]
-    fill = _fillers(sized, block, wanted, {s: p["rest"] for s, p in plan.items()})
-    # One unit of a quota is a block's copy; what fills a quota's rest is one unit more.
-    units = [[(b, c) for c in range(plan[s]["base"]) for b in sorted(grouped[s])] + [(b, plan[s]["base"]) for b in sorted(plan[s]["extra"])] + [(-1, 0)] for s in sources]
+        wanted[s] = [b for b in order if b not in plan[s]["extra"]]
+    fillers, fill = _fillers(sized, block, wanted, {s: p["rest"] for s, p in plan.items()})
+    # One unit of a quota is a block's copy, or what a block gives to fill a quota's rest.
+    units = [[(b, c) for c in range(plan[s]["base"]) for b in sorted(grouped[s])] + [(b, plan[s]["base"]) for b in sorted(plan[s]["extra"])] + [(-1 - b, 0) for b in sorted(fill[s])] for s in sources]
     tree = split_tree(np.array([len(u) for u in units]), shards, seed) if sources else np.zeros((shards, 0), dtype=np.int64)
-    rows, filled = [], []
+    rows = []
     for i, s in enumerate(sources):
         shard_of = np.repeat(np.arange(shards), tree[:, i])
-        at: dict = {b: [] for b in grouped[s]} | {-1: []}
+        at: dict = {b: [] for b in grouped[s]} | {-1 - b: [] for b in fill[s]}
         for k, j in enumerate(np.random.default_rng([seed, i, 1]).permutation(len(units[i]))):
             at[units[i][j][0]].append((units[i][j][1], int(shard_of[k])))
-        rows += [(s, b, [x for _, x in sorted(at[b])]) for b in grouped[s]]
-        filled += [(s, u, at[-1][0][1]) for u in fill.get(s, [])]
+        rows += [(s, b, [x for _, x in sorted(at[b])], at[-1 - b][0][1] if b in fill[s] else None) for b in grouped[s]]
     return MixPlan(
-        spark.createDataFrame(rows, T.StructType([T.StructField("__src", T.StringType()), T.StructField("__block", T.IntegerType()), T.StructField("__shards", T.ArrayType(T.IntegerType()))])),
-        spark.createDataFrame(filled, T.StructType([T.StructField("__src", T.StringType()), T.StructField("__u", T.LongType()), T.StructField("__fill", T.IntegerType())])),
+        spark.createDataFrame(rows, T.StructType([T.StructField("__src", T.StringType()), T.StructField("__block", T.IntegerType()), T.StructField("__shards", T.ArrayType(T.IntegerType())), T.StructField("__fill", T.IntegerType())])),
+        fillers,
         spark.createDataFrame([(s, size[s], float(goal[s])) for s in sources], T.StructType([T.StructField("__src", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])),
         bits,
         seed,
     )
 
 
-def _fillers(sized: DataFrame, block, wanted: list, rest: dict) -> dict:
-    """Documents of the next blocks that still fit into what is left of a quota."""
-    if not wanted:
-        return {}
+def _fillers(sized: DataFrame, block, order: dict, rest: dict) -> tuple[DataFrame, dict]:
+    """(documents that fill what is left of the quotas, blocks of each source that they stand in).
+
+    Blocks are gone through in ``order``, documents in a block by their hash, and each
+    that still fits is taken. A round takes blocks whose fitting documents go whole, up
+    to the first block of each source where they do not; that one is looked at document
+    by document. A document that did not fit is too large for all later rounds.
+    """
     spark = sized.sparkSession
-    near = spark.createDataFrame(wanted, "__src string, __block int")
-    rows = sized.withColumn("__block", block).join(near, ["__src", "__block"]).groupBy("__src", "__u").agg(F.sum("__size").alias("s")).orderBy("__src", "__u").collect()
-    out: dict = {}
-    for r in rows:
-        if 0 < r["s"] <= rest[r["__src"]]:
-            rest[r["__src"]] -= r["s"]
-            out.setdefault(r["__src"], []).append(r["__u"])
-    return out
+    order, rest = {s: list(x) for s, x in order.items()}, dict(rest)
+    whole: list = []
+    single: list = []
+    found: dict = {s: set() for s in order}
+    placed = sized.withColumn("__block", block)
+    keys = T.StructType([T.StructField("__src", T.StringType()), T.StructField("__block", T.IntegerType()), T.StructField("__most", T.LongType())])
+    fitting = lambda rows: placed.join(F.broadcast(spark.createDataFrame(rows, keys)), ["__src", "__block"]).where("__size between 1 and __most")
+    while near := [(s, b, int(rest[s])) for s, x in order.items() if rest[s] >= 1 for b in x]:
+        sums = {(r["__src"], r["__block"]): r["s"] for r in fitting(near).groupBy("__src", "__block").agg(F.sum("__size").alias("s")).collect()}
+        split = []
+        for s in {s for s, _, _ in near}:
+            most, left = int(rest[s]), [b for b in order[s] if (s, b) in sums]
+            while left and sums[s, left[0]] <= rest[s]:
+                whole.append((s, left[0], most))
+                found[s].add(left[0])
+                rest[s] -= sums[s, left.pop(0)]
+            if left:
+                split.append((s, left.pop(0), int(rest[s])))
+            order[s] = left
+        for r in fitting(split).orderBy("__src", "__u").collect() if split else []:
+            if r["__size"] <= rest[r["__src"]]:
+                rest[r["__src"]] -= r["__size"]
+                single.append((r["__src"], r["__u"]))
+                found[r["__src"]].add(r["__block"])
+    one = spark.createDataFrame(single, "__src string, __u long")
+    both = one.unionByName(fitting(whole).select("__src", "__u")) if whole else one
+    return written(both.withColumn("__filled", F.lit(True)), "mix-fillers"), found
 
 
 def _planned(docs: DataFrame, plan: MixPlan, id_col: str, source_col: str, text_col: str) -> DataFrame:
     keyed = _keys(docs, id_col, source_col, text_col, plan.bits, plan.seed)
     joined = keyed.join(plan.blocks, ["__src", "__block"]).join(plan.fillers, ["__src", "__u"], "left")
-    return joined.withColumn("__shards", F.when(F.col("__fill").isNull(), F.col("__shards")).otherwise(F.concat("__shards", F.array("__fill"))))
+    return joined.withColumn("__shards", F.when(F.col("__filled").isNull(), F.col("__shards")).otherwise(F.concat("__shards", F.array("__fill"))))
 
 
 def draw_mix(docs: DataFrame, plan: MixPlan, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

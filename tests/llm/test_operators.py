@@ -191,6 +191,18 @@ def test_mixing(spark):
     assert all(abs(taken[s] - goal[s]) <= 60 for s in goal)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_meets_target_beside_one_long_text(spark, seed):
+    """Blocks and documents that fit are taken wherever the one long text stands."""
+    docs = frame(spark, ["w " * 100] * 299 + ["w " * 30_000], dict.fromkeys(range(300), "a")).selectExpr(f"doc_id + {seed * 1000} as doc_id", "text", "source")
+    out = rows(mixing.op6_mixing(docs))
+    assert out[0]["target"] == 1.5 * 59_900
+    taken = sum(r["taken"] for r in out)
+    assert out[0]["target"] - 100 < taken <= out[0]["target"]
+    drawn = mixing.draw_mix(docs, mixing.plan_mix(docs)).collect()
+    assert sum(len(r.text.split()) for r in drawn) == taken
+
+
 def test_targets_reshare():
     assert mixing.targets({"a": 10, "b": 1000, None: 100}) == pytest.approx({"a": 20, "b": 1445, None: 200}, abs=1e-9) or sum(mixing.targets({"a": 10, "b": 1000, None: 100}).values()) == pytest.approx(1665)
     assert mixing.targets({}) == {}
