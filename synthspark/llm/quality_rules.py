@@ -13,12 +13,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import SPACE, written
 from .decontamination import words_between
 
 BUCKETS = 1 << 16
-#: Trusted documents (quality 1, toxic 0) that make the target, the first by a hash of the id.
-TRUSTED_DOCS = 20_000
 #: One trusted document in so many is left out of the counts and sets the threshold.
 CALIBRATE = 4
 #: Quantile of the scores of these that the threshold starts from, and how far below it lies.
@@ -38,9 +37,14 @@ def features(h: Column) -> Column:
     return F.transform(F.concat(h, pairs), lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", most: int = TRUSTED_DOCS) -> DataFrame:
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("__trusted")).where("__trusted is not null").distinct()
-    return good.orderBy(F.xxhash64("__trusted"), "__trusted").limit(most)
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Documents (quality 1, toxic 0) that make the target."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("__trusted")).where("__trusted is not null").distinct()
+
+
+def _sent(trusted: DataFrame) -> DataFrame:
+    """Up to ``BROADCAST_IDS`` ids are broadcast, so that texts are not shuffled."""
+    return F.broadcast(trusted) if trusted.count() <= common.BROADCAST_IDS else trusted
 
 
 def _calibrates() -> Column:
@@ -51,7 +55,7 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     """log(target share / raw share) of every bucket, counted over all documents."""
     h = with_words(docs, text_col, [id_col]).select(F.col(id_col).alias("__id"), features(F.col("__h")).alias("__f"))
     trusted = trusted.where(~_calibrates())
-    flagged = h.join(F.broadcast(trusted), F.col("__id") == F.col("__trusted"), "left").select(F.col("__trusted").isNotNull().cast("long").alias("__t"), F.explode_outer("__f").alias("__b"))
+    flagged = h.join(_sent(trusted), F.col("__id") == F.col("__trusted"), "left").select(F.col("__trusted").isNotNull().cast("long").alias("__t"), F.explode_outer("__f").alias("__b"))
     rows = flagged.groupBy("__b").agg(F.count(F.lit(1)).alias("raw"), F.sum("__t").alias("target")).where("__b is not null").collect()
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in rows:
@@ -106,7 +110,7 @@ def measured(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_c
 
 def threshold(docs: DataFrame, trusted: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text") -> float:
     """The score that all but ``REFUSED`` of the calibrating documents reach, less ``MARGIN``."""
-    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__x")).join(F.broadcast(trusted.where(_calibrates())), F.col("__id") == F.col("__trusted"), "left_semi")
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__x")).join(_sent(trusted.where(_calibrates())), F.col("__id") == F.col("__trusted"), "left_semi")
     scored = with_words(own, "__x", ["__id"]).where(F.size("__w") >= 50).select(score(F.col("__h"), table).alias("__score"))
     found = scored.agg(F.percentile("__score", F.lit(REFUSED))).first()[0]
     return -math.inf if found is None else found - MARGIN

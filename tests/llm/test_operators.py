@@ -337,6 +337,33 @@ def test_language_id(spark):
     assert got[903]["rejected"] and got[903]["lang_pred"] in kinds
 
 
+def test_language_id_keeps_all_grams(spark, monkeypatch):
+    """Too many grams for memory: the models are tables, of all grams, with the same results."""
+    rng = random.Random(8)
+    signs = {"en": "abcdefgh", "zh": [chr(0x9000 + i) for i in range(90)]}
+    docs = [(i, " ".join("".join(rng.choice(signs[x]) for _ in range(4)) for _ in range(rng.randint(1, 30))), x) for i in range(120) for x in [["en", "zh"][i % 2]]]
+    docs += [(900, None, "en"), (901, "12 !", "zh"), (902, docs[0][1], "en"), (903, "Ж" * 300, None), (None, "abc", "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    key = lambda r: str(r["doc_id"])
+    want = sorted(rows(language_id.op8_language_id(df)), key=key)
+    monkeypatch.setattr(language_id, "MAX_GRAMS", 50)
+    got = sorted(rows(language_id.op8_language_id(df)), key=key)
+    assert len(got) == len(want) == len(docs)
+    for a, b in zip(got, want, strict=True):
+        assert {k: a[k] for k in ("doc_id", "held_out", "lang_pred", "rejected")} == {k: b[k] for k in ("doc_id", "held_out", "lang_pred", "rejected")}
+        assert (a["score"], a["entropy"]) == pytest.approx((b["score"], b["entropy"]), abs=1e-9)
+
+
+def test_quality_target_is_all_trusted(spark, monkeypatch):
+    labels = spark.range(20_500).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality_rules.trusted_ids(labels).count() == 20_500
+    docs = frame(spark, ["one two three " * 20, "four five six " * 20] * 20)
+    trusted = common.written(quality_rules.trusted_ids(labels.where("doc_id < 30 and doc_id % 2 = 0")), "trusted")
+    want = quality_rules.weights(docs, trusted)
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    assert quality_rules.weights(docs, trusted) == want
+
+
 def test_kneser_ney_sums_to_one():
     keys, at, _ = language_id.grams(["abracadabra abra"])
     model = language_id.KneserNey(keys, np.bincount(at[at >= 0], minlength=len(keys)))
