@@ -50,7 +50,6 @@ def rows(df):
 def test_jaccard_components_equal_brute_force(spark, texts, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", 2)
     monkeypatch.setattr(jaccard_join, "COMMON_LEAST", 3)
-    monkeypatch.setattr(jaccard_join, "LARGE", 20)
     sets = []
     for t in texts:
         w = SPACES.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
@@ -74,22 +73,35 @@ def test_jaccard_components_equal_brute_force(spark, texts, monkeypatch):
     assert kept.columns == SCHEMA.names
 
 
-def test_jaccard_regions_larger_than_small(spark, monkeypatch):
-    """A family of near copies in which not all link to the first pivot."""
-    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+def linked_least(family):
+    """The least index that each text reaches by links, by brute force."""
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in family]
+    label, change = list(range(len(sets))), True
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 75 * len(a | b)]
+    while change:
+        change = False
+        for i, j in links:
+            low = min(label[i], label[j])
+            change |= label[i] != low or label[j] != low
+            label[i] = label[j] = low
+    return dict(enumerate(label))
+
+
+@pytest.mark.parametrize("small", [2, 3, 256])
+def test_jaccard_families_without_a_centre(spark, monkeypatch, small):
+    """Trees of edited copies, cut texts and a chain: not all members link to the first pivot."""
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    rng = random.Random(7)
     words = [f"t{i}" for i in range(104)]
-    chain = [" ".join(words[:i] + [f"x{i}_{k}" for k in range(0)] + words[i + 3 * i % 7 :]) for i in range(0, 60, 4)]
-    base = " ".join(words)
-    family = [base] + [" ".join(w if j % 97 != i else f"e{i}" for j, w in enumerate(words)) for i in range(20)] + chain
+    family = [" ".join(words)] + [" ".join(w if j % 97 != i else f"e{i}" for j, w in enumerate(words)) for i in range(20)] + [" ".join(words[:i] + words[i + 3 * i % 7 :]) for i in range(0, 60, 4)]
+    family += [" ".join(words[: 104 - 6 * i]) for i in range(14)]
+    for _ in range(40):
+        copy = rng.choice(family).split()
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(len(copy))] = f"n{rng.randrange(12)}"
+        family.append(" ".join(copy))
     got = {r["doc_id"]: r["component_id"] for r in rows(jaccard_join.op3_jaccard_join(frame(spark, family)))}
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in family]
-    label = list(range(len(sets)))
-    for _ in sets:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if 100 * len(a & b) >= 75 * len(a | b):
-                    label[i] = label[j] = min(label[i], label[j])
-    assert got == dict(enumerate(label))
+    assert got == linked_least(family)
 
 
 def test_components(spark):
