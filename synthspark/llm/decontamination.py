@@ -37,9 +37,14 @@ def words_between(text: Column, separators: str) -> Column:
     return F.transform(F.array(parts), lambda p: F.slice(p, F.when(p[0] == "", 2).otherwise(1), F.greatest(F.lit(0), F.size(p) - (p[0] == "").cast("int") - ((F.size(p) > 1) & (F.element_at(p, -1) == "")).cast("int"))))[0]
 
 
-def hashed_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __h): a hash of each word, in order."""
-    cut = docs.select(F.col(id_col).alias("__id"), words_between(ascii_lower(F.col(text_col)), _SEPARATORS).alias("__w"))
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells a document: its id and a hash of its text, so that rows of one id stand for themselves."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+
+
+def hashed_words(docs: DataFrame, key: Column, text_col: str) -> DataFrame:
+    """(__id, __h): a key and a hash of each word, in order."""
+    cut = docs.select(key.alias("__id"), words_between(ascii_lower(F.col(text_col)), _SEPARATORS).alias("__w"))
     return cut.select("__id", F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"))
 
 
@@ -89,7 +94,7 @@ def _run(side: str) -> Column:
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
     """(__id, __item, __from, __to): word spans of documents that an item's windows cover, end exclusive."""
-    d, b = hashed_words(docs, id_col, text_col), written(hashed_words(items, item_col, item_text), "bench-words")
+    d, b = hashed_words(docs, row_key(id_col, text_col), text_col), written(hashed_words(items, F.col(item_col), item_text), "bench-words")
     i = fingerprints(b)
     keys = written(i.select("__g", F.col("__id").alias("__item"), *(c.alias(f"i_{n}") for c, n in zip(_around(F.col("__h"), F.col("__p")), [f"{s}{k}" for s in "lr" for k in range(1, WINDOW)], strict=True))).distinct(), "bench-keys")
     own = fingerprints(d)
@@ -106,20 +111,30 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
 
 
 def _short_hits(d: DataFrame, short: DataFrame) -> DataFrame:
-    """Occurrences of whole items below 10 words, found by their first word."""
-    items = short.select(F.get("__h", F.lit(0)).alias("__g"), F.col("__id").alias("__item"), F.col("__h").alias("__s"))
-    each = d.select("__id", "__h", F.posexplode_outer("__h").alias("__p", "__g")).select("__id", "__p", "__g", F.slice("__h", F.col("__p") + 1, SPAN - 1).alias("__next"))
-    same = F.slice("__next", 1, F.size("__s")) == F.col("__s")
-    return each.join(items, "__g").where(same).select("__id", "__item", F.col("__p").alias("__from"), (F.col("__p") + F.size("__s")).alias("__to"))
+    """Occurrences of whole items below 10 words: a hash of all words is looked for, at each length that an item has.
+
+    A frequent word that items begin with is no key of its own.
+    """
+    items = short.select(F.xxhash64("__h").alias("__g"), F.size("__h").alias("__n"), F.col("__id").alias("__item"))
+    lengths = [r[0] for r in items.select("__n").distinct().orderBy("__n").collect()]  # nine at most
+
+    def runs_of(n: int) -> Column:
+        one = lambda p: F.struct(F.xxhash64(F.slice("__h", p + 1, n)).alias("__g"), F.lit(n).alias("__n"), p.alias("__p"))
+        return F.when(F.size("__h") >= n, F.transform(F.sequence(F.lit(0), F.size("__h") - n), one)).otherwise(F.array().cast("array<struct<__g:bigint,__n:int,__p:int>>"))
+
+    runs = F.flatten(F.array(*(runs_of(n) for n in lengths)))
+    return d.select("__id", F.inline(runs)).join(items, ["__g", "__n"]).select("__id", "__item", F.col("__p").alias("__from"), (F.col("__p") + F.col("__n")).alias("__to"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each contaminated document: ``__id``, ``n_hit``, ``item_ids``, ``spans``.
 
-    ``spans`` are the hit word ranges, merged and in order; ``item_ids`` are sorted
-    as strings. Documents and items without words (null, empty, or without a word
-    character) hit nothing; empty tables give an empty result. Rows that share an
-    id count as one document.
+    ``__id`` is the ``row_key``: rows that share an id (or have none) but not the
+    text have results of their own, repeated rows have one. ``spans`` are the hit
+    word ranges, merged and in order; ``item_ids`` are sorted as strings, without
+    a null one; items of one id are one item. Documents and items without words
+    (null, empty, or without a word character) hit nothing; empty tables give an
+    empty result. Texts are read whole; other columns are not read.
     """
     found = hits(docs, items, id_col, text_col, item_col, item_text)
     per_doc = found.groupBy("__id").agg(F.array_sort(F.collect_set(F.struct("__from", "__to"))).alias("raw"), F.array_sort(F.collect_set(F.col("__item").cast("string"))).alias("item_ids"))
@@ -136,16 +151,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
     """``docs`` without the documents in which a benchmark item was found."""
-    return docs.join(contamination(docs, items, id_col, **columns).select(F.col("__id").alias("__hit_id")), F.col(id_col) == F.col("__hit_id"), "left_anti")
+    found = contamination(docs, items, id_col, **columns).select(F.col("__id.id").alias("__hit_id"), F.col("__id.th").alias("__hit_th"))
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(columns.get("text_col", "text")) == F.col("__hit_th")), "left_anti")
 
 
 def op5_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Words, hit words and items of every document."""
     docs = docs.select("doc_id", "text")
     n = F.size(words_between(F.col("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    found = contamination(docs, items).withColumnRenamed("__id", "doc_id")
+    found = contamination(docs, items)
     none = F.sha2(F.lit(""), 256)
-    out = docs.select("doc_id", n.alias("n_words")).join(found, "doc_id", "left")
+    own = docs.select("doc_id", n.alias("n_words"), F.xxhash64("text").alias("__th"))
+    out = own.join(found, F.col("doc_id").eqNullSafe(F.col("__id.id")) & (F.col("__th") == F.col("__id.th")), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.sha2(F.array_join("item_ids", ","), 256), none).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
