@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker holds at a time.
 SLICE_BYTES = 2_000_000
-#: Ids are broadcast up to so many (16 bytes each).
-BROADCAST_IDS = 4_000_000
+#: Keys of documents are broadcast up to so many (16 bytes each, about 100 in a hash table).
+BROADCAST_IDS = 500_000
 _LOCAL: dict[str, str] = {}
 
 
@@ -64,15 +64,15 @@ def root_bits(n: int, least: int = 6) -> int:
     return max(least, (max(1, n).bit_length() + 1) // 2)
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def with_lists(docs: DataFrame, lists: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(documents joined with their row of ``lists``, documents that have none).
 
-    Up to ``BROADCAST_IDS`` ids are broadcast, so that the other texts are not shuffled.
+    Up to ``BROADCAST_IDS`` keys are broadcast, so that the other texts are not shuffled.
     """
-    ids = lists.select(id_col)
+    ids = lists.select(*keys)
     if lists.count() <= BROADCAST_IDS:
-        return docs.join(F.broadcast(ids), id_col, "left_semi").join(lists, id_col), docs.join(F.broadcast(ids), id_col, "left_anti")
-    return docs.join(lists, id_col), docs.join(ids, id_col, "left_anti")
+        return docs.join(F.broadcast(ids), keys, "left_semi").join(lists, keys), docs.join(F.broadcast(ids), keys, "left_anti")
+    return docs.join(lists, keys), docs.join(ids, keys, "left_anti")
 
 
 def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,12 @@
 
 Lines with a word, in order, are the sequence of a document. Grams of ``GRAM``
 lines are hashed; of each window of two grams the lesser is a fingerprint (the
-later one on a tie). Runs of three lines or more that two places share therefore
-share a fingerprint. Each fingerprint is joined with its first occurrence, in
-order of document id and position; the match is extended by a line both ways
-(beyond it the next fingerprint stands) and the later run is deleted.
+later one on a tie), so places that share ``RUN`` lines share a fingerprint and,
+on the side of the other gram, the next line. Every fingerprint is therefore
+joined twice, with its left and with its right neighbour, with the first place
+that has both alike. Extended this way a match holds ``RUN`` lines; matches that
+overlap make up whole runs, whichever earlier documents they are from. Later runs
+of ``RUN`` lines or more are deleted, shorter ones never.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import with_lists, written
 
-GRAM = 2
+GRAM, RUN = 2, 3
 
 
 def _number(text: Column) -> Column:
@@ -23,70 +25,67 @@ def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def _sequence(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, seq): numbers (ln) and hashes (h) of the lines that have a word."""
-    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("ln"), x.alias("x")))
-    worded = F.filter(lines, lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]"))
-    return docs.select(F.col(id_col).alias("id"), F.transform(worded, lambda s: F.struct(s["ln"].alias("ln"), _number(s["x"]).alias("h"))).alias("seq"))
+def worded(lines: Column) -> Column:
+    """Numbers, from 0, of the lines that have a word."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, p, fp, ln, left, right): ``ln`` are the lines of the gram, left and right the next lines (ln, h)."""
-    seq = _sequence(docs, id_col, text_col)
-    pair = lambda i: _number(F.concat_ws(":", F.get("seq", i)["h"].cast("string"), F.get("seq", i + 1)["h"].cast("string")))
-    grams = seq.select("id", "seq", F.when(F.size("seq") >= GRAM + 1, F.transform(F.sequence(F.lit(0), F.size("seq") - GRAM), pair)).otherwise(F.array().cast("array<long>")).alias("g"))
-    each = grams.select("id", "seq", "g", F.posexplode_outer("g").alias("p", "fp"))
-    before, after = F.get("g", F.col("p") - 1), F.get("g", F.col("p") + 1)
-    chosen = F.coalesce(F.col("fp") <= before, F.lit(False)) | F.coalesce(F.col("fp") < after, F.lit(False))
-    at = lambda k: F.get("seq", F.col("p") + k)
-    return each.where(chosen).select("id", "p", "fp", F.array(at(0)["ln"], at(1)["ln"]).alias("ln"), at(-1).alias("left"), at(GRAM).alias("right"))
+def matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, key, p): the ``RUN`` lines around each fingerprint, p the place of the first among worded lines."""
+    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    seq = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.transform(lines, _number).alias("h")).where(F.size("h") >= RUN)
+    pair = lambda i: _number(F.concat_ws(":", F.get("h", i).cast("string"), F.get("h", i + 1).cast("string")))
+    grams = seq.select("id", "th", "h", F.transform(F.sequence(F.lit(0), F.size("h") - GRAM), pair).alias("g"))
+    each = grams.select("id", "th", F.posexplode(F.zip_with("g", F.slice("g", 2, F.size("g")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p", "w"), "h").where("w.b is not null")
+    # The window of the grams at p and p + 1 holds the lines p to p + 2; its fingerprint is the lesser gram.
+    left = F.col("w.a") < F.col("w.b")
+    key = F.when(left, F.xxhash64(F.lit("r"), "w.a", F.get("h", F.col("p") + GRAM))).otherwise(F.xxhash64(F.lit("l"), "w.b", F.get("h", F.col("p"))))
+    return each.select("id", "th", key.alias("key"), "p")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, removed): numbers of the lines, from 0, to delete in each document that has any."""
-    own = fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    first = own.groupBy("fp").agg(F.min(F.struct("id", "p", F.col("left.h").alias("left"), F.col("right.h").alias("right"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "first")
-    later = own.join(first, "fp").where("id > first.id or (id = first.id and p > first.p)")
-    more = lambda side: F.when(F.col(f"{side}.h") == F.col(f"first.{side}"), F.array(F.col(f"{side}.ln"))).otherwise(F.array().cast("array<int>"))
-    lines = later.select("id", F.explode(F.concat("ln", more("left"), more("right"))).alias("ln")).distinct()
-    return lines.groupBy("id").agg(F.array_sort(F.collect_list("ln")).alias("removed"))
+    """(id, th, removed): places, from 0 among lines with a word, of the lines to delete in each document that has any."""
+    own = matches(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    first = own.groupBy("key").agg(F.min(F.struct("id", "th", "p")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    later = own.join(first, "key").where("struct(id, th, p) > first")
+    lines = later.select("id", "th", F.explode(F.sequence(F.col("p"), F.col("p") + (RUN - 1))).alias("at")).distinct()
+    return lines.groupBy("id", "th").agg(F.array_sort(F.collect_list("at")).alias("removed"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted, then ``__removed``, the deleted line numbers.
-
-    Lines without a word are kept and stand in no run. Null texts stay null; a
-    text whose lines all go becomes empty. Rows that share an id count as one
-    document: both lose the same lines, none because of the other. Rows with a
-    null id are kept whole. An empty table gives an empty result.
+    """``docs`` with later repeated runs of lines deleted, then ``__n_lines`` and ``__removed``, the deleted line numbers.
+
+    Lines without a word are kept and stand in no run. Null texts stay null and
+    count as one empty line; a text whose lines all go becomes empty. Documents
+    stand in order of id; rows of one id are told by a hash of their text and stand
+    in its order, equal rows are one document and do not repeat each other. Rows
+    with a null id are kept whole. Texts of any length are read whole. An empty
+    table gives an empty result; other columns pass through, whatever their names.
     """
-    lists = written(repeated_lines(docs, id_col, text_col).withColumnRenamed("id", id_col).withColumnRenamed("removed", "__removed"), "repeated-lines")
-    hit, rest = with_lists(docs, lists, id_col)
-    cut = hit.withColumn("__lines", F.split(F.col(text_col), "\n"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__removed"), lambda i: F.get("__lines", i))
-    cut = cut.withColumn(text_col, F.array_join(kept, "\n"))
+    lists = repeated_lines(docs, id_col, text_col).withColumnsRenamed({"id": "__line_id", "th": "__line_th", "removed": "__at"})
+    lists = written(lists, "repeated-lines")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return cut.select(*names, "__removed").unionByName(rest.select(*names, F.array().cast("array<int>").alias("__removed")))
+    own = docs.select(*names, F.xxhash64(text_col).alias("__line_th"), F.col(id_col).alias("__line_id"))
+    hit, rest = with_lists(own, lists, ["__line_id", "__line_th"])
+    cut = hit.withColumn("__lines", F.split(F.col(text_col), "\n")).withColumn("__worded", worded(F.col("__lines")))
+    cut = cut.withColumn("__removed", F.transform("__at", lambda i: F.get("__worded", i)))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__removed"), lambda i: F.get("__lines", i))
+    cut = cut.withColumn("__n_lines", F.size("__lines")).withColumn(text_col, F.array_join(kept, "\n"))
+    whole = rest.select(*names, F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("__n_lines"), F.array().cast("array<int>").alias("__removed"))
+    return cut.select(*names, "__n_lines", "__removed").unionByName(whole)
 
 
 def op4_line_dedup(docs: DataFrame) -> DataFrame:
     """Lines, deleted lines and a hash of what is kept of every document."""
-    docs = docs.select("doc_id", "text")
-    out = without_repeated_lines(docs)
-    left = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
-    gone = F.size("__removed")
-    whole = F.when((F.coalesce("text", F.lit("")) == "") & (gone > 0), gone).otherwise(left + gone)
-    return out.select("doc_id", whole.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = without_repeated_lines(docs.select("doc_id", "text"))
+    return out.select("doc_id", F.col("__n_lines").cast("long").alias("n_lines"), F.size("__removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: By brute force: all runs of three lines, whole, and whether an earlier place has the same.
 OP4_SQL = r"""
-with l as (select doc_id, ln, x, row_number() over (partition by doc_id order by ln) - 1 as q, ('0x' || substr(md5(x), 1, 15))::bigint as h
-  from (select doc_id, generate_subscripts(s, 1) - 1 as ln, unnest(s) as x from (select doc_id, string_split(coalesce(text, ''), chr(10)) as s from documents)) where regexp_matches(x, '[^\x20\x09-\x0D]')),
-g as (select doc_id, q, ln, lead(ln) over w as ln2, lag(ln) over w as lln, lag(h) over w as lh, lead(ln, 2) over w as rln, lead(h, 2) over w as rh, case when lead(h) over w is not null then ('0x' || substr(md5(h || ':' || lead(h) over w), 1, 15))::bigint end as fp from l window w as (partition by doc_id order by q)),
-f as (select * from (select *, lag(fp) over w as before, lead(fp) over w as after from g where fp is not null window w as (partition by doc_id order by q)) where coalesce(fp <= before, false) or coalesce(fp < after, false)),
-e as (select *, first_value(doc_id) over w as d0, first_value(q) over w as q0, first_value(lh) over w as lh0, first_value(rh) over w as rh0 from f window w as (partition by fp order by doc_id, q)),
-m as (select * from e where doc_id > d0 or q > q0),
-r as (select distinct doc_id, ln from (select doc_id, ln from m union all select doc_id, ln2 from m union all select doc_id, lln from m where lh = lh0 union all select doc_id, rln from m where rh = rh0)),
-a as (select doc_id, generate_subscripts(s, 1) - 1 as ln, unnest(s) as x from (select doc_id, string_split(coalesce(text, ''), chr(10)) as s from documents))
+with a as (select doc_id, generate_subscripts(s, 1) - 1 as ln, unnest(s) as x from (select doc_id, string_split(coalesce(text, ''), chr(10)) as s from documents)),
+t as (select doc_id, ln as l1, x as x1, lead(ln) over w as l2, lead(x) over w as x2, lead(ln, 2) over w as l3, lead(x, 2) over w as x3 from a where regexp_matches(x, '[^\x20\x09-\x0D]') window w as (partition by doc_id order by ln)),
+k as (select *, row_number() over (partition by x1, x2, x3 order by doc_id, l1) as place from t where l3 is not null),
+r as (select distinct doc_id, unnest([l1, l2, l3]) as ln from k where place > 1)
 select a.doc_id, count(*)::bigint as n_lines, count(r.ln)::bigint as n_removed, sha256(coalesce(string_agg(x, chr(10) order by a.ln) filter (where r.ln is null), '')) as kept_sha256 from a left join r using (doc_id, ln) group by 1
 """

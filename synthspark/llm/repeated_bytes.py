@@ -9,8 +9,10 @@ buckets by their gram and sorted there. Equal spans settle all their windows at
 once. Windows of anchors that share a context but not the span, where matches
 begin and end, are hashed one by one and sorted in a second round.
 
-Within a batch of documents only the first holder of a span goes on, so a passage
-that very many documents share costs one tuple for each batch.
+Within a batch of documents only the first holder of a span goes to the bucket of
+its gram, so a passage that very many documents share costs that bucket one tuple
+for each batch; the later ones are settled and dealt anywhere. Spans are compared
+by 128 bits of hashes, single windows by 96.
 """
 
 from __future__ import annotations
@@ -158,33 +160,48 @@ class _Layout:
 #: Documents are 64-bit ids with the sign bit turned, so that they sort as numbers.
 _SIGN = np.uint64(1 << 63)
 _SPANS = _Layout(span=8, right=4, left=4, doc=8, first=5, n=1, back=1)
-_STARTS = _Layout(key=8, doc=8, first=5)
+_STARTS = _Layout(key=8, more=4, doc=8, first=5)
 _FOUND = "doc_id long, first long, n long, back long, sides long"
 
 
-def _first_holders(order_key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, group, held): a sort by key and document, the group of each, and the least document of its group."""
-    order = np.lexsort((doc, order_key))
-    k, d = order_key[order], doc[order]
+def _first_holders(keys: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, group, held): a sort by both keys and document, the group of each, and the least document of its group."""
+    order = np.lexsort((doc, keys[1], keys[0]))
+    k, more, d = keys[0][order], keys[1][order], doc[order]
     new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+    new[1:] = (k[1:] != k[:-1]) | (more[1:] != more[:-1])
     group = np.cumsum(new) - 1
     return order, group, d[np.flatnonzero(new)][group] if len(k) else d
 
 
+def _span_keys(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of a span and those of its contexts, which equal spans have in common: 128 bits."""
+    low = np.uint64(0xFFFFFFFF)
+    return t["span"], ((t["right"] & low) << np.uint64(32)) | (t["left"] & low)
+
+
 def _rows(doc: np.ndarray, first: np.ndarray, n: np.ndarray, back: np.ndarray, sides: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array((doc ^ _SIGN).view(np.int64)), *(pa.array(x.astype(np.int64)) for x in (first, n, back, sides))], ["doc_id", "first", "n", "back", "sides"])
 
 
-def _dealt(t: dict[str, np.ndarray], key: np.ndarray, bucket: np.ndarray, layout: _Layout) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, tuples) of a batch: kind 0 first holders of a key, kind 1 later ones."""
-    order, _, held = _first_holders(key, t["doc"])
-    later = np.zeros(len(key), bool)
+def _dealt(t: dict[str, np.ndarray], keys: tuple[np.ndarray, np.ndarray], bucket: np.ndarray, layout: _Layout, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, tuples) of a batch: kind 0 first holders of a key, kind 1 later ones.
+
+    Later holders are settled, so they go to no bucket of their key but, all of a
+    batch together, to any: a passage that every document has crowds none.
+    """
+    order, _, held = _first_holders(keys, t["doc"])
+    later = np.zeros(len(bucket), bool)
     later[order] = held != t["doc"][order]
-    sort = np.lexsort((t["doc"], bucket, later))
-    cut = np.flatnonzero(np.diff(bucket[sort]) | np.diff(later[sort].astype(np.int8))) + 1
+    done = np.flatnonzero(later)
+    if len(done):
+        any_ = int(_mix(t["doc"][done[:1]])[0] >> np.uint64(1)) % buckets
+        yield any_, 1, layout.pack({k: t[k][done] for k in layout.widths})
+    open_ = np.flatnonzero(~later)
+    sort = open_[np.lexsort((t["doc"][open_], bucket[open_]))]
+    cut = np.flatnonzero(np.diff(bucket[sort])) + 1
     for part in np.split(sort, cut) if len(sort) else []:
-        yield int(bucket[part[0]]), int(later[part[0]]), layout.pack({k: t[k][part] for k in layout.widths})
+        yield int(bucket[part[0]]), 0, layout.pack({k: t[k][part] for k in layout.widths})
 
 
 _BLOBS = "bucket int, kind int, tuples binary"
@@ -205,7 +222,7 @@ def _spans_by_bucket(buckets: int):
             t = anchor_tuples(*_binary(batch.column(1)))
             t["doc"] = ids[t["doc"]]
             bucket = (t["gram"] >> np.uint64(40)).astype(np.int64) % buckets
-            yield _blobs(list(_dealt(t, t["span"], bucket, _SPANS)))
+            yield _blobs(list(_dealt(t, _span_keys(t), bucket, _SPANS, buckets)))
 
     return deal
 
@@ -220,7 +237,7 @@ def _settle_spans(table: pa.Table) -> pa.Table:
     done = _SPANS.unpack([b for b, k in zip(blobs, kinds, strict=True) if k])
     out = [_rows(done["doc"], done["first"], done["n"], done["back"], np.zeros(len(done["doc"])))]
     t = _SPANS.unpack([b for b, k in zip(blobs, kinds, strict=True) if not k])
-    order, group, held = _first_holders(t["span"], t["doc"])
+    order, group, held = _first_holders(_span_keys(t), t["doc"])
     t = {k: x[order] for k, x in t.items()}
     dup = held != t["doc"]
     sides = np.zeros(len(group), np.int64)
@@ -255,31 +272,31 @@ def _windows_by_bucket(buckets: int):
             entry, at = entry[keep], at[keep]
             start = first[entry] + at
             place = offsets[row[entry]] + start
-            key = np.zeros(len(place), np.uint64)
+            key, more = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
             for i in range(0, len(place), _PIECE):
                 w = place[i : i + _PIECE]
                 low = int(w.min()) if len(w) else 0
                 high = int(w.max()) + LENGTH if len(w) else 0
-                key[i : i + _PIECE] = _window_hash(data, w) if high - low > 8 * _PIECE else _hash(_eights(data[low:high]), w - low, w - low + LENGTH)
-            t = {"key": key, "doc": _ids(batch.column(0))[row[entry]], "first": start}
-            yield _blobs(list(_dealt(t, key, (key >> np.uint64(40)).astype(np.int64) % buckets, _STARTS)))
+                v, at = _gathered(data, w) if high - low > 8 * _PIECE else (_eights(data[low:high]), w - low)
+                key[i : i + _PIECE] = _hash(v, at, at + LENGTH)
+                more[i : i + _PIECE] = _hash(v ^ _M, at, at + LENGTH) & np.uint64(0xFFFFFFFF)
+            t = {"key": key, "more": more, "doc": _ids(batch.column(0))[row[entry]], "first": start}
+            yield _blobs(list(_dealt(t, (key, more), (key >> np.uint64(40)).astype(np.int64) % buckets, _STARTS, buckets)))
 
     return deal
 
 
-def _window_hash(data: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """As ``_hash`` of the windows at ``w``, gathered byte by byte where they lie far apart."""
-    rows = data[w[:, None] + np.arange(LENGTH)]
-    flat = np.ascontiguousarray(rows).reshape(-1)
-    at = np.arange(len(w)) * LENGTH
-    return _hash(_eights(flat), at, at + LENGTH)
+def _gathered(data: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows at ``w`` one after the other, where they lie far apart: their eights and where each begins."""
+    flat = np.ascontiguousarray(data[w[:, None] + np.arange(LENGTH)]).reshape(-1)
+    return _eights(flat), np.arange(len(w)) * LENGTH
 
 
 def _settle_windows(table: pa.Table) -> pa.Table:
     kinds, blobs = table.column("kind").to_pylist(), table.column("tuples").to_pylist()
     done = _STARTS.unpack([b for b, k in zip(blobs, kinds, strict=True) if k])
     t = _STARTS.unpack([b for b, k in zip(blobs, kinds, strict=True) if not k])
-    order, _, held = _first_holders(t["key"], t["doc"])
+    order, _, held = _first_holders((t["key"], t["more"]), t["doc"])
     dup = held != t["doc"][order]
     doc, first = (np.concatenate((done[k], t[k][order][dup])) for k in ("doc", "first"))
     # Neighbouring windows of a document are one row.
@@ -339,10 +356,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = written(known.mapInArrow(_spans_by_bucket(buckets), _BLOBS).groupBy("bucket").applyInArrow(_settle_spans, _FOUND), "repeat-spans")
     pack = F.collect_list(F.struct("first", "n", "back", "sides")).alias("found")
     open_ = written(spans.where("sides > 0").groupBy("doc_id").agg(pack), "repeat-open")
-    rows, _ = with_lists(known, open_)
+    rows, _ = with_lists(known, open_, ["doc_id"])
     more = rows.select("doc_id", "t", "found").mapInArrow(_windows_by_bucket(buckets), _BLOBS).groupBy("bucket").applyInArrow(_settle_windows, _FOUND)
     lists = written(spans.where("sides = 0").unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("found")), "repeat-found")
-    rows, rest = with_lists(own, lists)
+    rows, rest = with_lists(own, lists, ["doc_id"])
     cut = rows.select("doc_id", "t", "found").mapInArrow(_cut, f"doc_id long, n_bytes long, {_REST}")
     none = rest.select("doc_id", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("t", F.lit(b"")), 256).alias("kept_sha256"), F.array().cast("array<struct<a:long,b:long>>").alias("spans"))
     return cut.unionByName(none)
