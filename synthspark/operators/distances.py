@@ -1,16 +1,21 @@
 """Distances between the columns of a real and a synthetic table.
 
-Values are counted by (column, value) once. Cumulative shares come from windows
-over blocks of a column, with the sums of earlier blocks added, so a column of
-very many values is no single task's work.
+Values are counted by (column, value) once, in one scan of each table, and the
+counts are kept: they are the small side of everything that follows. Figures of
+one row a column or block of a column are collected and come back as constants;
+they are as small as the schema. Cumulative shares come from windows over blocks
+of a column, with the sums of earlier blocks added, so a column of very many
+values is no single task's work.
 """
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import is_numeric, is_time, micros, present
 
@@ -33,24 +38,57 @@ def long_values(pairs: list[tuple[str, Column]], df: DataFrame, kind: str, key:
     return df.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.*").where("value is not null")
 
 
-def counted(values: DataFrame) -> DataFrame:
-    """(column, value, nr, ns): how often each value is in the real and the synthetic table."""
-    return values.groupBy("column", "value").agg(F.count_if(F.col("src") == "r").alias("nr"), F.count_if(F.col("src") == "s").alias("ns"))
+def counted(values: DataFrame, keys: tuple[str, ...] = ("column", "value")) -> DataFrame:
+    """(column, value, nr, ns): how often each value is in the real and the synthetic table.
 
+    The counts are persisted, in memory and then on disk; lost blocks are counted again.
+    """
+    return values.groupBy(*keys).agg(F.count_if(F.col("src") == "r").alias("nr"), F.count_if(F.col("src") == "s").alias("ns")).persist()
+
+
+def constants(found: dict, kind: str) -> Column:
+    """A dictionary by column name as a constant map."""
+    return F.from_json(F.lit(json.dumps(found)), f"map<string,{kind}>")
+
+
+def _of(found: dict, kind: str = "double") -> Column:
+    """The entry of the row's column."""
+    return F.try_element_at(constants(found, kind), F.col("column"))
 
-def cumulative(counts: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+
+def summaries(counts: DataFrame, blocks: int = BLOCKS) -> dict[str, Row]:
+    """One row for each numeric column: cuts between blocks, totals, ranges and numbers of distinct values."""
+    side = {x: F.when(F.col(f"n{x}") > 0, F.col("value")) for x in "rs"}
+    ranges = [c for x, v in side.items() for c in (F.min(v).alias(f"{x}_lo"), F.max(v).alias(f"{x}_hi"), F.count(v).alias(f"{x}_unique"))]
+    rows = counts.groupBy("column").agg(F.percentile_approx("value", [i / blocks for i in range(1, blocks)], 1000).alias("cuts"), F.sum("nr").alias("tr"), F.sum("ns").alias("ts"), *ranges).collect()
+    return {r["column"]: r for r in rows}
+
+
+def cumulative(counts: DataFrame, blocks: int = BLOCKS, known: dict[str, Row] | None = None) -> DataFrame:
     """``counts`` with cr, cs (values up to and with this one), tr, ts (totals) and dx (to the next value)."""
-    cuts = counts.groupBy("column").agg(F.percentile_approx("value", [i / blocks for i in range(1, blocks)], 1000).alias("cuts"), F.sum("nr").alias("tr"), F.sum("ns").alias("ts"))
-    # One row a column: as small as the schema.
-    dealt = counts.join(F.broadcast(cuts), "column").withColumn("block", F.size(F.filter("cuts", lambda c: c < F.col("value"))))
-    ahead = Window.partitionBy("column").orderBy("block")
-    sums = dealt.groupBy("column", "block").agg(F.sum("nr").alias("br"), F.sum("ns").alias("bs"), F.min("value").alias("bx"))
-    earlier = ahead.rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("column", "block", F.coalesce(F.sum("br").over(earlier), F.lit(0)).alias("r0"), F.coalesce(F.sum("bs").over(earlier), F.lit(0)).alias("s0"), F.lead("bx").over(ahead).alias("next_x"))
-    within = Window.partitionBy("column", "block").orderBy("value")
-    upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    at = dealt.join(F.broadcast(starts), ["column", "block"])
-    return at.select("column", "value", "nr", "ns", "tr", "ts", (F.sum("nr").over(upto) + F.col("r0")).alias("cr"), (F.sum("ns").over(upto) + F.col("s0")).alias("cs"), (F.coalesce(F.lead("value").over(within), F.col("next_x")) - F.col("value")).alias("dx"))
+    known = summaries(counts, blocks) if known is None else known
+    cuts = _of({c: sorted(set(r["cuts"])) for c, r in known.items()}, "array<double>")
+    dealt = counts.withColumn("block", F.size(F.filter(cuts, lambda c: c < F.col("value"))))
+    sums: dict[str, dict[int, Row]] = {}
+    for r in dealt.groupBy("column", "block").agg(F.sum("nr").alias("br"), F.sum("ns").alias("bs"), F.min("value").alias("bx")).collect():
+        sums.setdefault(r["column"], {})[r["block"]] = r
+    ahead: dict[str, dict] = {x: {c: [0] * (blocks + 1) for c in sums} for x in ("br", "bs")}
+    following: dict[str, list] = {c: [None] * (blocks + 1) for c in sums}
+    for c, own in sums.items():
+        order = sorted(own)
+        for before, k in zip(order, order[1:]):
+            following[c][before] = own[k]["bx"]
+        for x in ahead:
+            at = 0
+            for k in order:
+                ahead[x][c][k] = at
+                at += own[k][x]
+    upto = Window.partitionBy("column", "block").orderBy("value")
+    running = upto.rowsBetween(Window.unboundedPreceding, 0)
+    start = lambda x: F.get(_of(ahead[x], "array<bigint>"), F.col("block"))
+    after = F.coalesce(F.lead("value").over(upto), F.get(_of(following, "array<double>"), F.col("block")))
+    total = lambda x: _of({c: r[x] for c, r in known.items()}, "bigint").alias(x)
+    return dealt.select("column", "value", "nr", "ns", total("tr"), total("ts"), (F.sum("nr").over(running) + start("br")).alias("cr"), (F.sum("ns").over(running) + start("bs")).alias("cs"), (after - F.col("value")).alias("dx"))
 
 
 def _quantile(p: float) -> Column:
@@ -67,9 +105,9 @@ def spread_of(q25: Column, q75: Column, std: Column, low: Column, high: Column)
     return F.when(low == high, F.lit(1.0)).when(q75 > q25, q75 - q25).when(std > 0, std).when(high > low, high - low).otherwise(F.lit(1.0))
 
 
-def numeric_distances(counts: DataFrame) -> DataFrame:
+def numeric_distances(counts: DataFrame, known: dict[str, Row] | None = None) -> DataFrame:
     """(column, distance, ks, spread, r_lo, r_hi, r_unique, s_lo, s_hi, s_unique) for columns with values on both sides."""
-    c = cumulative(counts)
+    c = cumulative(counts, known=known)
     gap = F.abs(F.col("cr") / F.col("tr") - F.col("cs") / F.col("ts"))
     real, synth = F.col("nr") > 0, F.col("ns") > 0
     mean = F.sum(F.col("nr") * F.col("value")) / F.sum("nr")
@@ -96,27 +134,30 @@ def peaks(histogram: Column) -> Column:
     return F.greatest(F.lit(1), F.aggregate(histogram, start, step, lambda s: s["n"]))
 
 
-def histograms(counts: DataFrame, stats: DataFrame, bins: int = 30) -> DataFrame:
+def histograms(counts: DataFrame, known: dict[str, Row] | None = None, bins: int = 30) -> DataFrame:
     """(column, src, histogram): equal bins, as many as distinct values but at most ``bins``, the last one closed."""
-    cell = lambda s: F.struct(F.lit(s).alias("src"), F.col(f"n{s}").alias("n"), F.col(f"{s}_lo").alias("lo"), F.col(f"{s}_hi").alias("hi"), F.least(F.col(f"{s}_unique"), F.lit(bins)).alias("nb"))
-    each = counts.join(F.broadcast(stats), "column").select("column", "value", F.explode(F.array(cell("r"), cell("s"))).alias("c")).where("c.n > 0")
+    known = summaries(counts) if known is None else known
+    figure = lambda name, x, kind: _of({c: r[f"{x}_{name}"] for c, r in known.items()}, kind).alias(name)
+    cell = lambda x: F.struct(F.lit(x).alias("src"), F.col(f"n{x}").alias("n"), figure("lo", x, "double"), figure("hi", x, "double"), F.least(figure("unique", x, "bigint"), F.lit(bins)).alias("nb"))
+    each = counts.select("column", "value", F.explode(F.array(cell("r"), cell("s"))).alias("c")).where("c.n > 0")
     at = F.when(F.col("c.hi") > F.col("c.lo"), F.least(F.floor((F.col("value") - F.col("c.lo")) * F.col("c.nb") / (F.col("c.hi") - F.col("c.lo"))), F.col("c.nb") - 1)).otherwise(F.lit(0))
     binned = each.groupBy("column", F.col("c.src").alias("src"), F.col("c.nb").alias("nb"), at.cast("int").alias("bin")).agg(F.sum("c.n").alias("n"))
     full = binned.groupBy("column", "src", "nb").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
     return full.select("column", "src", F.transform(F.sequence(F.lit(0), F.col("nb").cast("int") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("histogram"))
 
 
-def mode_counts(counts: DataFrame, stats: DataFrame) -> DataFrame:
+def mode_counts(counts: DataFrame, known: dict[str, Row] | None = None) -> DataFrame:
     """(column, real_modes, synth_modes)."""
-    h = histograms(counts, stats).withColumn("modes", peaks(F.col("histogram")))
+    h = histograms(counts, known).withColumn("modes", peaks(F.col("histogram")))
     return h.groupBy("column").agg(F.max(F.when(F.col("src") == "r", F.col("modes"))).alias("real_modes"), F.max(F.when(F.col("src") == "s", F.col("modes"))).alias("synth_modes"))
 
 
 def total_variation(counts: DataFrame) -> DataFrame:
     """(column, distance): half the sum of absolute differences of shares."""
-    total = counts.groupBy("column").agg(F.sum("nr").alias("tr"), F.sum("ns").alias("ts")).where("tr > 0 and ts > 0")
-    diff = F.abs(F.col("nr") / F.col("tr") - F.col("ns") / F.col("ts"))
-    return counts.join(F.broadcast(total), "column").groupBy("column").agg((0.5 * F.sum(diff)).alias("distance"))
+    rows = counts.groupBy("column").agg(F.sum("nr").alias("tr"), F.sum("ns").alias("ts")).collect()
+    both_there = {x: {r["column"]: r[x] for r in rows if r["tr"] and r["ts"]} for x in ("tr", "ts")}
+    diff = F.abs(F.col("nr") / _of(both_there["tr"], "bigint") - F.col("ns") / _of(both_there["ts"], "bigint"))
+    return counts.where(F.col("column").isin(list(both_there["tr"]))).groupBy("column").agg((0.5 * F.sum(diff)).alias("distance"))
 
 
 def column_kinds(real: DataFrame, synth: DataFrame, meta: dict | None = None) -> dict[str, str]:
@@ -147,11 +188,20 @@ def value_frames(real: DataFrame, synth: DataFrame, kinds: dict[str, str], meta:
         mark = "" if type(real.schema[c].dataType) is type(synth.schema[c].dataType) else f"{src}:"
         return F.concat(F.lit(mark), present(F.col(c), df.schema[c].dataType).cast("string"))
 
-    out = []
-    for kind, names in (("double", [c for c, k in kinds.items() if k != "categorical"]), ("string", [c for c, k in kinds.items() if k == "categorical"])):
-        parts = [long_values([(c, number(df, c) if kind == "double" else text(df, c, src)) for c in names], df.withColumn("src", F.lit(src)), kind) for src, df in (("r", real), ("s", synth))] if names else []
-        out.append(counted(parts[0].unionByName(parts[1])) if parts else None)
-    return out[0], out[1]
+    null = {"number": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
+
+    def cells(df: DataFrame, src: str) -> DataFrame:
+        own = [(c, {"text": text(df, c, src)} if k == "categorical" else {"number": number(df, c).cast("double")}) for c, k in kinds.items()]
+        every = F.array(*(F.struct(F.lit(c).alias("column"), *((v | {x: n for x, n in null.items() if x not in v})[x].alias(x) for x in null)) for c, v in own))
+        return df.select(F.lit(src).alias("src"), F.explode(every).alias("cell")).select("src", "cell.*").where("number is not null or text is not null")
+
+    if not kinds:
+        return None, None
+    counts = counted(cells(real, "r").unionByName(cells(synth, "s")), ("column", "number", "text"))
+    some = {k == "categorical" for k in kinds.values()}
+    numbers = counts.where("number is not null").select("column", F.col("number").alias("value"), "nr", "ns")
+    texts = counts.where("text is not null").select("column", F.col("text").alias("value"), "nr", "ns")
+    return numbers if False in some else None, texts if True in some else None
 
 
 FINDINGS = "column string, dtype string, metric string, distance double, score double, ok boolean, real_modes int, synth_modes int, modal_warning string"
@@ -168,10 +218,11 @@ def evaluate(real: DataFrame, synth: DataFrame, meta: dict | None = None) -> Dat
     numbers, texts = value_frames(real, synth, kinds, meta)
     out = real.sparkSession.createDataFrame([], FINDINGS)
     if numbers is not None:
-        stats = numeric_distances(numbers)
+        known = summaries(numbers)
+        stats = numeric_distances(numbers, known)
         dates = [c for c, k in kinds.items() if k == "datetime"]
-        modes = mode_counts(numbers.where(~F.col("column").isin(dates)), stats) if len(dates) < len([k for k in kinds.values() if k != "categorical"]) else None
-        found = stats.join(modes, "column", "left") if modes is not None else stats.withColumns({"real_modes": F.lit(None).cast("int"), "synth_modes": F.lit(None).cast("int")})
+        modes = mode_counts(numbers.where(~F.col("column").isin(dates)) if dates else numbers, known) if len(dates) < len([k for k in kinds.values() if k != "categorical"]) else None
+        found = stats.join(F.broadcast(modes), "column", "left") if modes is not None else stats.withColumns({"real_modes": F.lit(None).cast("int"), "synth_modes": F.lit(None).cast("int")})
         score, date = F.col("distance") / F.col("spread"), F.col("column").isin(dates)
         lost = (F.col("real_modes") >= 2) & (F.col("synth_modes") < F.col("real_modes"))
         warning = F.when(lost, F.concat(F.col("real_modes").cast("string"), F.lit(" → "), F.col("synth_modes").cast("string")))
@@ -182,16 +233,20 @@ def evaluate(real: DataFrame, synth: DataFrame, meta: dict | None = None) -> Dat
     return out
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(col_a, col_b, r) of all column pairs, over rows where both are present; null if one is constant."""
+def correlations(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
+    """(col_a, col_b, rc, sc) of all column pairs in both tables, over rows where both are present; null if one is constant."""
+    number = lambda df, src: df.select(F.lit(src).alias("src"), *(present(F.col(c).cast("double"), T.DoubleType()).alias(c) for c in columns))
+    rows = number(real, "r").unionByName(number(synth, "s"))
     cells = []
     for a, b in combinations(columns, 2):
-        x, y = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), present(F.col(c).cast("double"), df.schema[c].dataType)) for c in (a, b))
-        both_there = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both_there, x), F.when(both_there, y)
-        cov, sx, sy = F.covar_samp(x, y), F.stddev_samp(x), F.stddev_samp(y)
-        cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.when((sx > 0) & (sy > 0), cov / (sx * sy)).alias("r")))
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+        r = []
+        for src in "rs":
+            there = (F.col("src") == src) & F.col(a).isNotNull() & F.col(b).isNotNull()
+            x, y = F.when(there, F.col(a)), F.when(there, F.col(b))
+            sx, sy = F.stddev_samp(x), F.stddev_samp(y)
+            r.append(F.when((sx > 0) & (sy > 0), F.covar_samp(x, y) / (sx * sy)).alias(f"{src}c"))
+        cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), *r))
+    return rows.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
 def pair_severity(real_corr: Column, synth_corr: Column, delta: Column) -> Column:
@@ -205,8 +260,7 @@ def evaluate_pairs(real: DataFrame, synth: DataFrame, columns: list[str] | None
     names = columns or [c for c, k in column_kinds(real, synth).items() if k == "numeric"]
     if len(names) < 2:
         return real.sparkSession.createDataFrame([], "col_a string, col_b string, real_corr double, synth_corr double, delta double, severity string")
-    r, s = correlations(real, names).withColumnRenamed("r", "rc"), correlations(synth, names).withColumnRenamed("r", "sc")
-    out = r.join(s, ["col_a", "col_b"]).where(F.abs(F.col("rc") - F.col("sc")) > DELTA)
+    out = correlations(real, synth, names).where(F.abs(F.col("rc") - F.col("sc")) > DELTA)
     out = out.select("col_a", "col_b", F.round("rc", 3).alias("real_corr"), F.round("sc", 3).alias("synth_corr"), F.round(F.abs(F.col("rc") - F.col("sc")), 3).alias("delta"))
     return out.withColumn("severity", pair_severity(F.col("real_corr"), F.col("synth_corr"), F.col("delta")))
 
@@ -230,8 +284,7 @@ def column_shapes(real: DataFrame, synth: DataFrame, meta: dict | None = None) -
 
 def correlation_similarity(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
     """(col_a, col_b, score): 1 less half the difference of the correlations."""
-    r, s = correlations(real, columns).withColumnRenamed("r", "rc"), correlations(synth, columns).withColumnRenamed("r", "sc")
-    return r.join(s, ["col_a", "col_b"]).where("rc is not null and sc is not null").select("col_a", "col_b", (1 - F.abs(F.col("rc") - F.col("sc")) / 2).alias("score"))
+    return correlations(real, synth, columns).where("rc is not null and sc is not null").select("col_a", "col_b", (1 - F.abs(F.col("rc") - F.col("sc")) / 2).alias("score"))
 
 
 def contingency_similarity(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:

@@ -69,7 +69,7 @@ def recommend_distributions(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def quantiles(df: DataFrame, columns: list[str], ps: list[float]) -> DataFrame:
     """(column, p, value): exact quantiles with linear interpolation, from blocked cumulative counts."""
-    counts = long_values(_cells(df, columns), df, "double", key=[]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("nr"), F.lit(0).alias("ns"))
+    counts = long_values(_cells(df, columns), df, "double", key=[]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("nr"), F.lit(0).cast("long").alias("ns")).persist()
     c = cumulative(counts)
     each = c.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps)))).withColumn("h", (F.col("tr") - 1) * F.col("p"))
     at = lambda k: F.max(F.when((F.col("cr") > k) & (F.col("cr") - F.col("nr") <= k), F.col("value")))

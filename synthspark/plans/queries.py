@@ -151,7 +151,7 @@ def _modes_sql(table, numbers):
 
 def _modes(spark, d, table, kinds):
     counts = _numeric(spark, d, table, kinds)
-    out = distances.mode_counts(counts, distances.numeric_distances(counts))
+    out = distances.mode_counts(counts)
     return out.withColumn("lost", (F.col("real_modes") >= 2) & (F.col("synth_modes") < F.col("real_modes")))
 
 
@@ -548,7 +548,7 @@ def inequality_violations(spark, d):
 @query("plot_histogram", f"with {ecdf_sql(long_sql('orders', {'o_totalprice': 'o_totalprice'}))}, {MODES} select case when is_r = 1 then 'real' else 'synth' end as src, bin, n from b3")
 def plot_histogram(spark, d):
     counts = _numeric(spark, d, "orders", {"o_totalprice": "numeric"})
-    h = distances.histograms(counts, distances.numeric_distances(counts))
+    h = distances.histograms(counts)
     return h.select(F.when(F.col("src") == "r", "real").otherwise("synth").alias("src"), F.posexplode("histogram").alias("bin", "n"))
 
 
