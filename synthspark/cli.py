@@ -7,9 +7,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .operators.copula import fit, sample
+from .operators.copula import find_keys, fit, sample
 from .operators.distances import evaluate
-from .sources.tables import load_schema, read_table, schema_distributions, spark_schema, write_table
+from .sources.tables import load_schema, primary_keys, read_table, schema_distributions, spark_schema, write_table
 
 
 def parse(argv: list[str] | None = None) -> argparse.Namespace:
@@ -33,7 +33,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.verb == "synthesize":
         schema = load_schema(args.schema) if args.schema else None
         df = read_table(spark, args.input, spark_schema(schema) if schema else None)
-        model = fit(df, (schema or {}).get("constraints"), args.seed, schema_distributions(schema) if schema else None)
+        keys = sorted({*find_keys(df), *primary_keys(schema or {"columns": {}})})
+        model = fit(df, (schema or {}).get("constraints"), args.seed, schema_distributions(schema) if schema else None, keys)
         n = args.rows or df.count()
         write_table(sample(spark, model, n, args.seed), args.output)
         print(f"{n} rows written to {args.output}")

@@ -1,9 +1,11 @@
 """Gaussian copula: fit and sample tables and sequences.
 
-A fit reads the table by aggregates: quantile knots of numbers, cumulative shares
-of categories, and rank correlations. What the driver holds is as large as the
-schema. Samples are expressions over ``spark.range``: normals from hashes of the
-row number, so they do not hang on partitions.
+A fit reads the table twice: once for the counts of values, which give quantile
+knots of numbers and cumulative shares of categories, and once for rank
+correlations, with ranks as expressions over the knots. What the driver holds is
+as large as the schema; shares of columns with many categories stay a table.
+Samples are expressions over ``spark.range``: normals from hashes of the row
+number, so they do not hang on partitions.
 """
 
 from __future__ import annotations
@@ -12,16 +14,19 @@ from dataclasses import dataclass, field
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import is_missing, is_numeric, uniform
-from .profile import quantiles, value_counts
+from ..functions.scalars import is_numeric, is_time, micros, present, uniform
+from .distances import cumulative
+from .profile import quantiles
 
-KNOTS = tuple(i / 20 for i in range(21))
-#: Categories that a marginal keeps, the most frequent first; others are not sampled.
-MOST_CATEGORIES = 1000
+KNOTS = tuple(i / 40 for i in range(41))
+#: Columns with so many categories at most have them as constants, others in a table that draws are joined with.
+CONSTANT_CATEGORIES = 200
+#: Marginals that a column may ask for; ``gaussian_kde`` follows the quantiles of the data, as does no wish.
+FAMILIES = ("norm", "truncnorm", "uniform", "beta", "gamma", "gaussian_kde")
 
 
 @dataclass
@@ -30,8 +35,11 @@ class Marginal:
     kind: str
     integral: bool
     null_share: float
-    z: list[float]
+    p: list[float]
     x: list
+    #: (bucket, value, lo, hi) where there are too many categories for constants, and the number of buckets.
+    table: DataFrame | None = None
+    buckets: int = 0
 
 
 @dataclass
@@ -42,6 +50,8 @@ class CopulaModel:
     types: dict[str, str]
     constraints: list[dict] = field(default_factory=list)
     seed: int = 42
+    #: Columns that are keys, with the greatest number seen (0 for other types).
+    keys: dict[str, int] = field(default_factory=dict)
 
 
 def build_constraints(rules: list[dict]) -> list[dict]:
@@ -63,7 +73,8 @@ def inequality_rule(low: str, operator: str, high: str) -> dict:
 
 
 def _encoded(df: DataFrame, constraints: list[dict]) -> DataFrame:
-    """Constrained columns by what can be sampled freely: a gap, or a tuple as one category."""
+    """Dates as microseconds, constrained columns by what can be sampled freely: a gap, or a tuple as one category."""
+    df = df.withColumns({f.name: micros(F.col(f.name), f.dataType) for f in df.schema.fields if is_time(f.dataType)} or {df.columns[0]: F.col(df.columns[0])})
     for i, rule in enumerate(constraints):
         missing = [c for c in ([rule["low"], rule["high"]] if rule["type"] == "inequality" else rule["columns"]) if c not in df.columns]
         if missing:
@@ -75,63 +86,149 @@ def _encoded(df: DataFrame, constraints: list[dict]) -> DataFrame:
     return df
 
 
-def rank_correlations(df: DataFrame, columns: list[str]) -> np.ndarray:
+def find_keys(df: DataFrame) -> list[str]:
+    """Columns whose values are whole numbers or texts, never missing and never repeated in more than five rows."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.IntegralType, T.StringType))]
+    if not names:
+        return []
+    # Only columns that look unique are counted exactly.
+    rough = df.agg(F.count(F.lit(1)).alias("n"), *(F.approx_count_distinct(c).alias(f"u{i}") for i, c in enumerate(names))).first()
+    likely = [c for i, c in enumerate(names) if rough["n"] > 5 and rough[f"u{i}"] > 0.8 * rough["n"]]
+    return [c for c in likely if df.select(c).where(F.col(c).isNotNull()).distinct().count() == rough["n"]]
+
+
+def _tree(value: Column, cuts: list[float], leaves: list[Column]) -> Column:
+    """The leaf of the interval between ``cuts`` that holds ``value``, by halving."""
+    if len(leaves) == 1:
+        return leaves[0]
+    m = len(leaves) // 2
+    return F.when(value < F.lit(float(cuts[m - 1])), _tree(value, cuts[: m - 1], leaves[:m])).otherwise(_tree(value, cuts[m:], leaves[m:]))
+
+
+def _rank(m: Marginal, c: Column) -> Column:
+    """The share of values below, half of the equal ones included, by the knots of a marginal."""
+    if m.kind == "category":
+        lows = [0.0, *m.p[:-1]]
+        told = {str(v): (a + b) / 2 for v, a, b in zip(m.x, lows, m.p, strict=True)}
+        return F.try_element_at(F.create_map(*(F.lit(x) for pair in told.items() for x in pair)), c.cast("string"))
+    steps: dict[float, list[float]] = {}
+    for p, x in zip(m.p, m.x, strict=True):
+        steps.setdefault(float(x), []).append(p)
+    xs = sorted(steps)
+    leaves = []
+    for i, x in enumerate(xs):
+        mid, high = F.lit((steps[x][0] + steps[x][-1]) / 2), steps[x][-1]
+        between = F.lit(high) + (c - x) / (xs[i + 1] - x) * (steps[xs[i + 1]][0] - high) if i + 1 < len(xs) else mid
+        leaves.append(F.when(c <= x, mid).otherwise(between))
+    return F.when(c.isNotNull(), _tree(c.cast("double"), xs[1:], leaves))
+
+
+def rank_correlations(df: DataFrame, marginals: list[Marginal]) -> np.ndarray:
     """Spearman correlations of all pairs; categories count by their frequency rank."""
-    ranked = df.withColumn("__row", F.monotonically_increasing_id())
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), (F.col(c).cast("double") if is_numeric(df.schema[c].dataType) else F.lit(None).cast("double")).alias("number"), F.col(c).cast("string").alias("text")) for c in columns))
-    long = ranked.select("__row", F.explode(cells).alias("c")).select("__row", "c.*").where("text is not null")
-    n = long.groupBy("column", "number", "text").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("column").orderBy("number", F.desc("n"), "text")
-    mid = n.select("column", "number", "text", (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("n") - 1) / 2).alias("rank"))
-    wide = long.join(mid, ["column", "text"]).groupBy("__row").agg(*(F.max(F.when(F.col("column") == c, F.col("rank"))).alias(f"r{i}") for i, c in enumerate(columns)))
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
-    corr = lambda i, j: F.covar_pop(f"r{i}", f"r{j}") / F.nullif(F.stddev_pop(f"r{i}") * F.stddev_pop(f"r{j}"), F.lit(0.0))
-    found = wide.agg(*(corr(i, j).alias(f"c{i}_{j}") for i, j in pairs)).first() if pairs else {}
-    out = np.eye(len(columns))
+    rows = df
+    for i, m in enumerate(marginals):
+        if m.table is not None:
+            mid = m.table.select(F.col("value").alias(f"__v{i}"), ((F.col("lo") + F.col("hi")) / 2).alias(f"__r{i}")).distinct()
+            rows = rows.join(mid, rows[m.column] == mid[f"__v{i}"], "left").drop(f"__v{i}")
+        else:
+            rows = rows.withColumn(f"__r{i}", _rank(m, present(F.col(m.column), df.schema[m.column].dataType)))
+    pairs = [(i, j) for i in range(len(marginals)) for j in range(i)]
+
+    def corr(i: int, j: int) -> Column:
+        there = F.col(f"__r{i}").isNotNull() & F.col(f"__r{j}").isNotNull()
+        a, b = F.when(there, F.col(f"__r{i}")), F.when(there, F.col(f"__r{j}"))
+        return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+    found = rows.agg(*(corr(i, j).alias(f"c{i}_{j}") for i, j in pairs)).first() if pairs else {}
+    out = np.eye(len(marginals))
     for i, j in pairs:
         out[i, j] = out[j, i] = float(found[f"c{i}_{j}"] or 0.0)
     return out
 
 
-def fit(df: DataFrame, constraints: list[dict] | None = None, seed: int = 42, distributions: dict[str, str] | None = None) -> CopulaModel:
-    """Marginals and dependence of a table; ``distributions`` may name ``norm`` for a column."""
+def family_knots(family: str, low: float, high: float, mean: float, std: float, ps: tuple = KNOTS) -> list[float]:
+    """Quantiles of a family with these moments between the least and the greatest value."""
+    if not std or high <= low:
+        return [mean] * len(ps)
+    x = np.linspace(low, high, 4001)[1:-1]
+    u = (x - low) / (high - low)
+    m, v = (mean - low) / (high - low), (std / (high - low)) ** 2
+    if family == "uniform":
+        log = np.zeros_like(x)
+    elif family == "beta":
+        k = max(m * (1 - m) / v - 1, 1e-3)
+        log = (m * k - 1) * np.log(u) + ((1 - m) * k - 1) * np.log1p(-u)
+    elif family == "gamma":
+        log = (m * m / v - 1) * np.log(u) - u * m / v
+    else:
+        log = -(((x - mean) / std) ** 2) / 2
+    mass = np.cumsum(np.exp(log - log.max()))
+    return [float(v) for v in np.interp(ps, np.concatenate(([0.0], mass / mass[-1])), np.concatenate(([low], x)))]
+
+
+def _categories(own: DataFrame, c: str) -> tuple[list[tuple[str, float]] | None, DataFrame | None, int]:
+    """(value, cumulative share) as constants, the most frequent first, or the table for many."""
+    counts = own.select(F.col(c).cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("nr")).persist()
+    n = counts.count()
+    if n <= CONSTANT_CATEGORIES:
+        rows = sorted(counts.collect(), key=lambda r: (-r["nr"], r["v"]))
+        at, total, out = 0, sum(r["nr"] for r in rows), []
+        for r in rows:
+            at += r["nr"]
+            out.append((r["v"], at / total))
+        return out, None, 0
+    # The order is by frequency; a hash stands for the order of equal ones.
+    order = -F.col("nr") - F.abs(F.xxhash64("v")) / F.lit(float(1 << 63)) / 2
+    ranked = cumulative(counts.select(F.lit(c).alias("column"), order.alias("value"), "nr", F.lit(0).cast("long").alias("ns"), "v").persist(), keep=["v"])
+    shares = ranked.select(F.col("v").alias("value"), ((F.col("cr") - F.col("nr")) / F.col("tr")).alias("lo"), (F.col("cr") / F.col("tr")).alias("hi"))
+    last = F.least(F.floor(F.col("hi") * n), F.lit(n - 1))
+    return None, shares.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") * n), last))).persist(), n
+
+
+def fit(df: DataFrame, constraints: list[dict] | None = None, seed: int = 42, distributions: dict[str, str] | None = None, keys: list[str] | None = None) -> CopulaModel:
+    """Marginals and dependence of a table.
+
+    ``distributions`` may name a family for a numeric column. ``keys`` never enter
+    the model, so no value of theirs can be sampled; without a list the columns of
+    unique values are keys. Dates are numbers. Columns without a value stay empty.
+    """
     rules = build_constraints(constraints or [])
-    own = _encoded(df, rules)
+    used_by_rules = {c for r in rules for c in (r.get("columns") or [r.get("low"), r.get("high")])}
+    keys = [c for c in find_keys(df) if c not in used_by_rules] if keys is None else keys
+    wrong = {c: d for c, d in (distributions or {}).items() if d not in FAMILIES}
+    if wrong:
+        raise ValueError(f"unknown distributions: {wrong}")
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rest = df.drop(*keys)
+    own = _encoded(rest, rules) if rest.columns else rest
     numbers = [c for c in own.columns if is_numeric(own.schema[c].dataType)]
-    inside = lambda p: min(max(p, 0.001), 0.999)
     knots: dict[str, list] = {}
     if numbers:
         for r in quantiles(own, numbers, list(KNOTS)).orderBy("column", "p").collect():
             knots.setdefault(r["column"], []).append(r["value"])
-    share = own.agg(*(F.avg(is_missing(F.col(c), own.schema[c].dataType).cast("double")).alias(c) for c in own.columns), *(F.avg(F.col(c).cast("double")).alias(f"__mean_{c}") for c in numbers), *(F.stddev_samp(F.col(c).cast("double")).alias(f"__std_{c}") for c in numbers)).first()
-    marginals, used = [], []
-    for c in own.columns:
-        kind = own.schema[c].dataType
-        if is_numeric(kind):
-            if c not in knots:
-                continue
-            z = [NormalDist().inv_cdf(inside(p)) for p in KNOTS]
-            x = knots[c]
-            if (distributions or {}).get(c) == "norm" and share[f"__std_{c}"]:
-                x = [min(max(share[f"__mean_{c}"] + share[f"__std_{c}"] * v, knots[c][0]), knots[c][-1]) for v in z]
-            marginals.append(Marginal(c, "number", isinstance(kind, T.IntegralType), float(share[c] or 0), z, x))
+    value = lambda c: present(F.col(c), own.schema[c].dataType)
+    one = own.agg(F.count(F.lit(1)).alias("n"), *(F.count(value(c)).alias(f"n_{i}") for i, c in enumerate(own.columns)), *(f(value(c).cast("double")).alias(f"{name}_{c}") for c in numbers for name, f in (("mean", F.avg), ("std", F.stddev_samp)))).first() if own.columns else {"n": 0}
+    marginals = []
+    for i, c in enumerate(own.columns):
+        null = 1 - one[f"n_{i}"] / one["n"] if one["n"] else 0.0
+        if not one[f"n_{i}"]:
+            continue
+        if c in numbers:
+            family = (distributions or {}).get(c, "gaussian_kde")
+            x = knots[c] if family == "gaussian_kde" else family_knots(family, knots[c][0], knots[c][-1], one[f"mean_{c}"], one[f"std_{c}"] or 0.0)
+            marginals.append(Marginal(c, "number", isinstance(own.schema[c].dataType, T.IntegralType), null, list(KNOTS), x))
         else:
-            rows = value_counts(own, c).orderBy(F.desc("n"), "value").limit(MOST_CATEGORIES).collect()
-            if not rows:
-                continue
-            total, at, z = sum(r["n"] for r in rows), 0, []
-            for r in rows:
-                at += r["n"]
-                z.append(NormalDist().inv_cdf(min(at / total, 1 - 1e-12)))
-            marginals.append(Marginal(c, "category", False, float(share[c] or 0), z, [r["value"] for r in rows]))
-        used.append(c)
-    rho = 2 * np.sin(np.pi / 6 * rank_correlations(own, used)) if used else np.eye(0)
+            few, table, buckets = _categories(own, c)
+            marginals.append(Marginal(c, "category", False, null, [p for _, p in few or []], [v for v, _ in few or []], table, buckets))
+    rho = 2 * np.sin(np.pi / 6 * rank_correlations(own, marginals)) if marginals else np.eye(0)
     np.fill_diagonal(rho, 1.0)
-    values, vectors = np.linalg.eigh(rho) if used else (np.zeros(0), np.eye(0))
+    values, vectors = np.linalg.eigh(rho) if marginals else (np.zeros(0), np.eye(0))
     near = vectors @ np.diag(np.maximum(values, 1e-6)) @ vectors.T
     scale = np.sqrt(np.diag(near))
-    factor = np.linalg.cholesky(near / np.outer(scale, scale)) if used else np.eye(0)
-    return CopulaModel(marginals, factor, df.columns, {f.name: f.dataType.simpleString() for f in df.schema.fields}, rules, seed)
+    factor = np.linalg.cholesky(near / np.outer(scale, scale)) if marginals else np.eye(0)
+    whole = [c for c in keys if is_numeric(df.schema[c].dataType)]
+    most = df.agg(*(F.max(c).alias(c) for c in whole)).first() if whole else {}
+    return CopulaModel(marginals, factor, df.columns, types, rules, seed, {c: int(most[c] or 0) if c in whole else 0 for c in keys})
 
 
 def _normal(row: Column, i: int, seed: int) -> Column:
@@ -140,44 +237,73 @@ def _normal(row: Column, i: int, seed: int) -> Column:
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * np.pi * uniform(row, f"{seed}/{i}/b"))
 
 
+def _z(p: float) -> float:
+    return NormalDist().inv_cdf(min(max(p, 1e-12), 1 - 1e-12))
+
+
 def _inverse(m: Marginal, z: Column) -> Column:
     if m.kind == "category":
-        out = F.lit(m.x[-1])
-        for limit, value in reversed(list(zip(m.z[:-1], m.x[:-1], strict=True))):
-            out = F.when(z <= limit, F.lit(value)).otherwise(out)
-        return out
-    out = F.lit(float(m.x[-1]))
-    for a, b, x, y in reversed(list(zip(m.z[:-1], m.z[1:], m.x[:-1], m.x[1:], strict=True))):
-        out = F.when(z <= b, F.lit(float(x)) + (z - a) / (b - a) * (float(y) - float(x)) if b > a else F.lit(float(x))).otherwise(out)
-    out = F.greatest(F.lit(float(m.x[0])), F.least(F.lit(float(m.x[-1])), out))
+        return _tree(z, [_z(p) for p in m.p[:-1]], [F.lit(x) for x in m.x])
+    cuts = [NormalDist().inv_cdf(min(max(p, 0.001), 0.999)) for p in m.p]
+    leaves = [F.lit(float(x)) + (z - a) / (b - a) * (float(y) - float(x)) for a, b, x, y in zip(cuts[:-1], cuts[1:], m.x[:-1], m.x[1:], strict=True)]
+    out = F.greatest(F.lit(float(m.x[0])), F.least(F.lit(float(m.x[-1])), _tree(z, cuts[1:-1], leaves)))
     return F.bround(out).cast("long") if m.integral else out
 
 
+def _share(z: Column) -> Column:
+    """The normal distribution function, by its tanh form; categories of many values need no more."""
+    return 1 / (1 + F.exp(-(1.5957691216 * z + 0.0713548163 * z * z * z)))
+
+
+def fresh_key(row: Column, name: str, most: int, seed: int, numeric: bool) -> Column:
+    """A value that no row has: numbers beyond the greatest one, else a hash with the row number."""
+    return row + (1 + most) if numeric else F.concat(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}/{name}"), row.cast("string"))), 1, 16), F.lit("-"), row.cast("string"))
+
+
 def sample(spark: SparkSession, model: CopulaModel, n: int, seed: int | None = None, id_col: str | None = None) -> DataFrame:
     """``n`` rows like the table that was fitted; the same seed gives the same rows.
 
     Values stay in the observed range, integers stay whole, categories are observed
-    ones, constraints hold. ``id_col`` is filled with fresh numbers.
+    ones, constraints hold, keys are fresh and unique. ``id_col`` is filled with
+    the numbers from 1.
     """
     seed = model.seed if seed is None else seed
     rows = spark.range(n)
     rows = rows.select("id", *(_normal(F.col("id"), i, seed).alias(f"__e{i}") for i in range(len(model.marginals))))
     mixed = [sum((F.lit(float(model.factor[i, j])) * F.col(f"__e{j}") for j in range(i + 1)), F.lit(0.0)).alias(f"__z{i}") for i in range(len(model.marginals))]
     rows = rows.select("id", *mixed)
-    cells = []
-    for i, m in enumerate(model.marginals):
-        value = _inverse(m, F.col(f"__z{i}"))
-        cells.append((F.when(uniform(F.col("id"), f"{seed}/{i}/null") >= m.null_share, value) if m.null_share else value).alias(m.column))
-    out = rows.select("id", *cells)
+    there = lambda i, m, value: F.when(uniform(F.col("id"), f"{seed}/{i}/null") >= m.null_share, value) if m.null_share else value
+    cells = [there(i, m, _inverse(m, F.col(f"__z{i}"))).alias(m.column) for i, m in enumerate(model.marginals) if m.table is None]
+    many = [(i, m) for i, m in enumerate(model.marginals) if m.table is not None]
+    out = rows.select("id", *cells, *(F.least(F.greatest(_share(F.col(f"__z{i}")), F.lit(0.0)), F.lit(1 - 1e-12)).alias(f"__u{i}") for i, _ in many))
+    for i, m in many:
+        shares = m.table.select(F.col("bucket").alias(f"__b{i}"), F.col("lo").alias(f"__lo{i}"), F.col("hi").alias(f"__hi{i}"), F.col("value").alias(f"__x{i}"))
+        drawn = out.join(shares, (F.floor(F.col(f"__u{i}") * m.buckets) == shares[f"__b{i}"]) & (out[f"__u{i}"] >= shares[f"__lo{i}"]) & (out[f"__u{i}"] < shares[f"__hi{i}"]), "left")
+        out = drawn.withColumn(m.column, there(i, m, F.col(f"__x{i}"))).drop(f"__u{i}", f"__b{i}", f"__lo{i}", f"__hi{i}", f"__x{i}")
     for i, rule in enumerate(model.constraints):
         if rule["type"] == "inequality":
-            out = out.withColumn(rule["high"], F.col(rule["low"]) + F.greatest(F.col(f"__gap{i}"), F.lit(1 if rule.get("strict") else 0)))
+            day = 86_400_000_000 if model.types[rule["low"]] == "date" else 1
+            out = out.withColumn(rule["high"], F.col(rule["low"]) + F.greatest(F.col(f"__gap{i}"), F.lit(day if rule.get("strict") else 0)))
         else:
             fields = ", ".join(f"`{c}` {model.types[c]}" for c in rule["columns"])
             out = out.withColumn("__t", F.from_json(f"__tuple{i}", fields)).withColumns({c: F.col(f"__t.{c}") for c in rule["columns"]})
     if id_col:
         out = out.withColumn(id_col, F.col("id") + 1)
-    return out.select(*((F.col(c) if c in out.columns else F.lit(None)).cast(model.types[c]).alias(c) for c in model.order))
+    free = {c for r in model.constraints if r["type"] == "fixed_combinations" for c in r["columns"]}
+
+    def cell(c: str) -> Column:
+        kind = model.types[c]
+        if c in model.keys and c != id_col:
+            value = fresh_key(F.col("id"), c, model.keys[c], seed, kind not in ("string",))
+        elif c not in out.columns:
+            value = F.lit(None)
+        elif kind in ("date", "timestamp", "timestamp_ntz") and c not in free:
+            value = F.timestamp_micros(F.col(c).cast("long"))
+        else:
+            value = F.col(c)
+        return value.cast(kind).alias(c)
+
+    return out.select(*(cell(c) for c in model.order))
 
 
 def fit_parameters(df: DataFrame, columns: list[str]) -> DataFrame:

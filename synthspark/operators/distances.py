@@ -64,8 +64,8 @@ def summaries(counts: DataFrame, blocks: int = BLOCKS) -> dict[str, Row]:
     return {r["column"]: r for r in rows}
 
 
-def cumulative(counts: DataFrame, blocks: int = BLOCKS, known: dict[str, Row] | None = None) -> DataFrame:
-    """``counts`` with cr, cs (values up to and with this one), tr, ts (totals) and dx (to the next value)."""
+def cumulative(counts: DataFrame, blocks: int = BLOCKS, known: dict[str, Row] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``counts`` with cr, cs (values up to and with this one), tr, ts (totals), dx (to the next value) and the columns ``keep``."""
     known = summaries(counts, blocks) if known is None else known
     cuts = _of({c: sorted(set(r["cuts"])) for c, r in known.items()}, "array<double>")
     dealt = counts.withColumn("block", F.size(F.filter(cuts, lambda c: c < F.col("value"))))
@@ -88,7 +88,7 @@ def cumulative(counts: DataFrame, blocks: int = BLOCKS, known: dict[str, Row] |
     start = lambda x: F.get(_of(ahead[x], "array<bigint>"), F.col("block"))
     after = F.coalesce(F.lead("value").over(upto), F.get(_of(following, "array<double>"), F.col("block")))
     total = lambda x: _of({c: r[x] for c, r in known.items()}, "bigint").alias(x)
-    return dealt.select("column", "value", "nr", "ns", total("tr"), total("ts"), (F.sum("nr").over(running) + start("br")).alias("cr"), (F.sum("ns").over(running) + start("bs")).alias("cs"), (after - F.col("value")).alias("dx"))
+    return dealt.select("column", "value", "nr", "ns", *(keep or []), total("tr"), total("ts"), (F.sum("nr").over(running) + start("br")).alias("cr"), (F.sum("ns").over(running) + start("bs")).alias("cs"), (after - F.col("value")).alias("dx"))
 
 
 def _quantile(p: float) -> Column:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import order_key, safe_ratio
+from ..functions.scalars import is_numeric, order_key, safe_ratio
+from .profile import high_cardinality
 
 CAP, HOLDOUT = 2000, 5
 LEAST_REAL, LEAST_SYNTH = 20, 10
@@ -23,7 +24,7 @@ def capped(df: DataFrame, id_col: str, cap: int = CAP, seed: int = 42) -> DataFr
 
 
 def holdout_split(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
-    """``df`` with ``holdout``: a fifth of its rows, ten at least, in a random order by id."""
+    """``df`` with ``holdout``: a fifth of its rows, ten at least, in a random order by id. ``df`` is a capped sample: one task numbers its rows."""
     order = Window.orderBy(order_key(F.col(id_col), seed), F.col(id_col))
     n = F.count(F.lit(1)).over(Window.partitionBy())
     return df.withColumn("holdout", F.row_number().over(order) <= F.greatest(F.lit(10), F.floor(n / HOLDOUT)))
@@ -38,63 +39,110 @@ def scaled(df: DataFrame, limits: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(limits)).withColumns({c: (F.col(c).cast("double") - F.col(f"lo_{c}")) / F.col(f"range_{c}") for c in columns}).drop(*(f"{p}_{c}" for p in ("lo", "range") for c in columns))
 
 
-def _features(df: DataFrame, numeric: list[str], categorical: list[str], known: DataFrame | None, id_col: str) -> DataFrame:
-    out = df.select(F.col(id_col).alias("id"), F.array(*(F.col(c).cast("double") for c in numeric)).alias("x") if numeric else F.array().cast("array<double>").alias("x"), F.array(*(F.col(c).cast("string") for c in categorical)).alias("y") if categorical else F.array().cast("array<string>").alias("y"))
-    if known is None:
-        return out.withColumn("unknown", F.lit(0))
-    misses = F.aggregate(F.zip_with("y", "known", lambda v, k: (~F.array_contains(k, v)).cast("int")), F.lit(0), lambda n, m: n + m)
-    return out.crossJoin(F.broadcast(known)).withColumn("unknown", misses).drop("known")
+def _features(df: DataFrame, numeric: list[str], categorical: list[str], id_col: str, prefix: str = "", limits: dict | None = None) -> DataFrame:
+    """(id, x, y, unknown): numbers and categories of a point, and how many of its categories the real table lacks.
 
+    ``limits`` (lo_c, range_c) scale the numbers. They are arrays: as columns,
+    Catalyst would derive constraints of all pairs.
+    """
+    scale = lambda c: (F.col(c).cast("double") - F.lit(limits[f"lo_{c}"])) / F.lit(limits[f"range_{c}"]) if limits else F.col(c).cast("double")
+    unknown = [] if prefix else [F.col("unknown") if "unknown" in df.columns else F.lit(0).alias("unknown")]
+    return df.select(F.col(id_col).alias(f"{prefix}id"), F.array(*(scale(c) for c in numeric)).alias(f"{prefix}x"), F.array(*(F.col(c).cast("string") for c in categorical)).alias(f"{prefix}y"), *unknown)
+
+
+def _square(n_numeric: int, n_categorical: int) -> Column:
+    """The squared distance as one sum without lambdas, so that it is compiled."""
+    parts = [f"(get(x, {i}) - get(t_x, {i})) * (get(x, {i}) - get(t_x, {i}))" for i in range(n_numeric)] + [f"if(get(y, {i}) <> get(t_y, {i}), 2.0D, 0.0D)" for i in range(n_categorical)]
+    while len(parts) > 1:
+        parts = [f"({' + '.join(parts[i : i + 2])})" for i in range(0, len(parts), 2)]
+    return F.expr(f"{parts[0]} - unknown")
+
+
+def with_unknown(points: DataFrame, real: DataFrame, categorical: list[str]) -> DataFrame:
+    """``points``, a capped sample, with ``unknown``: how many of its categories the real table does not have.
+
+    Only the sample's own values are looked for, so nothing grows with the real table.
+    """
+    out, misses = points, F.lit(0)
+    for i, c in enumerate(categorical):
+        asked = points.select(F.col(c).alias(f"__k{i}")).distinct()
+        known = real.select(F.col(c).alias(f"__k{i}")).join(F.broadcast(asked), f"__k{i}", "left_semi").distinct().withColumn(f"__m{i}", F.lit(0))
+        out = out.join(F.broadcast(known), out[c] == known[f"__k{i}"], "left").drop(f"__k{i}")
+        misses = misses + F.coalesce(F.col(f"__m{i}"), F.lit(1))
+    return out.withColumn("unknown", misses).drop(*(f"__m{i}" for i in range(len(categorical))))
+
+
+def nearest(points: DataFrame, train: DataFrame, n_numeric: int, n_categorical: int) -> DataFrame:
+    """(id, src, d1, d2): distances of each point to its nearest and second nearest training row.
 
-def _square(a: Column, b: Column, u: Column, v: Column, unknown: Column) -> Column:
-    number = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
-    differ = F.aggregate(F.zip_with(u, v, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, d: s + d)
-    return number + 2 * differ - unknown
+    Both sides are capped samples; points are dealt to tasks, each against all training rows.
+    """
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = points.repartition(n, "id", "src").crossJoin(F.broadcast(train)).select("id", "src", F.sqrt(_square(n_numeric, n_categorical)).alias("d"))
+    two = pairs.groupBy("id", "src").agg(F.slice(F.array_sort(F.collect_list("d")), 1, 2).alias("two"))
+    return two.select("id", "src", F.get("two", F.lit(0)).alias("d1"), F.get("two", F.lit(1)).alias("d2"))
+
+
+def privacy_columns(real: DataFrame, synth: DataFrame, id_col: str | None = None, primary_key: str | None = None) -> tuple[list[str], list[str], list[str]]:
+    """(numeric, categorical, excluded): shared columns that tell people apart.
+
+    Keys are left out; a column is a number if it is one in both tables; others
+    are categories, but for those of more than half as many values as rows.
+    """
+    shared = [c for c in real.columns if c in synth.columns and c not in (id_col, primary_key)]
+    numeric = [c for c in shared if is_numeric(real.schema[c].dataType) and is_numeric(synth.schema[c].dataType)]
+    others = [c for c in shared if c not in numeric]
+    wide = {r["column"] for r in high_cardinality(real, others).where("excluded").collect()} if others else set()
+    return numeric, [c for c in others if c not in wide], [c for c in others if c in wide]
 
 
-def nearest(points: DataFrame, train: DataFrame) -> DataFrame:
-    """(id, d1, d2): distances of each point to its nearest and second nearest training row."""
-    t = train.select(F.col("x").alias("tx"), F.col("y").alias("ty"))
-    # The training side is capped at 2,000 rows.
-    pairs = points.crossJoin(F.broadcast(t)).select("id", F.sqrt(_square(F.col("x"), F.col("tx"), F.col("y"), F.col("ty"), F.col("unknown"))).alias("d"))
-    two = pairs.groupBy("id").agg(F.min("d").alias("d1"), F.slice(F.array_sort(F.collect_list("d")), 1, 2).alias("two"))
-    return two.select("id", "d1", F.get("two", F.lit(1)).alias("d2"))
+PRIVACY = "available boolean, dcr_synth_median double, dcr_holdout_median double, dcr_ratio double, nndr_median double, risk_level string, n_cols int, excluded_cols array<string>, reason string"
 
 
-def evaluate_privacy(real: DataFrame, synth: DataFrame, id_col: str, numeric: list[str], categorical: list[str], cap: int = CAP, seed: int = 42) -> DataFrame:
+def evaluate_privacy(real: DataFrame, synth: DataFrame, id_col: str, numeric: list[str] | None = None, categorical: list[str] | None = None, cap: int = CAP, seed: int = 42, primary_key: str | None = None) -> DataFrame:
     """One row: medians of the distance to the closest record, their ratio, the neighbour ratio and the risk.
 
-    Rows with a missing value take no part. Below 20 real or 10 synthetic rows, or
-    without columns, ``available`` is false and the figures are null.
+    Without given columns they are chosen (``privacy_columns``). Rows with a missing
+    value take no part. Without columns, or below 20 real or 10 synthetic rows,
+    ``available`` is false, the figures are null and ``reason`` says why.
     """
+    excluded: list[str] = []
+    if numeric is None and categorical is None:
+        numeric, categorical, excluded = privacy_columns(real, synth, id_col, primary_key)
+    numeric, categorical = numeric or [], categorical or []
     used = [*numeric, *categorical]
+    if not used:
+        return real.sparkSession.createDataFrame([(False, None, None, None, None, "onbekend", 0, excluded, "no usable columns")], PRIVACY)
     r, s = (df.select(id_col, *used).na.drop(subset=used) for df in (real, synth))
-    limits = minmax(r, numeric) if numeric else None
-    known = r.agg(F.array(*(F.collect_set(F.col(c).cast("string")) for c in categorical)).alias("known")) if categorical else None
-    sample = holdout_split(capped(r, id_col, cap, seed), id_col, seed)
-    points = capped(s, id_col, cap, seed)
-    scale = lambda df: scaled(df, limits, numeric) if numeric else df
-    train = _features(scale(sample.where("not holdout").drop("holdout")), numeric, categorical, None, id_col)
-    hold = _features(scale(sample.where("holdout").drop("holdout")), numeric, categorical, None, id_col)
-    near_s = nearest(_features(scale(points), numeric, categorical, known, id_col), train)
-    near_h = nearest(hold, train)
-    ratio = F.when(F.col("d2").isNull(), 1.0).otherwise(safe_ratio(F.col("d1"), F.col("d2")))
-    a = near_s.agg(F.median("d1").alias("ms"), F.median(ratio).alias("nndr"))
-    b = near_h.agg(F.median("d1").alias("mh"))
     counts = r.agg(F.count(F.lit(1)).alias("n_real")).crossJoin(s.agg(F.count(F.lit(1)).alias("n_synth")))
+    # At most two capped samples: kept, for both are read twice.
+    sample = holdout_split(capped(r, id_col, cap, seed), id_col, seed).persist()
+    points = capped(s, id_col, cap, seed).persist()
+    limits = minmax(r, numeric).first().asDict() if numeric else {}
+    limits = {k: 0.0 if v is None else v for k, v in limits.items()}
+    train = _features(sample.where("not holdout").drop("holdout"), numeric, categorical, id_col, "t_", limits).drop("t_id")
+    hold = _features(sample.where("holdout").drop("holdout"), numeric, categorical, id_col, "", limits).withColumn("src", F.lit("h"))
+    asked = _features(with_unknown(points, r, categorical) if categorical else points, numeric, categorical, id_col, "", limits).withColumn("src", F.lit("s"))
+    near = nearest(asked.unionByName(hold), train, len(numeric), len(categorical))
+    ratio = F.when(F.col("d2").isNull(), 1.0).otherwise(safe_ratio(F.col("d1"), F.col("d2")))
+    own = lambda src, c: F.median(F.when(F.col("src") == src, c))
+    one = counts.crossJoin(near.agg(own("s", F.col("d1")).alias("ms"), own("s", ratio).alias("nndr"), own("h", F.col("d1")).alias("mh")))
     ok = (F.col("n_real") >= LEAST_REAL) & (F.col("n_synth") >= LEAST_SYNTH)
     dcr = safe_ratio(F.col("ms"), F.col("mh"))
     risk = F.when(dcr >= 0.9, "laag").when(dcr >= 0.7, "matig").otherwise("hoog")
-    one = counts.crossJoin(a).crossJoin(b)
     figure = lambda c: F.when(ok, c)
-    return one.select(ok.alias("available"), figure(F.round("ms", 4)).alias("dcr_synth_median"), figure(F.round("mh", 4)).alias("dcr_holdout_median"), figure(F.round(dcr, 3)).alias("dcr_ratio"), figure(F.round("nndr", 3)).alias("nndr_median"), F.when(ok, risk).otherwise("onbekend").alias("risk_level"), F.lit(len(used)).alias("n_cols"))
+    names = F.array(*(F.lit(c) for c in excluded)).cast("array<string>")
+    return one.select(ok.alias("available"), figure(F.round("ms", 4)).alias("dcr_synth_median"), figure(F.round("mh", 4)).alias("dcr_holdout_median"), figure(F.round(dcr, 3)).alias("dcr_ratio"), figure(F.round("nndr", 3)).alias("nndr_median"), F.when(ok, risk).otherwise("onbekend").alias("risk_level"), F.lit(len(used)).alias("n_cols"), names.alias("excluded_cols"), F.when(~ok, "too few rows").alias("reason"))
 
 
 def one_hot_distances(points: DataFrame, others: DataFrame, categorical: list[str], known: DataFrame, id_col: str) -> DataFrame:
-    """(id, other_id, square): squared one-hot distances between points and a few other rows."""
-    a = _features(points, [], categorical, known, id_col)
-    b = _features(others, [], categorical, None, id_col).select(F.col("id").alias("other_id"), F.col("y").alias("oy"))
-    return a.crossJoin(b).select("id", "other_id", _square(F.array().cast("array<double>"), F.array().cast("array<double>"), F.col("y"), F.col("oy"), F.col("unknown")).alias("square"))
+    """(id, other_id, square): squared one-hot distances of a stated set of points to all other rows.
+
+    ``known`` is the table whose categories have a place of their own.
+    """
+    a = _features(with_unknown(points, known, categorical), [], categorical, id_col)
+    b = _features(others, [], categorical, id_col, "t_").withColumnRenamed("t_id", "other_id")
+    return b.crossJoin(F.broadcast(a)).select("id", "other_id", _square(0, len(categorical)).alias("square"))
 
 
 def unseen_combinations(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:

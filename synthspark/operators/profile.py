@@ -21,8 +21,8 @@ def _cells(df: DataFrame, columns: list[str] | None = None) -> list[tuple[str, C
 
 
 def _names(spark, df: DataFrame, columns: list[str]) -> DataFrame:
-    rows = [(i, c, is_numeric(df.schema[c].dataType), df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long"), is_time(df.schema[c].dataType), df.schema[c].dataType.typeName() == "string") for i, c in enumerate(columns)]
-    return spark.createDataFrame(rows, "pos int, column string, numeric boolean, integral boolean, time boolean, text boolean")
+    rows = [(i, c, is_numeric(df.schema[c].dataType), df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long"), is_time(df.schema[c].dataType), df.schema[c].dataType.typeName() == "string", df.schema[c].dataType.typeName() == "boolean") for i, c in enumerate(columns)]
+    return spark.createDataFrame(rows, "pos int, column string, numeric boolean, integral boolean, time boolean, text boolean, flag boolean")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -71,11 +71,14 @@ def quantiles(df: DataFrame, columns: list[str], ps: list[float]) -> DataFrame:
     """(column, p, value): exact quantiles with linear interpolation, from blocked cumulative counts."""
     counts = long_values(_cells(df, columns), df, "double", key=[]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("nr"), F.lit(0).cast("long").alias("ns")).persist()
     c = cumulative(counts)
-    each = c.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps)))).withColumn("h", (F.col("tr") - 1) * F.col("p"))
-    at = lambda k: F.max(F.when((F.col("cr") > k) & (F.col("cr") - F.col("nr") <= k), F.col("value")))
-    low = F.floor("h")
-    a, b = at(low), at(F.least(low + 1, F.col("tr") - 1))
-    return each.groupBy("column", "p").agg((a + (b - a) * F.max(F.col("h") - low)).alias("value"))
+    low = lambda p: F.floor((F.col("tr") - 1) * p)
+    holds = lambda k: (F.col("cr") > k) & (F.col("cr") - F.col("nr") <= k)
+    # Only the values at the ranks beside a quantile go on.
+    hit = F.filter(F.array(*(F.lit(float(p)) for p in ps)), lambda p: holds(low(p)) | holds(F.least(low(p) + 1, F.col("tr") - 1)))
+    each = c.withColumn("p", F.explode(hit)).withColumn("h", (F.col("tr") - 1) * F.col("p"))
+    at = lambda k: F.max(F.when(holds(k), F.col("value")))
+    a, b = at(low(F.col("p"))), at(F.least(low(F.col("p")) + 1, F.col("tr") - 1))
+    return each.groupBy("column", "p").agg((a + (b - a) * F.max(F.col("h") - F.floor("h"))).alias("value"))
 
 
 def date_formats(df: DataFrame, columns: list[str], order: str) -> DataFrame:
@@ -142,7 +145,7 @@ def sequence_columns(df: DataFrame, columns: list[str] | None = None, order: str
     own = column_profile(df, columns)
     own = own.join(date_formats(df, texts, order), "column", "left") if texts and order else own.withColumn("format", F.lit(None).cast("string"))
     named = lambda hints: F.when(F.greatest(F.lit(False), *(F.contains(F.lower("column"), F.lit(h)) for h in hints)), 0).otherwise(1)
-    can_index = F.col("numeric") | F.col("time") | F.col("format").isNotNull()
+    can_index = F.col("numeric") | F.col("time") | F.col("flag") | F.col("format").isNotNull()
     index = own.agg(F.min_by("column", F.when(can_index, F.struct(named(INDEX_NAMES), "n_unique", "pos"))).alias("seq_index"))
     repeats = (F.col("n_unique") > 1) & (F.col("n_unique") < F.col("n_rows")) & (F.col("n_rows") / F.greatest("n_unique", F.lit(1)) >= 2)
     key = own.crossJoin(F.broadcast(index)).where(repeats & ~F.equal_null("column", "seq_index")).agg(F.min_by("column", F.struct(named(KEY_NAMES), -F.col("n_unique"), "pos")).alias("seq_key"))

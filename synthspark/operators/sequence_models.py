@@ -47,8 +47,8 @@ def fit_sequences(df: DataFrame, key: str, index: str, seed: int = 42, tie: str
     if numbers:
         fallback |= {r["column"]: r["value"] for r in quantiles(df, numbers, [0.5]).collect()}
     terminal = {c: sorted(r[0] for r in terminal_states(df, key, index, c, tie).collect()) for c in texts}
-    wide = to_wide(df, key, index, features, levels).drop(key)
-    return SequenceModel(key, index, features, levels, terminal, fallback, fit(wide, seed=seed), df.columns, {f.name: f.dataType.simpleString() for f in df.schema.fields})
+    wide = to_wide(df, key, index, features, levels, tie).drop(key)
+    return SequenceModel(key, index, features, levels, terminal, fallback, fit(wide, seed=seed, keys=[]), df.columns, {f.name: f.dataType.simpleString() for f in df.schema.fields})
 
 
 def sample_sequences(spark: SparkSession, model: SequenceModel, n: int, seed: int | None = None) -> DataFrame:
@@ -68,7 +68,7 @@ def sample_sequences(spark: SparkSession, model: SequenceModel, n: int, seed: in
 
 def _numbered(spark: SparkSession, model: SequenceModel, n: int, seed: int | None) -> DataFrame:
     """The wide sample with its row number as a column."""
-    wide = CopulaModel(model.copula.marginals, model.copula.factor, [*model.copula.order, "__id"], model.copula.types | {"__id": "bigint"}, model.copula.constraints, model.copula.seed)
+    wide = CopulaModel(model.copula.marginals, model.copula.factor, [*model.copula.order, "__id"], model.copula.types | {"__id": "bigint"}, model.copula.constraints, model.copula.seed, model.copula.keys)
     return sample(spark, wide, n, seed, id_col="__id")
 
 

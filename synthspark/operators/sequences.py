@@ -74,15 +74,39 @@ def length_distance(real: DataFrame, synth: DataFrame, key: str) -> DataFrame:
     return numeric_distances(counted(n)).select((F.col("distance") / F.col("spread")).alias("distance"))
 
 
-def evaluate_sequential(real: DataFrame, synth: DataFrame, key: str, index: str, features: list[str], tie: str | None = None) -> DataFrame:
-    """(column, kind, score, ok): transitions of categories, autocorrelation of numbers, and the lengths."""
+def sequential_reason(real: DataFrame, synth: DataFrame, key: str, index: str) -> str | None:
+    """Why a longitudinal comparison is not possible: the key or index column that a table lacks."""
+    missing = [c for c in (key, index) if c not in real.columns or c not in synth.columns]
+    return f"missing column: {missing[0]}" if missing else None
+
+
+def sequential_features(real: DataFrame, synth: DataFrame, key: str, index: str, meta: dict | None = None) -> dict[str, str]:
+    """``autocorrelation`` or ``transition`` for each shared column; ids, dates, the key and the index are left out.
+
+    Metadata decides on the type; without it, a column is a number if it is one in both tables.
+    """
+    kinds = {c: m.get("sdtype") for c, m in ((meta or {}).get("columns") or {}).items()}
+    shared = [c for c in real.columns if c in synth.columns and c not in (key, index) and kinds.get(c) not in ("id", "datetime")]
+    number = lambda c: kinds.get(c) == "numerical" or (kinds.get(c) is None and is_numeric(real.schema[c].dataType) and is_numeric(synth.schema[c].dataType))
+    return {c: "autocorrelation" if number(c) else "transition" for c in shared}
+
+
+def evaluate_sequential(real: DataFrame, synth: DataFrame, key: str, index: str, features: list[str] | None = None, tie: str | None = None, meta: dict | None = None) -> DataFrame:
+    """(column, kind, score, ok): transitions of categories, autocorrelation of numbers, and the lengths.
+
+    The score of an autocorrelation is the difference of both means. Without the
+    key or index in either table (``sequential_reason``) there are no rows.
+    """
+    if sequential_reason(real, synth, key, index):
+        return real.sparkSession.createDataFrame([], "column string, kind string, score double, ok boolean")
     parts = []
     keep = [key, index, *([tie] if tie else [])]
-    for c in features:
+    kinds = sequential_features(real, synth, key, index, meta)
+    for c in kinds if features is None else [c for c in features if c in kinds]:
         r, s = (df.select(*dict.fromkeys([*keep, c])) for df in (real, synth))
-        if is_numeric(real.schema[c].dataType):
+        if kinds[c] == "autocorrelation":
             a = mean_autocorrelation(both(r, s), key, index, c, tie)
-            score = a.agg((F.abs(F.max(F.when(F.col("src") == "r", F.col("r"))) - F.max(F.when(F.col("src") == "s", F.col("r")))) / 2).alias("score"))
+            score = a.agg(F.abs(F.max(F.when(F.col("src") == "r", F.col("r"))) - F.max(F.when(F.col("src") == "s", F.col("r")))).alias("score"))
             parts.append(score.select(F.lit(c).alias("column"), F.lit("autocorrelation").alias("kind"), "score"))
         else:
             parts.append(transition_distance(r, s, key, index, c, tie).select(F.lit(c).alias("column"), F.lit("transition").alias("kind"), F.col("distance").alias("score")))
@@ -110,11 +134,20 @@ def terminal_states(df: DataFrame, key: str, index: str, column: str, tie: str |
     return step.where("state is not null").groupBy("state").agg(F.max("more").alias("more")).where("more is null").select("state")
 
 
-def to_wide(df: DataFrame, key: str, index: str, features: list[str], levels: list) -> DataFrame:
-    """One row a sequence: ``feature__tN`` for each level of the index, and ``__seq_len__``; the last row of a level wins."""
+def to_wide(df: DataFrame, key: str, index: str, features: list[str], levels: list, tie: str | None = None) -> DataFrame:
+    """One row a sequence: ``feature__tN`` for each level of the index, and ``__seq_len__``.
+
+    Of several rows of a level the one with the greatest ``tie`` wins, without a
+    tie column the greatest value; nulls never do.
+    """
     position = F.array_position(F.array(*(F.lit(x) for x in levels)), F.col(index))
     own = df.where(F.col(key).isNotNull() & F.col(index).isNotNull()).withColumn("pos", position)
-    cells = [F.last(F.when(F.col("pos") == i, F.col(f)), ignorenulls=True).alias(f"{f}__t{i}") for i in range(1, len(levels) + 1) for f in features]
+
+    def cell(f: str, i: int) -> Column:
+        there = (F.col("pos") == i) & F.col(f).isNotNull()
+        return F.max_by(F.when(there, F.col(f)), F.when(there, F.struct(*([tie] if tie else []), f))).alias(f"{f}__t{i}")
+
+    cells = [cell(f, i) for i in range(1, len(levels) + 1) for f in features]
     return own.groupBy(key).agg(*cells, F.count(F.lit(1)).alias("__seq_len__"))
 
 

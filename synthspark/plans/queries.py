@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -367,7 +367,7 @@ def length_distance(spark, d):
     return sequences.length_distance(r, s, "user_id").select(F.round("distance", 6).alias("distance"))
 
 
-_SEQ_EVAL = f"with {_LENGTH}, {_DISTANCE.replace(' m as', ' tm as').replace('from m ', 'from tm ')}, {_AUTO}, ev as (select 'event_type' as \"column\", 'transition' as kind, distance as sc from td union all select 'value', 'autocorrelation', abs(max(r) filter (where is_r = 1) - max(r) filter (where is_r = 0)) / 2 from ac union all select null, 'length', distance / spread from e join s using (col)), fi as (select \"column\", kind, round(sc, 4) as score, sc < 0.2 as ok from ev where sc is not null)"
+_SEQ_EVAL = f"with {_LENGTH}, {_DISTANCE.replace(' m as', ' tm as').replace('from m ', 'from tm ')}, {_AUTO}, ev as (select 'event_type' as \"column\", 'transition' as kind, distance as sc from td union all select 'value', 'autocorrelation', abs(max(r) filter (where is_r = 1) - max(r) filter (where is_r = 0)) from ac union all select null, 'length', distance / spread from e join s using (col)), fi as (select \"column\", kind, round(sc, 4) as score, sc < 0.2 as ok from ev where sc is not null)"
 
 
 def _sequential(spark, d):
@@ -436,13 +436,14 @@ def state_distribution(spark, d):
     return sequences.state_distribution(load(spark, d, "conversations"), "turn", "role").withColumn("share", F.round("share", 6))
 
 
-@query("terminal_states", "with p as (select case when turn >= 4 then 'end' else role end as role, lead(1) over (partition by conv_id order by turn) as more from conversations where turn <= 4) select role as state from p where role is not null group by 1 having max(more) is null")
+@query("terminal_states", "with p as (select case when last then 'end' else role end as role, lead(1) over (partition by conv_id order by turn) as more from (select *, turn = max(turn) over (partition by conv_id) as last from conversations)) select role as state from p where role is not null group by 1 having max(more) is null")
 def terminal_states(spark, d):
-    df = load(spark, d, "conversations").where("turn <= 4").select("conv_id", "turn", F.when(F.col("turn") >= 4, "end").otherwise(F.col("role")).alias("role"))
+    last = F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id"))
+    df = load(spark, d, "conversations").withColumn("last", last).select("conv_id", "turn", F.when(F.col("last"), "end").otherwise(F.col("role")).alias("role"))
     return sequences.terminal_states(df, "conv_id", "turn", "role")
 
 
-_LEVELS = [1, 2, 3, 4]
+_LEVELS = [1, 2, 3, 4, 5, 6, 7]
 
 
 @query("to_wide", "select l_orderkey, " + ", ".join(f"max(l_quantity) filter (where l_linenumber = {i}) as l_quantity__t{i}, max(l_returnflag) filter (where l_linenumber = {i}) as l_returnflag__t{i}" for i in _LEVELS) + ", count(*) as __seq_len__ from (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity, max(l_returnflag) as l_returnflag from lineitem group by 1, 2) group by 1")
@@ -454,11 +455,11 @@ def to_wide(spark, d):
 _STEPS = "with g as (select l_orderkey, l_linenumber, max(l_quantity) as q from lineitem group by 1, 2), k as (select l_orderkey, count(*) as n from g group by 1)"
 
 
-@query("wide_to_long", _STEPS + " select l_orderkey, i::int as pos, q as l_quantity from (select l_orderkey, unnest(range(1, least(n, 4) + 1)) as i from k) left join g using (l_orderkey) where l_linenumber = i or l_linenumber is null union all select x.l_orderkey, x.i::int, null from (select l_orderkey, unnest(range(1, least(n, 4) + 1)) as i from k) x where not exists (select 1 from g where g.l_orderkey = x.l_orderkey and g.l_linenumber = x.i)")
+@query("wide_to_long", _STEPS + " select l_orderkey, i::int as pos, q as l_quantity from (select l_orderkey, unnest(range(1, least(n, 7) + 1)) as i from k) left join g using (l_orderkey) where l_linenumber = i or l_linenumber is null union all select x.l_orderkey, x.i::int, null from (select l_orderkey, unnest(range(1, least(n, 7) + 1)) as i from k) x where not exists (select 1 from g where g.l_orderkey = x.l_orderkey and g.l_linenumber = x.i)")
 def wide_to_long(spark, d):
     df = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
     wide = sequences.to_wide(df, "l_orderkey", "l_linenumber", ["l_quantity"], _LEVELS)
-    return sequences.to_long(wide, "l_orderkey", ["l_quantity"], 4, F.col("__seq_len__"))
+    return sequences.to_long(wide, "l_orderkey", ["l_quantity"], len(_LEVELS), F.col("__seq_len__"))
 
 
 @query("forward_fill", "select event_id, coalesce(last_value(v ignore nulls) over (partition by user_id order by ts nulls last, event_id rows between unbounded preceding and current row), -1) as value from (select event_id, user_id, ts, case when event_id % 3 = 0 then value end as v from events)")
@@ -483,11 +484,11 @@ def minmax_scale(spark, d):
     return privacy.scaled(df, limits, ["c_acctbal", "c_nationkey"]).select("c_custkey", F.round("c_acctbal", 6).alias("c_acctbal"), F.round("c_nationkey", 6).alias("c_nationkey"))
 
 
-@query("onehot_distance", "with kn as (select list(distinct p_brand) as b, list(distinct p_type) as t from part where p_partkey % 2 = 0), o as (select p_partkey as other_id, p_brand as ob, p_type as ot from part where p_partkey in (2, 4, 6)) select p_partkey as id, other_id, (2 * ((p_brand <> ob)::int + (p_type <> ot)::int) - (not list_contains(b, p_brand))::int - (not list_contains(t, p_type))::int)::double as square from part, o, kn where p_partkey % 2 = 1")
+@query("onehot_distance", "with kn as (select list(distinct p_brand) as b, list(distinct p_type) as t from part where p_partkey % 2 = 0) select a.p_partkey as id, o.p_partkey as other_id, (2 * ((a.p_brand <> o.p_brand)::int + (a.p_type <> o.p_type)::int) - (not list_contains(b, a.p_brand))::int - (not list_contains(t, a.p_type))::int)::double as square from part a, part o, kn where a.p_partkey % 20 = 0 and o.p_partkey % 2 = 1")
 def onehot_distance(spark, d):
+    """A stated query set, the ids divisible by 20, against all odd parts."""
     df = load(spark, d, "part")
-    known = df.where("p_partkey % 2 = 0").agg(F.array(F.collect_set("p_brand"), F.collect_set("p_type")).alias("known"))
-    return privacy.one_hot_distances(df.where("p_partkey % 2 = 1"), df.where("p_partkey in (2, 4, 6)"), ["p_brand", "p_type"], known, "p_partkey").withColumn("square", F.col("square").cast("double"))
+    return privacy.one_hot_distances(df.where("p_partkey % 20 = 0"), df.where("p_partkey % 2 = 1"), ["p_brand", "p_type"], df.where("p_partkey % 2 = 0"), "p_partkey")
 
 
 def _split_sql(points: str, real: str, synth: str, square: str) -> str:
@@ -507,17 +508,27 @@ select true as available, round(ms, 4) as dcr_synth_median, round(mh, 4) as dcr_
 @query("privacy_customer", _split_sql("kn as (select list(distinct c_mktsegment) as known from rr),", "select c_custkey as id, (c_acctbal - lo) / w as x, (c_nationkey - lo2) / w2 as y, c_mktsegment from customer, lim where c_custkey % 2 = 0", "select c_custkey as id, (c_acctbal - lo) / w as x, (c_nationkey - lo2) / w2 as y, c_mktsegment from customer, lim where c_custkey % 2 = 1", "power(a.x - b.x, 2) + power(a.y - b.y, 2) + 2 * (a.c_mktsegment <> b.c_mktsegment)::int - (not list_contains((select known from kn), a.c_mktsegment))::int").replace("with rr", "with lim as (select min(c_acctbal) as lo, max(c_acctbal) - min(c_acctbal) as w, min(c_nationkey) as lo2, max(c_nationkey) - min(c_nationkey) as w2 from customer where c_custkey % 2 = 0), rr", 1) + " 3 as n_cols from z")
 def privacy_customer(spark, d):
     r, s = halves(load(spark, d, "customer"), "c_custkey")
-    return privacy.evaluate_privacy(r, s, "c_custkey", ["c_acctbal", "c_nationkey"], ["c_mktsegment"])
+    return privacy.evaluate_privacy(r, s, "c_custkey", ["c_acctbal", "c_nationkey"], ["c_mktsegment"]).drop("excluded_cols", "reason")
 
 
-_EMB = ", ".join(f"(embedding[{i}]::double - lo[{i}]) / w[{i}]" for i in range(1, 9))
+@query("privacy_columns", """with s as (select *, c_custkey % 2 = 0 as is_r from customer), u as (select unnest(['c_name', 'c_mktsegment']) as "column", unnest([count(distinct c_name), count(distinct c_mktsegment)]) / count(*) as ratio from s where is_r)
+select "column", case when ratio > 0.5 then 'excluded' else 'categorical' end as use from u union all select column_name, 'numeric' from (describe customer) where column_type in ('BIGINT', 'INTEGER', 'DOUBLE') and column_name <> 'c_custkey'""")
+def privacy_columns(spark, d):
+    r, s = halves(load(spark, d, "customer"), "c_custkey")
+    found = dict(zip(("numeric", "categorical", "excluded"), privacy.privacy_columns(r, s, "c_custkey"), strict=True))
+    return spark.createDataFrame([(c, use) for use, names in found.items() for c in names], "column string, use string")
+
+
+_DIMS = 64
+_EMB = ", ".join(f"(embedding[{i}]::double - lo[{i}]) / w[{i}]" for i in range(1, _DIMS + 1))
+_EMB_LIMITS = "em as (select [" + ", ".join(f"min(embedding[{i}]::double)" for i in range(1, _DIMS + 1)) + "] as lo, [" + ", ".join(f"max(embedding[{i}]::double) - min(embedding[{i}]::double)" for i in range(1, _DIMS + 1)) + "] as w from embeddings where vec_id % 2 = 0)"
 
 
-@query("dcr_nndr_embeddings", _split_sql("", f"select vec_id as id, [{_EMB}] as e from embeddings, em where vec_id % 2 = 0", f"select vec_id as id, [{_EMB}] as e from embeddings, em where vec_id % 2 = 1", " + ".join(f"power(a.e[{i}] - b.e[{i}], 2)" for i in range(1, 9))).replace("with rr", "with em as (select [" + ", ".join(f"min(embedding[{i}]::double)" for i in range(1, 9)) + "] as lo, [" + ", ".join(f"max(embedding[{i}]::double) - min(embedding[{i}]::double)" for i in range(1, 9)) + "] as w from embeddings where vec_id % 2 = 0), rr", 1) + " 8 as n_cols from z")
+@query("dcr_nndr_embeddings", _split_sql("", f"select vec_id as id, [{_EMB}] as e from embeddings, em where vec_id % 2 = 0", f"select vec_id as id, [{_EMB}] as e from embeddings, em where vec_id % 2 = 1", "power(list_distance(a.e, b.e), 2)").replace("with rr", f"with {_EMB_LIMITS}, rr", 1) + f" {_DIMS} as n_cols from z")
 def dcr_nndr_embeddings(spark, d):
-    df = load(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)))
+    df = load(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(_DIMS)))
     r, s = halves(df, "vec_id")
-    return privacy.evaluate_privacy(r, s, "vec_id", [f"e{i}" for i in range(8)], [])
+    return privacy.evaluate_privacy(r, s, "vec_id", [f"e{i}" for i in range(_DIMS)], []).drop("excluded_cols", "reason")
 
 
 @query("subsample_cap", "select o_orderkey from (select o_orderkey, md5(o_orderkey || '|42') as o from orders order by 2, 1 limit 5000)")

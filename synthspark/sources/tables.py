@@ -96,6 +96,10 @@ def schema_distributions(schema: dict) -> dict[str, str]:
     return {c: s["distribution"] for c, s in schema["columns"].items() if (s or {}).get("distribution")}
 
 
+def primary_keys(schema: dict) -> list[str]:
+    return [c for c, s in schema["columns"].items() if (s or {}).get("role") == "primary_key"]
+
+
 #: Demo tables by modality: tables of the data folder.
 DEMOS = {"single_table": ["customer", "lineitem", "orders", "part", "supplier"], "sequential": ["conversations", "events"]}
 
