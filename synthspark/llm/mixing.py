@@ -91,7 +91,11 @@ def _keys(docs: DataFrame, id_col: str, source_col: str, text_col: str, bits: in
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = 8, seed: int = 17, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> MixPlan:
     """Decide how often each block of each source is drawn, and for which shards.
 
-    Documents without a word have size 0; they go with their block.
+    Documents without a word have size 0; they go with their block. Sources stand
+    in order of code points, null last; blocks and documents in the order of a hash
+    of the id, ties as one. What the driver holds is a number for each block of each
+    source, 65,536 a source at most: it is made for sources in thousands, not for
+    one a host.
     """
     spark = docs.sparkSession
     keyed = _keys(docs, id_col, source_col, text_col, 16, seed)
@@ -183,7 +187,10 @@ def _planned(docs: DataFrame, plan: MixPlan, id_col: str, source_col: str, text_
 def draw_mix(docs: DataFrame, plan: MixPlan, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row for each drawn copy of a document: its columns, then ``__copy``, ``__shard``, ``__rank``.
 
-    ``__rank`` orders a shard's rows at random. Repeated rows are drawn alike.
+    ``__rank`` orders a shard's rows at random. Repeated rows are drawn alike, as
+    are rows of one id in a source. A null source is a source of its own, the last
+    one; null and blank texts have no words and go with their block. An empty table
+    gives an empty result. Columns called as the three added ones are replaced.
     """
     drawn = _planned(docs, plan, id_col, source_col, text_col).select("*", F.posexplode("__shards").alias("__copy", "__shard"))
     return drawn.select(*(F.col(f"`{c}`") for c in docs.columns), "__copy", "__shard", F.xxhash64(F.lit(plan.seed + 1), F.col("__u"), F.col("__copy")).alias("__rank"))

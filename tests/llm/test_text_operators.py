@@ -430,6 +430,21 @@ def test_language_id(spark):
     assert got[903]["rejected"] and got[903]["lang_pred"] in kinds
 
 
+def test_language_id_rejects_beside_mislabelled(spark):
+    """One foreign and one junk text with a label do not let others like them pass."""
+    rng = random.Random(5)
+    words = ["the", "and", "thing", "with", "over", "hand", "river", "stone"]
+    clean = [(i, " ".join(rng.choice(words) for _ in range(30)), "en") for i in range(400)]
+    junk = lambda: " ".join("".join(rng.choice("qxzjkvwp") for _ in range(7)) for _ in range(40))
+    foreign = lambda: " ".join(rng.choice(["не", "дом", "река", "что"]) for _ in range(60))
+    docs = [*clean, (500, junk(), "en"), (501, foreign(), "en"), (900, junk(), None), (901, foreign(), None)]
+    df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, lang string, __text string")
+    models, limits = language_id.learned(df.where("doc_id < 900"))
+    got = {r["doc_id"]: r for r in rows(language_id.identify(df, models, limits))}
+    assert not any(got[i]["__rejected"] for i, _, _ in clean)
+    assert got[900]["__rejected"] and all(r["__text"] == "clash" for r in got.values())
+
+
 def test_language_id_keeps_all_grams(spark, monkeypatch):
     """Too many grams for memory: the models are tables, of all grams, with the same results."""
     rng = random.Random(8)
@@ -497,3 +512,37 @@ def test_untrained_language_id(spark):
     docs = spark.createDataFrame([(1, "some text", None, "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
     r = language_id.op8_language_id(docs).first()
     assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_kneser_ney_equals_brute_force():
+    """Probabilities of the sorted arrays, order by order, from the text alone."""
+    texts = ["abracadabra abra", "cab bad", "a"]
+    keys, at, _ = language_id.grams(texts)
+    n = np.bincount(at[at >= 0], minlength=len(keys))
+    model = language_id.KneserNey(keys[n > 0], n[n > 0])
+    grams = Counter()
+    for t in texts:
+        s = "   " + t
+        for i in range(3, len(s)):
+            if s[i] != " " or s[i - 1] != " ":
+                grams[s[i - 3 : i + 1]] += 1
+    levels = [grams]
+    for _ in range(3):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+
+    def chance(gram, k):
+        if k == 4:
+            return language_id.UNIFORM
+        n = levels[k]
+        few, pairs = sum(v == 1 for v in n.values()), sum(v == 2 for v in n.values())
+        cut = few / (few + 2 * pairs) if few else 0.5
+        after = {g: v for g, v in n.items() if g[:-1] == gram[:-1]}
+        low = chance(gram[1:], k + 1)
+        if not after:
+            return low
+        total = sum(after.values())
+        return max(after.get(gram, 0) - cut, 0) / total + min(1.0, cut * len(after) / total) * low
+
+    for gram in [*grams, "abrz", "zzzz", "bra ", "  ab"]:
+        key = sum(ord(c) << 16 * (3 - i) for i, c in enumerate(gram))
+        assert 2.0 ** -model.cost(np.array([key], np.uint64))[0] == pytest.approx(max(chance(gram, 0), 1e-12), rel=1e-9)
