@@ -256,13 +256,13 @@ def pair_severity(real_corr: Column, synth_corr: Column, delta: Column) -> Colum
 
 
 def evaluate_pairs(real: DataFrame, synth: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pairs whose correlation differs by more than 0.1, with severity; none with fewer than two numeric columns."""
+    """Pairs whose correlation differs by more than 0.1, with severity, the largest change first; none with fewer than two numeric columns."""
     names = columns or [c for c, k in column_kinds(real, synth).items() if k == "numeric"]
     if len(names) < 2:
         return real.sparkSession.createDataFrame([], "col_a string, col_b string, real_corr double, synth_corr double, delta double, severity string")
     out = correlations(real, synth, names).where(F.abs(F.col("rc") - F.col("sc")) > DELTA)
     out = out.select("col_a", "col_b", F.round("rc", 3).alias("real_corr"), F.round("sc", 3).alias("synth_corr"), F.round(F.abs(F.col("rc") - F.col("sc")), 3).alias("delta"))
-    return out.withColumn("severity", pair_severity(F.col("real_corr"), F.col("synth_corr"), F.col("delta")))
+    return out.withColumn("severity", pair_severity(F.col("real_corr"), F.col("synth_corr"), F.col("delta"))).orderBy(F.desc("delta"), "col_a", "col_b")
 
 
 def correlation_risk(pairs: DataFrame) -> DataFrame:
@@ -297,11 +297,34 @@ def contingency_similarity(real: DataFrame, synth: DataFrame, columns: list[str]
     return tv.select(at[0].alias("col_a"), at[1].alias("col_b"), (1 - F.col("distance")).alias("score"))
 
 
-def quality(real: DataFrame, synth: DataFrame, numeric: list[str], categorical: list[str], meta: dict | None = None) -> DataFrame:
-    """(property, score): column shapes, column pair trends and their mean."""
+def in_bins(real: DataFrame, synth: DataFrame, columns: list[str], bins: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Both tables with numbers as equal bins of the real range; what lies outside is in the first or last bin."""
+    one = real.agg(*(f(F.col(c).cast("double")).alias(f"{x}{i}") for i, c in enumerate(columns) for x, f in (("lo", F.min), ("hi", F.max)))).first()
+
+    def cut(c: str, i: int) -> Column:
+        low, high = one[f"lo{i}"], one[f"hi{i}"]
+        if low is None or high <= low:
+            return F.when(F.col(c).isNotNull(), F.lit("0"))
+        return F.least(F.greatest(F.floor((F.col(c).cast("double") - low) * bins / (high - low)), F.lit(0)), F.lit(bins - 1)).cast("string")
+
+    return tuple(df.withColumns({c: cut(c, i) for i, c in enumerate(columns)}) for df in (real, synth))
+
+
+def mixed_similarity(real: DataFrame, synth: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """(col_a, col_b, score): 1 less the total variation of a binned number and a category."""
+    r, s = in_bins(real, synth, numeric)
+    return contingency_similarity(r, s, [*numeric, *categorical]).where(F.col("col_a").isin(numeric) & F.col("col_b").isin(categorical))
+
+
+def quality(real: DataFrame, synth: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None, meta: dict | None = None, mixed: bool = False) -> DataFrame:
+    """(property, score): column shapes, column pair trends and their mean. ``mixed`` adds pairs of a number and a category."""
+    if numeric is None and categorical is None:
+        kinds = column_kinds(real, synth, meta)
+        numeric, categorical = ([c for c, k in kinds.items() if k == want] for want in ("numeric", "categorical"))
+    numeric, categorical = numeric or [], categorical or []
     shapes = column_shapes(real, synth, meta).select(F.lit("Column Shapes").alias("property"), "score")
-    trends = [x.select(F.lit("Column Pair Trends").alias("property"), "score") for x in ([correlation_similarity(real, synth, numeric)] if len(numeric) > 1 else []) + ([contingency_similarity(real, synth, categorical)] if len(categorical) > 1 else [])]
-    for t in trends:
-        shapes = shapes.unionByName(t)
+    found = ([correlation_similarity(real, synth, numeric)] if len(numeric) > 1 else []) + ([contingency_similarity(real, synth, categorical)] if len(categorical) > 1 else []) + ([mixed_similarity(real, synth, numeric, categorical)] if mixed and numeric and categorical else [])
+    for t in found:
+        shapes = shapes.unionByName(t.select(F.lit("Column Pair Trends").alias("property"), "score"))
     own = shapes.groupBy("property").agg(F.avg("score").alias("score"))
     return own.unionByName(own.agg(F.lit("Overall").alias("property"), F.avg("score").alias("score")))

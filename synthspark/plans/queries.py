@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import copula, distances, privacy, profile, sequence_models, sequences
 from ..sources import tables
-from . import verdicts
+from . import benchmarks, verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -200,11 +200,11 @@ def quality_overall(spark, d):
 
 
 #: Orders against prices with a turned relation: gives the pair rules something to flag.
-_TURNED = "select l_orderkey, l_quantity, l_discount, l_tax, case when l_orderkey % 2 = 0 then l_extendedprice else 100000 - l_extendedprice end as price from lineitem"
+_TURNED = "select l_orderkey, l_quantity, l_discount, l_tax, l_extendedprice + case when l_orderkey % 2 = 0 then 1000 else -1000 end * l_quantity as price from lineitem"
 
 
 def _turned(spark, d):
-    df = load(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", F.when(F.col("l_orderkey") % 2 == 0, F.col("l_extendedprice")).otherwise(100000 - F.col("l_extendedprice")).alias("price"))
+    df = load(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") + F.when(F.col("l_orderkey") % 2 == 0, 1000).otherwise(-1000) * F.col("l_quantity")).alias("price"))
     r, s = halves(df, "l_orderkey")
     return distances.evaluate_pairs(r, s, ["l_quantity", "l_discount", "l_tax", "price"])
 
@@ -595,12 +595,61 @@ def regression_check(spark, d):
     return verdicts.regressions(spark.createDataFrame(_BASE, _GATE), spark.createDataFrame(_NOW, _GATE))
 
 
-@query("usage_recommendation")
+@query("usage_recommendation", _SHIFT_EVAL + ", v as (" + _ladder_sql("fi") + ") select max_score, n_failed, n, 'laag' as privacy_risk, 'matig' as correlation_risk, case when n_failed = 0 and max_score < 0.1 then 'any' when risk = 'laag' then 'careful' when risk = 'matig' then 'explore' else 'test' end as use, 'correlations_matig' as check from v")
 def usage_recommendation(spark, d):
     found = verdicts.rollup(distances.evaluate(*_shifted(spark, d)))
     return verdicts.usage_recommendation(found.select("max_score", "n_failed", "n", F.lit("laag").alias("privacy_risk"), F.lit("matig").alias("correlation_risk")))
 
 
+@query("temporal_advice", _SEQ_EVAL + ", v as (" + _ladder_sql("fi") + ") select risk, case risk when 'laag' then 'longitudinal' when 'matig' then 'check_transitions_and_lengths' else 'no_longitudinal' end as use, null::varchar as reason from v")
+def temporal_advice(spark, d):
+    return verdicts.temporal_advice(_sequential(spark, d))
+
+
+@query("scorecard", _SHIFT_EVAL + ", lv as (" + _ladder_sql("fi") + "), " + _FLAGGED.removeprefix("with ") + ", cr as (select case when count(*) filter (where severity = 'hoog') > 0 then 'hoog' when count(*) filter (where severity = 'matig') > 0 then 'matig' else 'laag' end as risk from v) select 'distribution' as part, label, risk from lv union all select 'coherence', case risk when 'laag' then 'Goed' when 'matig' then 'Afwijkingen' else 'Omgeklapt' end, risk from cr")
+def scorecard(spark, d):
+    return verdicts.distribution_verdict(distances.evaluate(*_shifted(spark, d))).unionByName(verdicts.coherence_verdict(distances.correlation_risk(_turned(spark, d))))
+
+
+_MIXED = "with lim as (select min(l_extendedprice) as lo, max(l_extendedprice) as hi from lineitem where l_orderkey % 2 = 0), k as (select (l_orderkey % 2 = 0)::int as is_r, c as col, least(greatest(floor((l_extendedprice - lo) * 10 / (hi - lo)), 0), 9)::int || '|' || case c when 'l_returnflag' then l_returnflag else l_linestatus end as v from lineitem, lim, (select unnest(['l_returnflag', 'l_linestatus']) as c)), "
+
+
+@query("mixed_similarity", _MIXED + TV + " select 'l_extendedprice' as col_a, col as col_b, round(1 - distance, 6) as score from tv")
+def mixed_similarity(spark, d):
+    r, s = halves(load(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_returnflag", "l_linestatus"), "l_orderkey")
+    return distances.mixed_similarity(r, s, ["l_extendedprice"], ["l_returnflag", "l_linestatus"]).withColumn("score", F.round("score", 6))
+
+
+@query("preview", "select * from orders order by o_orderkey limit 10")
+def preview(spark, d):
+    return tables.preview(load(spark, d, "orders"), "o_orderkey")
+
+
+@query("shown_as", "select case o_orderstatus when 'F' then 'finished' when 'O' then 'open' else o_orderstatus end as status, o_orderkey, o_totalprice as price from orders")
+def shown_as(spark, d):
+    df = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return tables.shown_as(df, {"o_orderstatus": "status", "o_totalprice": "price"}, {"o_orderstatus": {"F": "finished", "O": "open"}}, ["o_orderstatus"])
+
+
+def _bench_tables(spark, d):
+    return {"orders": no_key(pick(load(spark, d, "orders"), "o_orderkey", ORDERS), "o_orderkey"), "lineitem": no_key(pick(load(spark, d, "lineitem"), "l_orderkey", LINEITEM), "l_orderkey")}
+
+
+@query("benchmark_details", " union all ".join(f"select '{t}' as dataset, * from ({evaluate_sql(t, spec)})" for t, spec in (("orders", ORDERS), ("lineitem", LINEITEM))))
+def benchmark_details(spark, d):
+    return benchmarks.details(_bench_tables(spark, d))
+
+
+def _summary_sql(t, spec, pairs):
+    flagged = f"select round(abs(rc - sc), 3) as delta, rc, sc from ({pairs}) where abs(rc - sc) > 0.1" if pairs else "select 0.0 as delta, 0.0 as rc, 0.0 as sc where false"
+    return f"select '{t}' as dataset, round(avg(score), 4) as mean_score, max(score) as worst_score, arg_max(\"column\", score) as worst_column, count(*) filter (where not ok) as cols_failed, count(*) as n_cols, (select count(*) from ({flagged})) as corr_flagged, coalesce((select max(delta) from ({flagged})), 0) as corr_max_delta, 'laag' as corr_risk from ({evaluate_sql(t, spec)})"
+
+
+@query("benchmark_summary", " union all ".join(_summary_sql(*x) for x in (("orders", ORDERS, None), ("lineitem", LINEITEM, _pairs_sql("lineitem", _PAIR_NAMES)))))
+def benchmark_summary(spark, d):
+    return benchmarks.summary(_bench_tables(spark, d))
+
+
 @query("improvement_advice")
 def improvement_advice(spark, d):
     r, s = _shifted(spark, d)
@@ -634,7 +683,15 @@ def markov_sample(spark, d):
     return sequence_models.sample_markov(spark, sequence_models.fit_markov(truth, "student_id", "jaar", "status"), 200)
 
 
-@query("ground_truth_doorstroom")
+_U = "('0x' || substr(md5(id || '|42/' || {y} || '/{k}'), 1, 8))::bigint / 4294967296.0"
+
+
+@query("ground_truth_doorstroom", f"""with recursive c as (select i as y, 0.05 + 0.13 * (i - 1) as g, greatest(0.0, 0.85 - 0.12 * (i - 1)) as k from range(1, 6) t(i)),
+ch as (select y, k / (g + k + greatest(0.0, 1 - k - g)) as keep, (k + g) / (g + k + greatest(0.0, 1 - k - g)) as leave from c),
+d as (select id, y, {_U.format(y='y', k='s')} as u, 20 + 40 * {_U.format(y='y', k='e')} as gain, keep, leave from range(1, 301) t(id), ch),
+s as (select id, y, case when u < keep then 'ingeschreven' when u < leave then 'gediplomeerd' else 'uitgestroomd' end as status, round(gain, 1) as ec from d where y = 1
+  union all select d.id, d.y, case when d.u < d.keep then 'ingeschreven' when d.u < d.leave then 'gediplomeerd' else 'uitgestroomd' end, round(s.ec + d.gain, 1) from s join d on d.id = s.id and d.y = s.y + 1 where s.status = 'ingeschreven')
+select id as student_id, y as jaar, status, round(ec, 1) as ec from s""")
 def ground_truth_doorstroom(spark, d):
     return tables.ground_truth(spark, 300)
 

@@ -43,11 +43,55 @@ def usability(distribution: Column, privacy: Column, correlation: Column, tempor
 
 
 def usage_recommendation(summary: DataFrame) -> DataFrame:
-    """``summary`` (privacy_risk, max_score, n_failed, n, correlation_risk) with ``advice`` in words."""
+    """``summary`` (privacy_risk, max_score, n_failed, n, correlation_risk) with ``use`` and ``check``, codes of what it is fit for.
+
+    ``use``: no_release, any, careful, explore or test; ``check`` names what to look at first.
+    """
     _, risk = ladder(F.col("max_score"), F.col("n_failed"), F.col("n"))
-    base = F.when(F.col("privacy_risk") == "hoog", "not advised: high privacy risk").when((F.col("n_failed") == 0) & (F.col("max_score") < 0.1), "high quality: all columns lie close to the real data").when(risk == "laag", "good quality: small deviations; check absolute counts before external use").when(risk == "matig", "medium quality: some columns deviate; fit for exploring and internal tests").otherwise("low quality: several columns deviate; fit for technical tests only")
-    more = F.when(F.col("privacy_risk") == "hoog", "").when(F.col("correlation_risk") == "hoog", "; correlations turned or changed much").when(F.col("correlation_risk") == "matig", "; some correlations changed").otherwise("")
-    return summary.withColumn("advice", F.concat(base, more))
+    private = F.col("privacy_risk") == "hoog"
+    use = F.when(private, "no_release").when((F.col("n_failed") == 0) & (F.col("max_score") < 0.1), "any").when(risk == "laag", "careful").when(risk == "matig", "explore").otherwise("test")
+    check = F.when(private, "privacy").when(F.col("correlation_risk").isin("hoog", "matig"), F.concat(F.lit("correlations_"), F.col("correlation_risk"))).otherwise("none")
+    return summary.withColumns({"use": use, "check": check})
+
+
+def temporal_advice(findings: DataFrame, reason: str | None = None) -> DataFrame:
+    """One row (risk, use, reason): whether longitudinal analyses can rest on the table; ``not_judged`` with a reason."""
+    if reason:
+        return findings.sparkSession.createDataFrame([("onbekend", "not_judged", reason)], "risk string, use string, reason string")
+    use = F.when(F.col("risk") == "laag", "longitudinal").when(F.col("risk") == "matig", "check_transitions_and_lengths").otherwise("no_longitudinal")
+    return rollup(findings).select("risk", use.alias("use"), F.lit(None).cast("string").alias("reason"))
+
+
+def ranked(findings: DataFrame) -> DataFrame:
+    """Findings with the highest score first."""
+    return findings.orderBy(F.desc_nulls_last("score"), "kind", "column")
+
+
+#: Labels of the score card by risk.
+PRIVACY_LABELS = {"laag": "Laag risico", "matig": "Matig risico", "hoog": "Hoog risico"}
+COHERENCE_LABELS = {"laag": "Goed", "matig": "Afwijkingen", "hoog": "Omgeklapt"}
+NOT_COMPUTED, NO_COLUMNS = "Niet berekend", "Geen kolommen"
+
+
+def distribution_verdict(findings: DataFrame) -> DataFrame:
+    """One row (part, label, risk) from the scores of the columns."""
+    none = F.col("n") == 0
+    return rollup(findings).select(F.lit("distribution").alias("part"), F.when(none, NO_COLUMNS).otherwise(F.col("label")).alias("label"), F.when(none, "onbekend").otherwise(F.col("risk")).alias("risk"))
+
+
+def _labelled(part: str, risk: Column, labels: dict[str, str], available: Column) -> list[Column]:
+    told = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv)), risk), F.lit("Onbekend"))
+    return [F.lit(part).alias("part"), F.when(available, told).otherwise(NOT_COMPUTED).alias("label"), F.when(available, risk).otherwise("onbekend").alias("risk")]
+
+
+def privacy_verdict(privacy: DataFrame) -> DataFrame:
+    """One row (part, label, risk) from a privacy evaluation."""
+    return privacy.select(*_labelled("privacy", F.col("risk_level"), PRIVACY_LABELS, F.col("available")))
+
+
+def coherence_verdict(risk: DataFrame, available: bool = True) -> DataFrame:
+    """One row (part, label, risk) from the risk of correlations; not computed with fewer than two numeric columns."""
+    return risk.select(*_labelled("coherence", F.col("risk"), COHERENCE_LABELS, F.lit(available)))
 
 
 def improvement_advice(findings: DataFrame, hints: DataFrame, profile: DataFrame, n_rows: int, privacy_risk: str = "onbekend", correlation: str = "laag", temporal_kind: str | None = None, synthesizer: str | None = None, distributions: dict[str, str] | None = None) -> DataFrame:

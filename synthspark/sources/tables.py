@@ -147,3 +147,23 @@ def write_parameters(params: dict, path: str) -> None:
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
+
+
+def preview(df: DataFrame, order: str, n: int = 10) -> DataFrame:
+    """The first rows in the order of a column."""
+    return df.orderBy(order).limit(n)
+
+
+def shown_as(df: DataFrame, names: dict[str, str], values: dict[str, dict] | None = None, order: list[str] | None = None) -> DataFrame:
+    """``df`` for display: values mapped, columns renamed and put in order; what no map names stays."""
+    for c, told in (values or {}).items():
+        pairs = F.create_map(*(F.lit(x) for kv in told.items() for x in kv))
+        df = df.withColumn(c, F.coalesce(F.try_element_at(pairs, F.col(c)), F.col(c).cast("string")))
+    out = df.withColumnsRenamed(names)
+    first = [names.get(c, c) for c in order or []]
+    return out.select(*first, *(c for c in out.columns if c not in first))
+
+
+def csv_lines(df: DataFrame) -> DataFrame:
+    """(line): the rows as CSV text, header apart, still distributed."""
+    return df.select(F.to_csv(F.struct(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))).alias("line"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from synthspark import cli
 from synthspark.operators import copula, distances, privacy, profile, sequence_models, sequences
-from synthspark.plans import verdicts
+from synthspark.plans import benchmarks, verdicts
 from synthspark.sources import tables
 
 
@@ -87,7 +87,8 @@ def test_blocked_sums_equal_a_plain_window(numbers):
 
 def test_skew_hints_and_types(spark):
     df = spark.createDataFrame([(0.0 if i < 90 else float(i), i % 12 + 1, None if i % 5 else 1.5, float(i % 7)) for i in range(600)], "z double, opl long, gap double, g double")
-    assert profile.skewness(df, ["z", "g"]).where("skewed").count() == 0 or True
+    # z has 511 distinct values and 90 zeros of 600: neither skewed nor heaped; g has seven values.
+    assert {r.column: (r.n_unique, r.skewed) for r in profile.skewness(df, ["z", "g"]).collect()} == {"z": (511, False), "g": (7, False)}
     hints = {r.column: (r.rule, r.confidence) for r in profile.column_hints(df).collect()}
     assert hints["opl"] == ("small_code", 0.65) and hints["gap"] == ("missing", 0.0) and "g" not in hints
     zeros = spark.createDataFrame([(0.0,)] * 90 + [(float(i),) for i in range(1, 31)], "x double")
@@ -135,6 +136,83 @@ def test_copula_keeps_rules_and_seed(spark):
     assert 2010 <= r[0] and r[1] <= 2017
 
 
+def test_copula_makes_fresh_keys_and_dates(spark):
+    df = spark.range(400).selectExpr("concat('P', id) as pk", "id + 7 as number", "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, cast(id % 90 as int)) as a", "timestamp_ntz'2020-02-01' + make_interval(0, 0, 0, cast(id % 90 + id % 7 as int)) as b", "date'2020-01-01' + cast(id % 30 as int) as d", "concat('c', id % 250) as many", "cast(null as double) as nothing")
+    model = copula.fit(df, [{"type": "inequality", "low": "a", "high": "b", "strict": True}])
+    assert model.keys == {"pk": 0, "number": 406} and {m.column: m.buckets for m in model.marginals}["many"] == 250
+    out = copula.sample(spark, model, 900).persist()
+    assert out.dtypes == df.dtypes and out.where("a >= b").count() == 0 and out.where("nothing is not null").count() == 0
+    assert out.join(df, "pk").count() == 0 and out.join(df, "number").count() == 0
+    r = out.agg(F.count_distinct("pk"), F.count_distinct("number"), F.min("d"), F.max("d"), F.count("many"), F.count_distinct("many")).first()
+    assert (r[0], r[1], r[4]) == (900, 900, 900) and str(r[2]) >= "2020-01-01" and str(r[3]) <= "2020-01-30" and r[5] > 230
+    assert out.join(df.select("many").distinct(), "many", "left_anti").count() == 0
+
+
+def test_copula_follows_dependence_and_shares(spark):
+    rng = random.Random(12)
+    rows = [(x, 2 * x + rng.gauss(0, 0.3), "hi" if x > 0.5 else "lo", None if i % 4 == 0 else 1.0) for i in range(1500) for x in [rng.gauss(0, 1)]]
+    df = spark.createDataFrame(rows, "x double, y double, c string, gap double")
+    r = copula.sample(spark, copula.fit(df, keys=[]), 3000).agg(F.corr("x", "y"), F.avg((F.col("c") == "hi").cast("int")), F.avg(F.col("gap").isNull().cast("int")), F.avg(F.when(F.col("c") == "hi", F.col("x"))) > F.avg(F.when(F.col("c") == "lo", F.col("x")))).first()
+    assert r[0] > 0.95 and r[1] == pytest.approx(sum(x[2] == "hi" for x in rows) / 1500, abs=0.03) and r[2] == pytest.approx(0.25, abs=0.03) and r[3]
+
+
+@pytest.mark.parametrize(("family", "median"), [("norm", 3.17), ("uniform", 5.0), ("gamma", 2.55), ("beta", 2.66)])
+def test_families(spark, family, median):
+    x = copula.family_knots(family, 0, 10, 3, 2)
+    assert x[0] == 0 and x[-1] == pytest.approx(10, abs=0.1) and x == sorted(x) and x[20] == pytest.approx(median, abs=0.02)
+    with pytest.raises(ValueError):
+        copula.fit(spark.range(9).selectExpr("cast(id as double) as x"), distributions={"x": "cauchy"})
+
+
+def test_autocorrelation_score_is_the_whole_difference(spark):
+    up = spark.createDataFrame([(k, t, float(t), "2020-01-01", k) for k in range(5) for t in range(6)], "k long, t long, v double, d string, pid long")
+    zigzag = up.withColumn("v", F.when(F.col("t") % 2 == 0, 1.0).otherwise(0.0))
+    meta = {"columns": {"d": {"sdtype": "datetime"}, "pid": {"sdtype": "id"}}}
+    found = {r["kind"]: (r["column"], r["score"], r["ok"]) for r in sequences.evaluate_sequential(up, zigzag, "k", "t", meta=meta).collect()}
+    assert found == {"autocorrelation": ("v", 2.0, False), "length": (None, 0.0, True)}
+    assert sequences.evaluate_sequential(up, up.drop("t"), "k", "t").count() == 0
+    assert sequences.sequential_reason(up, up.drop("t"), "k", "t") == "missing column: t"
+    assert verdicts.temporal_advice(up, "missing column: t").first()["use"] == "not_judged"
+
+
+def test_last_row_of_a_level_wins(spark):
+    df = spark.createDataFrame([(1, 1, 10, "a"), (1, 1, 11, "b"), (1, 1, 12, None), (1, 2, 9, "c")], "k long, t long, tie long, v string")
+    r = sequences.to_wide(df, "k", "t", ["v"], [1, 2], tie="tie").first()
+    assert (r["v__t1"], r["v__t2"], r["__seq_len__"]) == ("b", "c", 4)
+
+
+def test_privacy_picks_columns_and_says_why(spark, numbers):
+    named = numbers.withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string"))).withColumn("pk", F.col("id"))
+    copies = named.withColumn("id", F.col("id") + 1000)
+    assert privacy.privacy_columns(named, copies, "id", "pk") == (["a", "b"], ["c"], ["name"])
+    r = privacy.evaluate_privacy(named, copies, "id", primary_key="pk").first()
+    assert r.available and r.excluded_cols == ["name"] and r.n_cols == 3 and r.dcr_synth_median == 0
+    none = privacy.evaluate_privacy(named.select("id", "name"), copies.select("id", "name"), "id").first()
+    assert not none.available and none.reason == "no usable columns" and none.risk_level == "onbekend"
+    assert privacy.evaluate_privacy(named.limit(5), copies, "id", ["a"], []).first().reason == "too few rows"
+
+
+def test_quantiles_equal_sorted_values(spark, numbers):
+    values = sorted(r.a for r in numbers.select("a").collect())
+    for r in profile.quantiles(numbers, ["a"], [0.0, 0.1, 0.37, 1.0]).collect():
+        h = (len(values) - 1) * r.p
+        low = int(h)
+        assert r.value == pytest.approx(values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (h - low))
+
+
+def test_run_bounds_and_benchmark(spark, numbers):
+    with pytest.raises(ValueError):
+        benchmarks.RunConfig(rows=5)
+    assert "--rows 50 --seed 42" in benchmarks.reproduction("a.csv", "b.csv", benchmarks.RunConfig(rows=50))
+    row = benchmarks.run_dataset("same", numbers, numbers.withColumn("id", F.col("id") + 1000), "id").first()
+    assert (row.worst_score, row.cols_failed, row.sdmetrics_overall, row.corr_risk, row.privacy) == (0.0, 0, 1.0, "laag", "hoog")
+    truth = tables.ground_truth(spark, 60)
+    same = benchmarks.run_sequential_dataset("same", truth, truth, "student_id", "jaar").first()
+    assert (same.temporal_worst, same.temporal_failed, same.verdict, same.length_distance) == (0.0, 0, "Uitstekend", 0.0)
+    assert "| same |" in benchmarks.markdown_table(benchmarks.summary({"same": (numbers.drop("id"), numbers.drop("id"))}))
+    assert tables.csv_lines(numbers.where("id = 3").select("id", "c")).first()["line"].startswith("3,")
+
+
 def test_constraint_errors():
     with pytest.raises(ValueError):
         copula.build_constraints([{"type": "sum"}])
