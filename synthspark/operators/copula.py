@@ -97,30 +97,36 @@ def find_keys(df: DataFrame) -> list[str]:
     return [c for c in likely if df.select(c).where(F.col(c).isNotNull()).distinct().count() == rough["n"]]
 
 
-def _tree(value: Column, cuts: list[float], leaves: list[Column]) -> Column:
+def _sql(value: float | str) -> str:
+    """A literal."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"double('{float(value)!r}')"
+
+
+def _tree(value: str, cuts: list[float], leaves: list[str]) -> str:
     """The leaf of the interval between ``cuts`` that holds ``value``, by halving."""
     if len(leaves) == 1:
         return leaves[0]
     m = len(leaves) // 2
-    return F.when(value < F.lit(float(cuts[m - 1])), _tree(value, cuts[: m - 1], leaves[:m])).otherwise(_tree(value, cuts[m:], leaves[m:]))
+    return f"if({value} < {_sql(cuts[m - 1])}, {_tree(value, cuts[: m - 1], leaves[:m])}, {_tree(value, cuts[m:], leaves[m:])})"
 
 
-def _rank(m: Marginal, c: Column) -> Column:
-    """The share of values below, half of the equal ones included, by the knots of a marginal."""
+def _rank(m: Marginal, c: str) -> Column:
+    """The share of values below, half of the equal ones included, by the knots of a marginal; ``c`` is a column."""
     if m.kind == "category":
-        lows = [0.0, *m.p[:-1]]
-        told = {str(v): (a + b) / 2 for v, a, b in zip(m.x, lows, m.p, strict=True)}
-        return F.try_element_at(F.create_map(*(F.lit(x) for pair in told.items() for x in pair)), c.cast("string"))
+        told = ", ".join(f"{_sql(str(v))}, {_sql((a + b) / 2)}" for v, a, b in zip(m.x, [0.0, *m.p[:-1]], m.p, strict=True))
+        return F.expr(f"try_element_at(map({told}), string({c}))")
     steps: dict[float, list[float]] = {}
     for p, x in zip(m.p, m.x, strict=True):
         steps.setdefault(float(x), []).append(p)
     xs = sorted(steps)
     leaves = []
     for i, x in enumerate(xs):
-        mid, high = F.lit((steps[x][0] + steps[x][-1]) / 2), steps[x][-1]
-        between = F.lit(high) + (c - x) / (xs[i + 1] - x) * (steps[xs[i + 1]][0] - high) if i + 1 < len(xs) else mid
-        leaves.append(F.when(c <= x, mid).otherwise(between))
-    return F.when(c.isNotNull(), _tree(c.cast("double"), xs[1:], leaves))
+        mid, high = _sql((steps[x][0] + steps[x][-1]) / 2), steps[x][-1]
+        between = f"{_sql(high)} + ({c} - {_sql(x)}) * {_sql((steps[xs[i + 1]][0] - high) / (xs[i + 1] - x))}" if i + 1 < len(xs) else mid
+        leaves.append(f"if({c} <= {_sql(x)}, {mid}, {between})")
+    return F.expr(f"if({c} is null or isnan({c}), null, {_tree(c, xs[1:], leaves)})")
 
 
 def rank_correlations(df: DataFrame, marginals: list[Marginal]) -> np.ndarray:
@@ -128,13 +134,15 @@ def rank_correlations(df: DataFrame, marginals: list[Marginal]) -> np.ndarray:
     rows = df
     for i, m in enumerate(marginals):
         if m.table is not None:
-            mid = m.table.select(F.col("value").alias(f"__v{i}"), ((F.col("lo") + F.col("hi")) / 2).alias(f"__r{i}")).distinct()
-            rows = rows.join(mid, rows[m.column] == mid[f"__v{i}"], "left").drop(f"__v{i}")
-        else:
-            rows = rows.withColumn(f"__r{i}", _rank(m, present(F.col(m.column), df.schema[m.column].dataType)))
+            mid = m.table.select(F.col("value").alias(f"__v{i}"), ((F.col("lo") + F.col("hi")) / 2).alias(f"__m{i}")).distinct()
+            rows = rows.join(mid, rows[m.column] == mid[f"__v{i}"], "left")
+    plain = rows.select(*(F.col(f"__m{i}") if m.table is not None else F.col(f"`{m.column}`").cast("string" if m.kind == "category" else "double").alias(f"__c{i}") for i, m in enumerate(marginals)))
+    rows = plain.select(*(F.col(f"__m{i}").alias(f"__r{i}") if m.table is not None else _rank(m, f"__c{i}").alias(f"__r{i}") for i, m in enumerate(marginals)))
     pairs = [(i, j) for i in range(len(marginals)) for j in range(i)]
 
+
     def corr(i: int, j: int) -> Column:
+        # The correlation function fails on constant columns.
         there = F.col(f"__r{i}").isNotNull() & F.col(f"__r{j}").isNotNull()
         a, b = F.when(there, F.col(f"__r{i}")), F.when(there, F.col(f"__r{j}"))
         return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
@@ -166,23 +174,34 @@ def family_knots(family: str, low: float, high: float, mean: float, std: float,
     return [float(v) for v in np.interp(ps, np.concatenate(([0.0], mass / mass[-1])), np.concatenate(([low], x)))]
 
 
-def _categories(own: DataFrame, c: str) -> tuple[list[tuple[str, float]] | None, DataFrame | None, int]:
-    """(value, cumulative share) as constants, the most frequent first, or the table for many."""
-    counts = own.select(F.col(c).cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("nr")).persist()
-    n = counts.count()
-    if n <= CONSTANT_CATEGORIES:
-        rows = sorted(counts.collect(), key=lambda r: (-r["nr"], r["v"]))
-        at, total, out = 0, sum(r["nr"] for r in rows), []
-        for r in rows:
-            at += r["nr"]
-            out.append((r["v"], at / total))
-        return out, None, 0
-    # The order is by frequency; a hash stands for the order of equal ones.
+def _categories(own: DataFrame, columns: list[str]) -> dict[str, tuple[list[tuple[str, float]] | None, DataFrame | None, int]]:
+    """For each column (value, cumulative share) as constants, the most frequent first, or the table and buckets for many."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns))
+    counts = own.select(F.inline(cells)).where("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("nr")).persist()
+    sizes = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few: dict[str, list] = {}
+    for r in counts.where(F.col("column").isin([c for c, n in sizes.items() if n <= CONSTANT_CATEGORIES])).collect():
+        few.setdefault(r["column"], []).append((-r["nr"], r["v"]))
+    found: dict = {}
+    for c, rows in few.items():
+        at, total, shares = 0, -sum(n for n, _ in rows), []
+        for n, v in sorted(rows):
+            at -= n
+            shares.append((v, at / total))
+        found[c] = (shares, None, 0)
+    for c, n in sizes.items():
+        if n > CONSTANT_CATEGORIES:
+            found[c] = (None, _share_table(counts.where(F.col("column") == c), n), n)
+    return found
+
+
+def _share_table(counts: DataFrame, n: int) -> DataFrame:
+    """(bucket, value, lo, hi): the stretch of [0, 1) of each value, by frequency and then by a hash."""
     order = -F.col("nr") - F.abs(F.xxhash64("v")) / F.lit(float(1 << 63)) / 2
-    ranked = cumulative(counts.select(F.lit(c).alias("column"), order.alias("value"), "nr", F.lit(0).cast("long").alias("ns"), "v").persist(), keep=["v"])
+    ranked = cumulative(counts.select("column", order.alias("value"), "nr", F.lit(0).cast("long").alias("ns"), "v").persist(), keep=["v"])
     shares = ranked.select(F.col("v").alias("value"), ((F.col("cr") - F.col("nr")) / F.col("tr")).alias("lo"), (F.col("cr") / F.col("tr")).alias("hi"))
     last = F.least(F.floor(F.col("hi") * n), F.lit(n - 1))
-    return None, shares.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") * n), last))).persist(), n
+    return shares.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") * n), last))).persist()
 
 
 def fit(df: DataFrame, constraints: list[dict] | None = None, seed: int = 42, distributions: dict[str, str] | None = None, keys: list[str] | None = None) -> CopulaModel:
@@ -208,6 +227,8 @@ def fit(df: DataFrame, constraints: list[dict] | None = None, seed: int = 42, di
             knots.setdefault(r["column"], []).append(r["value"])
     value = lambda c: present(F.col(c), own.schema[c].dataType)
     one = own.agg(F.count(F.lit(1)).alias("n"), *(F.count(value(c)).alias(f"n_{i}") for i, c in enumerate(own.columns)), *(f(value(c).cast("double")).alias(f"{name}_{c}") for c in numbers for name, f in (("mean", F.avg), ("std", F.stddev_samp)))).first() if own.columns else {"n": 0}
+    texts = [c for i, c in enumerate(own.columns) if c not in numbers and one[f"n_{i}"]]
+    categories = _categories(own, texts) if texts else {}
     marginals = []
     for i, c in enumerate(own.columns):
         null = 1 - one[f"n_{i}"] / one["n"] if one["n"] else 0.0
@@ -218,7 +239,7 @@ def fit(df: DataFrame, constraints: list[dict] | None = None, seed: int = 42, di
             x = knots[c] if family == "gaussian_kde" else family_knots(family, knots[c][0], knots[c][-1], one[f"mean_{c}"], one[f"std_{c}"] or 0.0)
             marginals.append(Marginal(c, "number", isinstance(own.schema[c].dataType, T.IntegralType), null, list(KNOTS), x))
         else:
-            few, table, buckets = _categories(own, c)
+            few, table, buckets = categories[c]
             marginals.append(Marginal(c, "category", False, null, [p for _, p in few or []], [v for v, _ in few or []], table, buckets))
     rho = 2 * np.sin(np.pi / 6 * rank_correlations(own, marginals)) if marginals else np.eye(0)
     np.fill_diagonal(rho, 1.0)
@@ -241,12 +262,13 @@ def _z(p: float) -> float:
     return NormalDist().inv_cdf(min(max(p, 1e-12), 1 - 1e-12))
 
 
-def _inverse(m: Marginal, z: Column) -> Column:
+def _inverse(m: Marginal, z: str) -> Column:
+    """The value at a normal score; ``z`` is a column."""
     if m.kind == "category":
-        return _tree(z, [_z(p) for p in m.p[:-1]], [F.lit(x) for x in m.x])
+        return F.expr(_tree(z, [_z(p) for p in m.p[:-1]], [_sql(str(x)) for x in m.x]))
     cuts = [NormalDist().inv_cdf(min(max(p, 0.001), 0.999)) for p in m.p]
-    leaves = [F.lit(float(x)) + (z - a) / (b - a) * (float(y) - float(x)) for a, b, x, y in zip(cuts[:-1], cuts[1:], m.x[:-1], m.x[1:], strict=True)]
-    out = F.greatest(F.lit(float(m.x[0])), F.least(F.lit(float(m.x[-1])), _tree(z, cuts[1:-1], leaves)))
+    leaves = [f"{_sql(x)} + ({z} - {_sql(a)}) * {_sql((float(y) - float(x)) / (b - a))}" for a, b, x, y in zip(cuts[:-1], cuts[1:], m.x[:-1], m.x[1:], strict=True)]
+    out = F.expr(f"greatest({_sql(m.x[0])}, least({_sql(m.x[-1])}, {_tree(z, cuts[1:-1], leaves)}))")
     return F.bround(out).cast("long") if m.integral else out
 
 
@@ -273,12 +295,12 @@ def sample(spark: SparkSession, model: CopulaModel, n: int, seed: int | None = N
     mixed = [sum((F.lit(float(model.factor[i, j])) * F.col(f"__e{j}") for j in range(i + 1)), F.lit(0.0)).alias(f"__z{i}") for i in range(len(model.marginals))]
     rows = rows.select("id", *mixed)
     there = lambda i, m, value: F.when(uniform(F.col("id"), f"{seed}/{i}/null") >= m.null_share, value) if m.null_share else value
-    cells = [there(i, m, _inverse(m, F.col(f"__z{i}"))).alias(m.column) for i, m in enumerate(model.marginals) if m.table is None]
+    cells = [there(i, m, _inverse(m, f"__z{i}")).alias(m.column) for i, m in enumerate(model.marginals) if m.table is None]
     many = [(i, m) for i, m in enumerate(model.marginals) if m.table is not None]
     out = rows.select("id", *cells, *(F.least(F.greatest(_share(F.col(f"__z{i}")), F.lit(0.0)), F.lit(1 - 1e-12)).alias(f"__u{i}") for i, _ in many))
     for i, m in many:
         shares = m.table.select(F.col("bucket").alias(f"__b{i}"), F.col("lo").alias(f"__lo{i}"), F.col("hi").alias(f"__hi{i}"), F.col("value").alias(f"__x{i}"))
-        drawn = out.join(shares, (F.floor(F.col(f"__u{i}") * m.buckets) == shares[f"__b{i}"]) & (out[f"__u{i}"] >= shares[f"__lo{i}"]) & (out[f"__u{i}"] < shares[f"__hi{i}"]), "left")
+        drawn = out.join(shares, (F.least(F.floor(F.col(f"__u{i}") * m.buckets), F.lit(m.buckets - 1)) == shares[f"__b{i}"]) & (out[f"__u{i}"] >= shares[f"__lo{i}"]) & (out[f"__u{i}"] < shares[f"__hi{i}"]), "left")
         out = drawn.withColumn(m.column, there(i, m, F.col(f"__x{i}"))).drop(f"__u{i}", f"__b{i}", f"__lo{i}", f"__hi{i}", f"__x{i}")
     for i, rule in enumerate(model.constraints):
         if rule["type"] == "inequality":

@@ -33,7 +33,7 @@ class SequenceModel:
 def fit_sequences(df: DataFrame, key: str, index: str, seed: int = 42, tie: str | None = None) -> SequenceModel:
     """Fit one row a sequence; refuses tables too small for their number of steps and features."""
     features = [c for c in df.columns if c not in (key, index)]
-    levels = [r[0] for r in df.where(F.col(index).isNotNull()).select(index).distinct().orderBy(index).limit(MOST_LEVELS + 1).collect()]
+    levels = sorted(r[0] for r in df.where(F.col(index).isNotNull()).select(index).distinct().limit(MOST_LEVELS + 1).collect())
     entities = df.select(F.count_distinct(key)).first()[0]
     if len(levels) < 2 or entities < 2:
         raise ValueError("a longitudinal table needs two time steps and two entities")
