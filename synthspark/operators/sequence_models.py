@@ -47,8 +47,11 @@ def fit_sequences(df: DataFrame, key: str, index: str, seed: int = 42, tie: str
     if numbers:
         fallback |= {r["column"]: r["value"] for r in quantiles(df, numbers, [0.5]).collect()}
     terminal = {c: sorted(r[0] for r in terminal_states(df, key, index, c, tie).collect()) for c in texts}
-    wide = to_wide(df, key, index, features, levels, tie).drop(key)
-    return SequenceModel(key, index, features, levels, terminal, fallback, fit(wide, seed=seed, keys=[]), df.columns, {f.name: f.dataType.simpleString() for f in df.schema.fields})
+    # The fit reads the wide rows several times.
+    wide = to_wide(df, key, index, features, levels, tie).drop(key).persist()
+    model = fit(wide, seed=seed, keys=[])
+    wide.unpersist()
+    return SequenceModel(key, index, features, levels, terminal, fallback, model, df.columns, {f.name: f.dataType.simpleString() for f in df.schema.fields})
 
 
 def sample_sequences(spark: SparkSession, model: SequenceModel, n: int, seed: int | None = None) -> DataFrame:
