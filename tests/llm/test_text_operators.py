@@ -87,6 +87,17 @@ def linked_least(family):
     return dict(enumerate(label))
 
 
+def test_jaccard_rows_of_one_id(spark):
+    """Rows of one id and other texts, null ids: each text has its own links."""
+    base = " ".join(f"t{i}" for i in range(60))
+    near, other = base + " more", " ".join(f"o{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, base), (2, near), (2, other), (2, other), (3, other + " end"), (None, base), (None, "alone")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows(jaccard_join.op3_jaccard_join(docs)))
+    assert got == sorted([("1", 56, "1"), ("2", 57, "1"), ("2", 46, "2"), ("2", 46, "2"), ("3", 47, "2"), ("None", 56, "1"), ("None", 1, "None")])
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in rows(jaccard_join.first_of_each(docs)))
+    assert kept == sorted([("1", base), ("2", other), ("2", other), ("None", base), ("None", "alone")])
+
+
 @pytest.mark.parametrize("small", [2, 3, 256])
 def test_jaccard_families_without_a_centre(spark, monkeypatch, small):
     """Trees of edited copies, cut texts and a chain: not all members link to the first pivot."""
