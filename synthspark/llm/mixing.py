@@ -180,9 +180,9 @@ def _fillers(sized: DataFrame, block, order: dict, rest: dict) -> tuple[DataFram
 
 def _planned(docs: DataFrame, plan: MixPlan, id_col: str, source_col: str, text_col: str) -> DataFrame:
     keyed = _keys(docs, id_col, source_col, text_col, plan.bits, plan.seed)
-    # Up to a number fillers are broadcast, so that texts are not shuffled for them.
-    fillers = F.broadcast(plan.fillers) if plan.fillers.count() <= BROADCAST_IDS else plan.fillers
-    joined = keyed.join(plan.blocks, ["__src", "__block"]).join(fillers, ["__src", "__u"], "left")
+    # Up to a number blocks and fillers are broadcast, so that texts are not shuffled for them.
+    blocks, fillers = (F.broadcast(x) if x.count() <= BROADCAST_IDS else x for x in (plan.blocks, plan.fillers))
+    joined = keyed.join(blocks, ["__src", "__block"]).join(fillers, ["__src", "__u"], "left")
     return joined.withColumn("__shards", F.when(F.col("__filled").isNull(), F.col("__shards")).otherwise(F.concat("__shards", F.array("__fill"))))
 
 
