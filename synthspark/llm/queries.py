@@ -13,6 +13,7 @@ from .personal_data import op10_personal_data
 from .quality_rules import op2_quality_rules
 from .repeated_bytes import op9_repeated_bytes
 from .sharding import op7_sharding
+from .substring_dedup import OP11_SQL, op11_substring_dedup
 
 
 def queries() -> dict:
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_language_id": lambda spark, d: op8_language_id(table(spark, d, "documents")),
         "op9_repeated_bytes": lambda spark, d: op9_repeated_bytes(table(spark, d, "documents")),
         "op10_personal_data": lambda spark, d: op10_personal_data(table(spark, d, "documents")),
+        "op11_substring_dedup": lambda spark, d: op11_substring_dedup(table(spark, d, "documents")),
     }
 
 
@@ -36,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_jaccard_join": OP3_SQL,
         "op4_line_dedup": OP4_SQL,
         "op5_decontamination": OP5_SQL,
+        "op11_substring_dedup": OP11_SQL,
     }
