@@ -8,6 +8,7 @@ from .decontamination import OP5_SQL, op5_decontamination
 from .jaccard_join import OP3_SQL, op3_jaccard_join
 from .language_id import op8_language_id
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .merkle_manifest import OP12_SQL, op12_merkle_manifest
 from .mixing import op6_mixing
 from .personal_data import op10_personal_data
 from .quality_rules import op2_quality_rules
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op9_repeated_bytes": lambda spark, d: op9_repeated_bytes(table(spark, d, "documents")),
         "op10_personal_data": lambda spark, d: op10_personal_data(table(spark, d, "documents")),
         "op11_substring_dedup": lambda spark, d: op11_substring_dedup(table(spark, d, "documents")),
+        "op12_merkle_manifest": lambda spark, d: op12_merkle_manifest(table(spark, d, "documents")),
     }
 
 
@@ -39,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": OP4_SQL,
         "op5_decontamination": OP5_SQL,
         "op11_substring_dedup": OP11_SQL,
+        "op12_merkle_manifest": OP12_SQL,
     }
