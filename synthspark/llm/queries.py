@@ -14,6 +14,7 @@ from .personal_data import op10_personal_data
 from .quality_rules import op2_quality_rules
 from .repeated_bytes import op9_repeated_bytes
 from .sharding import op7_sharding
+from .spelling_variants import OP13_SQL, op13_spelling_variants
 from .substring_dedup import OP11_SQL, op11_substring_dedup
 
 
@@ -31,6 +32,7 @@ def queries() -> dict:
         "op10_personal_data": lambda spark, d: op10_personal_data(table(spark, d, "documents")),
         "op11_substring_dedup": lambda spark, d: op11_substring_dedup(table(spark, d, "documents")),
         "op12_merkle_manifest": lambda spark, d: op12_merkle_manifest(table(spark, d, "documents")),
+        "op13_spelling_variants": lambda spark, d: op13_spelling_variants(table(spark, d, "documents")),
     }
 
 
@@ -42,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": OP5_SQL,
         "op11_substring_dedup": OP11_SQL,
         "op12_merkle_manifest": OP12_SQL,
+        "op13_spelling_variants": OP13_SQL,
     }
