@@ -74,7 +74,8 @@ def shards(words: DataFrame) -> DataFrame:
     each = written(each, "word-keys")
     sizes = each.groupBy("side", "key").agg(F.count(F.lit(1)).alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    rest = F.least(F.lit(max(1, total // SHARD_ROWS)), F.lit(1 << 30))
+    n_shards = max(1, total // SHARD_ROWS)
+    rest = F.lit(n_shards)
     large = sizes.where(F.col("size") > KEY_WORDS).withColumn("parts", F.ceil(F.col("size") / KEY_WORDS).cast("int"))
     # As many large keys as fit into all rows at most, a row each.
     dealt = each.join(large.select("side", "key", "parts"), ["side", "key"], "left")
@@ -84,7 +85,8 @@ def shards(words: DataFrame) -> DataFrame:
     name = lambda a, b: F.concat_ws(":", F.lit("k"), "side", "key", a, b)
     held = cells.where("own").select(name(F.col("part"), F.col("to")).alias("shard"), "side", "word", "n", F.lit(True).alias("held"), F.lit(False).alias("scanned"))
     scanned = cells.select(name(F.col("to"), F.col("part")).alias("shard"), "side", "word", "n", F.lit(False).alias("held"), F.lit(True).alias("scanned"))
-    return plain.unionByName(held).unionByName(scanned)
+    # A number of partitions of its own: shards are small in bytes and dear in time, so they are not to be united by their bytes.
+    return plain.unionByName(held).unionByName(scanned).repartition(max(8, n_shards), "shard")
 
 
 def _codes(words: list[str], width: int, right: bool) -> np.ndarray:
