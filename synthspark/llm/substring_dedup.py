@@ -183,7 +183,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` whose key more than one document has, with ``least``, the least of these."""
     held = rows.groupBy(*keys).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    return rows.join(held, keys)
+    return rows.join(written(held, "run-held"), keys)
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,8 +200,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = own.where("doc is not null").select("doc", "th", F.col("text").cast("binary").alias("t"))
     seeds = written(known.mapInArrow(_seeds, _SEEDS), "run-seeds")
     held = seeds.groupBy("gram").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), (F.min("span") < F.max("span")).alias("mixed")).where("least < most").select("gram", "mixed")
+    # Aggregates are written before they are joined: adaptive execution splits a join's large parts only where both sides come right from a shuffle.
+    held = written(held, "run-held")
     shared = written(seeds.join(held, "gram"), "run-shared")
-    spans = shared.groupBy("gram", "span").agg(F.min("doc").alias("least"))
+    spans = written(shared.groupBy("gram", "span").agg(F.min("doc").alias("least")), "run-spans")
     found = written(shared.join(spans, ["gram", "span"]).select("doc", "th", "at", "mixed", (F.col("doc") > F.col("least")).alias("later")), "run-found")
     open_ = written(found.where("mixed and not later").groupBy("doc", "th").agg(F.collect_list("at").alias("seeds")), "run-open")
     rows, _ = with_lists(known, open_, ["doc", "th"])
