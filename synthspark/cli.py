@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> int:
         schema = load_schema(args.schema) if args.schema else None
         df = read_table(spark, args.input, spark_schema(schema) if schema else None)
         keys = sorted({*find_keys(df), *primary_keys(schema or {"columns": {}})})
-        model = fit(df, (schema or {}).get("constraints"), args.seed, schema_distributions(schema) if schema else None, keys)
+        model = fit(df, (schema or {}).get("constraints"), args.seed, keys=keys, schema_distributions=schema_distributions(schema) if schema else None)
         n = args.rows or df.count()
         write_table(sample(spark, model, n, args.seed), args.output)
         print(f"{n} rows written to {args.output}")

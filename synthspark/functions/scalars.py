@@ -14,6 +14,11 @@ DATE_FORMATS = [
 ]
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def uniform(key: Column, seed: int | str = 42) -> Column:
     """A reproducible number in [0, 1) from a key; it does not hang on partitions."""
     return (F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double")) / float(1 << 32)

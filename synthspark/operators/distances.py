@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import is_numeric, is_time, micros, present
+from ..functions.scalars import column, is_numeric, is_time, micros, present
 
 SCORE_OK = 0.2
 BLOCKS = 32
@@ -28,7 +28,8 @@ DAY = 86_400_000_000
 def both(real: DataFrame, synth: DataFrame) -> DataFrame:
     """Shared columns of both tables, tagged ``src`` r or s."""
     shared = [c for c in real.columns if c in set(synth.columns)]
-    return real.select(F.lit("r").alias("src"), *shared).unionByName(synth.select(F.lit("s").alias("src"), *shared))
+    own = [column(c) for c in shared]
+    return real.select(F.lit("r").alias("src"), *own).unionByName(synth.select(F.lit("s").alias("src"), *own))
 
 
 def long_values(pairs: list[tuple[str, Column]], df: DataFrame, kind: str, key: list[str] | None = None) -> DataFrame:
@@ -51,23 +52,24 @@ def constants(found: dict, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(found)), f"map<string,{kind}>")
 
 
-def _of(found: dict, kind: str = "double") -> Column:
+def of_column(found: dict, kind: str = "double") -> Column:
     """The entry of the row's column."""
     return F.try_element_at(constants(found, kind), F.col("column"))
 
 
 def summaries(counts: DataFrame, blocks: int = BLOCKS) -> dict[str, Row]:
-    """One row for each numeric column: cuts between blocks, totals, ranges and numbers of distinct values."""
+    """One row for each numeric column: cuts between blocks, totals, the real mean, ranges and numbers of distinct values."""
     side = {x: F.when(F.col(f"n{x}") > 0, F.col("value")) for x in "rs"}
     ranges = [c for x, v in side.items() for c in (F.min(v).alias(f"{x}_lo"), F.max(v).alias(f"{x}_hi"), F.count(v).alias(f"{x}_unique"))]
-    rows = counts.groupBy("column").agg(F.percentile_approx("value", [i / blocks for i in range(1, blocks)], 1000).alias("cuts"), F.sum("nr").alias("tr"), F.sum("ns").alias("ts"), *ranges).collect()
+    mean = (F.sum(F.col("nr") * F.col("value")) / F.sum("nr")).alias("mean")
+    rows = counts.groupBy("column").agg(F.percentile_approx("value", [i / blocks for i in range(1, blocks)], 1000).alias("cuts"), F.sum("nr").alias("tr"), F.sum("ns").alias("ts"), mean, *ranges).collect()
     return {r["column"]: r for r in rows}
 
 
 def cumulative(counts: DataFrame, blocks: int = BLOCKS, known: dict[str, Row] | None = None, keep: list[str] | None = None) -> DataFrame:
     """``counts`` with cr, cs (values up to and with this one), tr, ts (totals), dx (to the next value) and the columns ``keep``."""
     known = summaries(counts, blocks) if known is None else known
-    cuts = _of({c: sorted(set(r["cuts"])) for c, r in known.items()}, "array<double>")
+    cuts = of_column({c: sorted(set(r["cuts"])) for c, r in known.items()}, "array<double>")
     dealt = counts.withColumn("block", F.size(F.filter(cuts, lambda c: c < F.col("value"))))
     sums: dict[str, dict[int, Row]] = {}
     for r in dealt.groupBy("column", "block").agg(F.sum("nr").alias("br"), F.sum("ns").alias("bs"), F.min("value").alias("bx")).collect():
@@ -85,9 +87,9 @@ def cumulative(counts: DataFrame, blocks: int = BLOCKS, known: dict[str, Row] |
                 at += own[k][x]
     upto = Window.partitionBy("column", "block").orderBy("value")
     running = upto.rowsBetween(Window.unboundedPreceding, 0)
-    start = lambda x: F.get(_of(ahead[x], "array<bigint>"), F.col("block"))
-    after = F.coalesce(F.lead("value").over(upto), F.get(_of(following, "array<double>"), F.col("block")))
-    total = lambda x: _of({c: r[x] for c, r in known.items()}, "bigint").alias(x)
+    start = lambda x: F.get(of_column(ahead[x], "array<bigint>"), F.col("block"))
+    after = F.coalesce(F.lead("value").over(upto), F.get(of_column(following, "array<double>"), F.col("block")))
+    total = lambda x: of_column({c: r[x] for c, r in known.items()}, "bigint").alias(x)
     return dealt.select("column", "value", "nr", "ns", *(keep or []), total("tr"), total("ts"), (F.sum("nr").over(running) + start("br")).alias("cr"), (F.sum("ns").over(running) + start("bs")).alias("cs"), (after - F.col("value")).alias("dx"))
 
 
@@ -107,14 +109,16 @@ def spread_of(q25: Column, q75: Column, std: Column, low: Column, high: Column)
 
 def numeric_distances(counts: DataFrame, known: dict[str, Row] | None = None) -> DataFrame:
     """(column, distance, ks, spread, r_lo, r_hi, r_unique, s_lo, s_hi, s_unique) for columns with values on both sides."""
+    known = summaries(counts) if known is None else known
     c = cumulative(counts, known=known)
     gap = F.abs(F.col("cr") / F.col("tr") - F.col("cs") / F.col("ts"))
     real, synth = F.col("nr") > 0, F.col("ns") > 0
-    mean = F.sum(F.col("nr") * F.col("value")) / F.sum("nr")
-    var = (F.sum(F.col("nr") * F.col("value") * F.col("value")) - F.sum("nr") * mean * mean) / (F.sum("nr") - 1)
+    # About the mean: sums of squares lose the variance of large numbers close together.
+    d = F.col("value") - of_column({k: r["mean"] for k, r in known.items() if r["mean"] is not None})
+    var = F.sum(F.col("nr") * d * d) / (F.sum("nr") - 1)
     out = c.where("tr > 0 and ts > 0").groupBy("column").agg(
         F.sum(gap * F.coalesce("dx", F.lit(0.0))).alias("distance"), F.max(gap).alias("ks"), _quantile(0.25).alias("q25"), _quantile(0.75).alias("q75"),
-        F.sqrt(F.when(F.sum("nr") > 1, F.greatest(F.lit(0.0), var))).alias("std"),
+        F.sqrt(F.when(F.sum("nr") > 1, var)).alias("std"),
         F.min(F.when(real, F.col("value"))).alias("r_lo"), F.max(F.when(real, F.col("value"))).alias("r_hi"), F.count_if(real).alias("r_unique"),
         F.min(F.when(synth, F.col("value"))).alias("s_lo"), F.max(F.when(synth, F.col("value"))).alias("s_hi"), F.count_if(synth).alias("s_unique"),
     )
@@ -137,7 +141,7 @@ def peaks(histogram: Column) -> Column:
 def histograms(counts: DataFrame, known: dict[str, Row] | None = None, bins: int = 30) -> DataFrame:
     """(column, src, histogram): equal bins, as many as distinct values but at most ``bins``, the last one closed."""
     known = summaries(counts) if known is None else known
-    figure = lambda name, x, kind: _of({c: r[f"{x}_{name}"] for c, r in known.items()}, kind).alias(name)
+    figure = lambda name, x, kind: of_column({c: r[f"{x}_{name}"] for c, r in known.items()}, kind).alias(name)
     cell = lambda x: F.struct(F.lit(x).alias("src"), F.col(f"n{x}").alias("n"), figure("lo", x, "double"), figure("hi", x, "double"), F.least(figure("unique", x, "bigint"), F.lit(bins)).alias("nb"))
     each = counts.select("column", "value", F.explode(F.array(cell("r"), cell("s"))).alias("c")).where("c.n > 0")
     at = F.when(F.col("c.hi") > F.col("c.lo"), F.least(F.floor((F.col("value") - F.col("c.lo")) * F.col("c.nb") / (F.col("c.hi") - F.col("c.lo"))), F.col("c.nb") - 1)).otherwise(F.lit(0))
@@ -156,7 +160,7 @@ def total_variation(counts: DataFrame) -> DataFrame:
     """(column, distance): half the sum of absolute differences of shares."""
     rows = counts.groupBy("column").agg(F.sum("nr").alias("tr"), F.sum("ns").alias("ts")).collect()
     both_there = {x: {r["column"]: r[x] for r in rows if r["tr"] and r["ts"]} for x in ("tr", "ts")}
-    diff = F.abs(F.col("nr") / _of(both_there["tr"], "bigint") - F.col("ns") / _of(both_there["ts"], "bigint"))
+    diff = F.abs(F.col("nr") / of_column(both_there["tr"], "bigint") - F.col("ns") / of_column(both_there["ts"], "bigint"))
     return counts.where(F.col("column").isin(list(both_there["tr"]))).groupBy("column").agg((0.5 * F.sum(diff)).alias("distance"))
 
 
@@ -182,11 +186,11 @@ def value_frames(real: DataFrame, synth: DataFrame, kinds: dict[str, str], meta:
 
     def number(df: DataFrame, c: str) -> Column:
         t = df.schema[c].dataType
-        return micros(F.col(c), t, formats.get(c)) if kinds[c] == "datetime" else present(F.col(c).cast("double"), t)
+        return micros(column(c), t, formats.get(c)) if kinds[c] == "datetime" else present(column(c).cast("double"), t)
 
     def text(df: DataFrame, c: str, src: str) -> Column:
         mark = "" if type(real.schema[c].dataType) is type(synth.schema[c].dataType) else f"{src}:"
-        return F.concat(F.lit(mark), present(F.col(c), df.schema[c].dataType).cast("string"))
+        return F.concat(F.lit(mark), present(column(c), df.schema[c].dataType).cast("string"))
 
     null = {"number": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
 
@@ -235,14 +239,14 @@ def evaluate(real: DataFrame, synth: DataFrame, meta: dict | None = None) -> Dat
 
 def correlations(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
     """(col_a, col_b, rc, sc) of all column pairs in both tables, over rows where both are present; null if one is constant."""
-    number = lambda df, src: df.select(F.lit(src).alias("src"), *(present(F.col(c).cast("double"), T.DoubleType()).alias(c) for c in columns))
+    number = lambda df, src: df.select(F.lit(src).alias("src"), *(present(column(c).cast("double"), T.DoubleType()).alias(c) for c in columns))
     rows = number(real, "r").unionByName(number(synth, "s"))
     cells = []
     for a, b in combinations(columns, 2):
         r = []
         for src in "rs":
-            there = (F.col("src") == src) & F.col(a).isNotNull() & F.col(b).isNotNull()
-            x, y = F.when(there, F.col(a)), F.when(there, F.col(b))
+            there = (F.col("src") == src) & column(a).isNotNull() & column(b).isNotNull()
+            x, y = F.when(there, column(a)), F.when(there, column(b))
             sx, sy = F.stddev_samp(x), F.stddev_samp(y)
             r.append(F.when((sx > 0) & (sy > 0), F.covar_samp(x, y) / (sx * sy)).alias(f"{src}c"))
         cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), *r))
@@ -290,7 +294,7 @@ def correlation_similarity(real: DataFrame, synth: DataFrame, columns: list[str]
 def contingency_similarity(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
     """(col_a, col_b, score): 1 less the total variation of the joint categories."""
     names = list(combinations(columns, 2))
-    joint = [(f"{a}\x1f{b}", F.to_json(F.array(F.col(a).cast("string"), F.col(b).cast("string")))) for a, b in names]
+    joint = [(f"{a}\x1f{b}", F.to_json(F.array(column(a).cast("string"), column(b).cast("string")))) for a, b in names]
     parts = [long_values(joint, df.withColumn("src", F.lit(src)), "string") for src, df in (("r", real), ("s", synth))]
     tv = total_variation(counted(parts[0].unionByName(parts[1])))
     at = F.split("column", "\x1f")
@@ -299,13 +303,13 @@ def contingency_similarity(real: DataFrame, synth: DataFrame, columns: list[str]
 
 def in_bins(real: DataFrame, synth: DataFrame, columns: list[str], bins: int = 10) -> tuple[DataFrame, DataFrame]:
     """Both tables with numbers as equal bins of the real range; what lies outside is in the first or last bin."""
-    one = real.agg(*(f(F.col(c).cast("double")).alias(f"{x}{i}") for i, c in enumerate(columns) for x, f in (("lo", F.min), ("hi", F.max)))).first()
+    one = real.agg(*(f(column(c).cast("double")).alias(f"{x}{i}") for i, c in enumerate(columns) for x, f in (("lo", F.min), ("hi", F.max)))).first()
 
     def cut(c: str, i: int) -> Column:
         low, high = one[f"lo{i}"], one[f"hi{i}"]
         if low is None or high <= low:
-            return F.when(F.col(c).isNotNull(), F.lit("0"))
-        return F.least(F.greatest(F.floor((F.col(c).cast("double") - low) * bins / (high - low)), F.lit(0)), F.lit(bins - 1)).cast("string")
+            return F.when(column(c).isNotNull(), F.lit("0"))
+        return F.least(F.greatest(F.floor((column(c).cast("double") - low) * bins / (high - low)), F.lit(0)), F.lit(bins - 1)).cast("string")
 
     return tuple(df.withColumns({c: cut(c, i) for i, c in enumerate(columns)}) for df in (real, synth))
 

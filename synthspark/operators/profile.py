@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import column as named
 from ..functions.scalars import date_format_of, is_numeric, is_time, present
 from .distances import cumulative, long_values
 
@@ -17,7 +18,7 @@ CARDINALITY_LIMIT = 0.5
 
 
 def _cells(df: DataFrame, columns: list[str] | None = None) -> list[tuple[str, Column]]:
-    return [(c, present(F.col(c), df.schema[c].dataType)) for c in (columns or df.columns)]
+    return [(c, present(named(c), df.schema[c].dataType)) for c in (columns or df.columns)]
 
 
 def _names(spark, df: DataFrame, columns: list[str]) -> DataFrame:
@@ -27,7 +28,7 @@ def _names(spark, df: DataFrame, columns: list[str]) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n, share) without nulls."""
-    own = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    own = df.where(named(column).isNotNull()).groupBy(named(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return own.crossJoin(F.broadcast(own.agg(F.sum("n").alias("t")))).select("value", "n", (F.col("n") / F.col("t")).alias("share"))
 
 
@@ -67,9 +68,18 @@ def recommend_distributions(df: DataFrame, columns: list[str]) -> DataFrame:
     return skewness(df, columns).where("skewed").select("column", F.lit("gaussian_kde").alias("distribution"))
 
 
+def number_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, nr, ns): how often each number is there; ns is 0."""
+    return long_values(_cells(df, columns), df, "double", key=[]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("nr"), F.lit(0).cast("long").alias("ns"))
+
+
 def quantiles(df: DataFrame, columns: list[str], ps: list[float]) -> DataFrame:
     """(column, p, value): exact quantiles with linear interpolation, from blocked cumulative counts."""
-    counts = long_values(_cells(df, columns), df, "double", key=[]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("nr"), F.lit(0).cast("long").alias("ns")).persist()
+    return quantiles_of(number_counts(df, columns).persist(), ps)
+
+
+def quantiles_of(counts: DataFrame, ps: list[float]) -> DataFrame:
+    """``quantiles`` from the counts of ``number_counts``."""
     c = cumulative(counts)
     low = lambda p: F.floor((F.col("tr") - 1) * p)
     holds = lambda k: (F.col("cr") > k) & (F.col("cr") - F.col("nr") <= k)
@@ -85,7 +95,7 @@ def date_formats(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     """(column, format) from the first ten present strings of each column in the order of a key column; null if none fits."""
     parts = []
     for c in columns:
-        first = df.where(F.col(c).isNotNull()).orderBy(order).limit(10).agg(F.collect_list(F.trim(c)).alias("v"))
+        first = df.where(named(c).isNotNull()).orderBy(named(order)).limit(10).agg(F.collect_list(F.trim(named(c))).alias("v"))
         parts.append(first.select(F.lit(c).alias("column"), date_format_of(F.col("v"), F.size("v")).alias("format")))
     out = parts[0]
     for p in parts[1:]:

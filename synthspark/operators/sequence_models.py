@@ -49,7 +49,7 @@ def fit_sequences(df: DataFrame, key: str, index: str, seed: int = 42, tie: str
     terminal = {c: sorted(r[0] for r in terminal_states(df, key, index, c, tie).collect()) for c in texts}
     # The fit reads the wide rows several times.
     wide = to_wide(df, key, index, features, levels, tie).drop(key).persist()
-    model = fit(wide, seed=seed, keys=[])
+    model = fit(wide, seed=seed, keys=[], distributions={}, presence=False)
     wide.unpersist()
     return SequenceModel(key, index, features, levels, terminal, fallback, model, df.columns, {f.name: f.dataType.simpleString() for f in df.schema.fields})
 
