@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import column, is_numeric, is_time, micros, present, uniform
 from .distances import cumulative
 from .key_shapes import Template, fresh_keys, learn
-from .marginals import FITS, density_quantiles, facts, family_quantiles, fit_family, kernel_densities
+from .marginals import FITS, GRID, density_quantiles, facts, family_quantiles, fit_family, kernel_densities
 from .profile import number_counts, quantiles, quantiles_of
 
 KNOTS = tuple(i / 40 for i in range(41))
@@ -290,8 +290,8 @@ def _knots(own: DataFrame, numbers: list[str], wishes: dict[str, str], recommend
     dense = {c: quantile[c][30] - quantile[c][10] for c in rest if chosen[c] == "gaussian_kde" and known[c].high > known[c].low}
     if dense:
         shares: dict[str, list[float]] = {}
-        for r in kernel_densities(counts, dense, known).orderBy("column", "k").collect():
-            shares.setdefault(r["column"], []).append(r["share"])
+        for r in kernel_densities(counts, dense, known).collect():
+            shares.setdefault(r["column"], [0.0] * GRID)[r["k"]] = r["share"]
         for c, density in shares.items():
             found[c], families[c] = (list(DENSE_KNOTS), density_quantiles(density, known[c], DENSE_KNOTS)), "gaussian_kde"
     for c in rest:

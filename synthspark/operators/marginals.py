@@ -262,7 +262,8 @@ def kernel_densities(counts: DataFrame, iqrs: dict[str, float], known: dict[str,
 
     A value counts for the two points beside it, in parts by its distance, and a
     point's weight is thrown on the points around it by the kernel. What falls
-    beyond an end comes back in as by a mirror there, so shares sum to 1.
+    beyond an end comes back in as by a mirror there, so shares sum to 1. Points
+    without a share have no row.
     """
     known = {c: f for c, f in known.items() if f.high > f.low and c in iqrs}
     steps = {c: (f.high - f.low) / (points - 1) for c, f in known.items()}

@@ -113,7 +113,12 @@ def load_demo(spark: SparkSession, folder: str, name: str, modality: str = "sing
 
 
 def ground_truth(spark: SparkSession, n: int = 300, seed: int = 42) -> DataFrame:
-    """Students over at most five years with two absorbing states; credits never fall."""
+    """Students 1 to n over at most five years with two absorbing states; credits never fall."""
+    return ground_truth_of(spark.range(1, n + 1), seed)
+
+
+def ground_truth_of(students: DataFrame, seed: int = 42) -> DataFrame:
+    """``ground_truth`` of the given students (id)."""
     #: States and the chances of each year.
     stay, done, gone = "ingeschreven", "gediplomeerd", "uitgestroomd"
     years = []
@@ -121,7 +126,7 @@ def ground_truth(spark: SparkSession, n: int = 300, seed: int = 42) -> DataFrame
         grad, keep = 0.05 + 0.13 * (year - 1), max(0.0, 0.85 - 0.12 * (year - 1))
         total = grad + keep + max(0.0, 1 - keep - grad)
         years.append(F.struct(F.lit(year).cast("long").alias("jaar"), uniform(F.col("id"), f"{seed}/{year}/s").alias("u"), (20 + 40 * uniform(F.col("id"), f"{seed}/{year}/e")).alias("gain"), F.lit(keep / total).alias("keep"), F.lit((keep + grad) / total).alias("leave")))
-    rows = spark.range(1, n + 1).select("id", F.array(*years).alias("years"))
+    rows = students.select("id", F.array(*years).alias("years"))
     start = F.struct(F.lit(stay).alias("status"), F.lit(0.0).alias("ec"), F.array().cast("array<struct<jaar:bigint,status:string,ec:double>>").alias("all"))
 
     def step(a, y):
