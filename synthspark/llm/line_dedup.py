@@ -1,13 +1,20 @@
 """Line dedup by winnowing over line hashes.
 
-Lines with a word, in order, are the sequence of a document. Grams of ``GRAM``
-lines are hashed; of each window of two grams the lesser is a fingerprint (the
-later one on a tie), so places that share ``RUN`` lines share a fingerprint and,
-on the side of the other gram, the next line. Every fingerprint is therefore
-joined twice, with its left and with its right neighbour, with the first place
-that has both alike. Extended this way a match holds ``RUN`` lines; matches that
+Lines with a word, in order, are the sequence of a document. Of every window of
+``RUN`` lines the least line hash is its fingerprint, the first of equal ones; about
+half of the lines are one, and places that share ``RUN`` lines share a fingerprint
+at the same place among them. Fingerprints of one line are joined. Each is extended
+both ways over all the windows that it stands for, ``RUN`` to ``2 RUN - 1`` lines:
+where an earlier place has the same lines all along, the whole extension is a
+match. Where the fingerprint is shared but not all of these lines, it is extended
+window by window, by as many lines to the left as the run leaves to the right, and
+compared with those of the first places of the other extensions. Matches that
 overlap make up whole runs, whichever earlier documents they are from. Later runs
 of ``RUN`` lines or more are deleted, shorter ones never.
+
+Extensions are compared by a hash of their raw lines beside the fingerprint, 124
+bits in all. No step brings the holders of a line together: the first place of each
+extension is an aggregate with partial results, written and joined back.
 """
 
 from __future__ import annotations
@@ -15,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_lists, written
+from .common import column, with_lists, written
 
-GRAM, RUN = 2, 3
+RUN = 3
 
 
 def _number(text: Column) -> Column:
@@ -30,25 +37,39 @@ def worded(lines: Column) -> Column:
     return F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
 
 
-def matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, key, p): the ``RUN`` lines around each fingerprint, p the place of the first among worded lines."""
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    seq = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.transform(lines, _number).alias("h")).where(F.size("h") >= RUN)
-    pair = lambda i: _number(F.concat_ws(":", F.get("h", i).cast("string"), F.get("h", i + 1).cast("string")))
-    grams = seq.select("id", "th", "h", F.transform(F.sequence(F.lit(0), F.size("h") - GRAM), pair).alias("g"))
-    each = grams.select("id", "th", F.posexplode(F.zip_with("g", F.slice("g", 2, F.size("g")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p", "w"), "h").where("w.b is not null")
-    # The window of the grams at p and p + 1 holds the lines p to p + 2; its fingerprint is the lesser gram.
-    left = F.col("w.a") < F.col("w.b")
-    key = F.when(left, F.xxhash64(F.lit("r"), "w.a", F.get("h", F.col("p") + GRAM))).otherwise(F.xxhash64(F.lit("l"), "w.b", F.get("h", F.col("p"))))
-    return each.select("id", "th", key.alias("key"), "p")
+def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, first, n, line, span, windows): the windows from ``first`` on, n of them, whose fingerprint is one line; hashes of their lines, together and each."""
+    lines = F.filter(F.split(F.coalesce(column(text_col), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    seq = docs.select(column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("th"), lines.alias("x"), F.transform(lines, _number).alias("h")).where(F.size("h") >= RUN)
+    least = lambda i: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(RUN - 1)), lambda k: F.struct(F.get("h", i + k).alias("h"), (i + k).alias("p"))))
+    seq = seq.withColumn("m", F.transform(F.sequence(F.lit(0), F.size("h") - RUN), least))
+    place = lambda i: F.get("m", i)["p"]
+    same = lambda i, k: F.coalesce(place(i + k) == place(i), F.lit(False))
+    # A line is the least of RUN windows in a row at most.
+    count = lambda i: sum((same(i, k).cast("int") for k in range(1, RUN)), F.lit(1))
+    text = lambda first, n: F.xxhash64(F.array_join(F.slice("x", first + 1, n), "\n"))
+    new = F.filter(F.sequence(F.lit(0), F.size("m") - 1), lambda i: (i == 0) | (place(i - 1) != place(i)))
+    each = seq.select("id", "th", "h", "x", "m", F.explode(new).alias("first")).withColumn("n", count(F.col("first")))
+    own = each.select("id", "th", "first", "n", F.get("m", F.col("first"))["h"].alias("line"), text(F.col("first"), F.col("n") + (RUN - 1)).alias("span"), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: text(F.col("first") + j, F.lit(RUN))).alias("windows"))
+    return own
+
+
+def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``later``: whether an earlier place (id, th, first) has the same key."""
+    least = written(rows.groupBy(*keys).agg(F.min(F.struct("id", "th", "first")).alias("least")), "line-places")
+    return rows.join(least, keys).withColumn("later", F.struct("id", "th", "first") > F.col("least")).drop("least")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, removed): places, from 0 among lines with a word, of the lines to delete in each document that has any."""
-    own = matches(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    first = own.groupBy("key").agg(F.min(F.struct("id", "th", "p")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
-    later = own.join(first, "key").where("struct(id, th, p) > first")
-    lines = later.select("id", "th", F.explode(F.sequence(F.col("p"), F.col("p") + (RUN - 1))).alias("at")).distinct()
+    own = written(fingerprints(docs.where(column(id_col).isNotNull()), id_col, text_col), "fingerprints")
+    held = own.groupBy("line").agg(F.count(F.lit(1)).alias("k"), (F.min("span") < F.max("span")).alias("mixed")).where("k > 1").select("line", "mixed")
+    shared = written(own.join(written(held, "line-held"), "line"), "line-shared")
+    spans = written(_later(shared, ["line", "span"]), "line-spans")
+    edges = spans.where("mixed and not later").select("id", "th", "line", "first", F.posexplode("windows").alias("j", "window")).select("id", "th", "line", "window", (F.col("first") + F.col("j")).alias("first"))
+    found = spans.where("later").select("id", "th", "first", (F.col("n") + (RUN - 1)).alias("lines"))
+    found = found.unionByName(_later(written(edges, "line-edges"), ["line", "window"]).where("later").select("id", "th", "first", F.lit(RUN).alias("lines")))
+    lines = found.select("id", "th", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("lines") - 1)).alias("at")).distinct()
     return lines.groupBy("id", "th").agg(F.array_sort(F.collect_list("at")).alias("removed"))
 
 
@@ -60,19 +81,21 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     stand in order of id; rows of one id are told by a hash of their text and stand
     in its order, equal rows are one document and do not repeat each other. Rows
     with a null id are kept whole. Texts of any length are read whole. An empty
-    table gives an empty result; other columns pass through, whatever their names.
+    table gives an empty result; other columns pass through, whatever their names, but
+    for two of the names of the result, which are replaced.
     """
-    lists = repeated_lines(docs, id_col, text_col).withColumnsRenamed({"id": "__line_id", "th": "__line_th", "removed": "__at"})
-    lists = written(lists, "repeated-lines")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    own = docs.select(*names, F.xxhash64(text_col).alias("__line_th"), F.col(id_col).alias("__line_id"))
-    hit, rest = with_lists(own, lists, ["__line_id", "__line_th"])
-    cut = hit.withColumn("__lines", F.split(F.col(text_col), "\n")).withColumn("__worded", worded(F.col("__lines")))
-    cut = cut.withColumn("__removed", F.transform("__at", lambda i: F.get("__worded", i)))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__removed"), lambda i: F.get("__lines", i))
-    cut = cut.withColumn("__n_lines", F.size("__lines")).withColumn(text_col, F.array_join(kept, "\n"))
-    whole = rest.select(*names, F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("__n_lines"), F.array().cast("array<int>").alias("__removed"))
-    return cut.select(*names, "__n_lines", "__removed").unionByName(whole)
+    lists = written(repeated_lines(docs, id_col, text_col), "repeated-lines")
+    # The columns of the documents travel as one, so no name of theirs meets one of these.
+    own = docs.select(F.struct(*(column(c) for c in docs.columns)).alias("row"), F.xxhash64(column(text_col)).alias("th"), column(id_col).alias("id"), column(text_col).alias("text"))
+    hit, rest = with_lists(own, lists, ["id", "th"])
+    cut = hit.withColumn("lines", F.split("text", "\n")).withColumn("worded", worded(F.col("lines")))
+    cut = cut.withColumn("gone", F.transform("removed", lambda i: F.get("worded", i)))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
+    cut = cut.select("row", F.array_join(kept, "\n").alias("text"), F.size("lines").alias("n_lines"), "gone")
+    whole = rest.select("row", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"), F.array().cast("array<int>").alias("gone"))
+    out = cut.unionByName(whole)
+    cells = [(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in ("__n_lines", "__removed")]
+    return out.select(*cells, F.col("n_lines").alias("__n_lines"), F.col("gone").alias("__removed"))
 
 
 def op4_line_dedup(docs: DataFrame) -> DataFrame:
