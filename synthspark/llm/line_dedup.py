@@ -85,8 +85,9 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     for two of the names of the result, which are replaced.
     """
     lists = written(repeated_lines(docs, id_col, text_col), "repeated-lines")
-    # The columns of the documents travel as one, so no name of theirs meets one of these.
-    own = docs.select(F.struct(*(column(c) for c in docs.columns)).alias("row"), F.xxhash64(column(text_col)).alias("th"), column(id_col).alias("id"), column(text_col).alias("text"))
+    # The other columns of the documents travel as one, so no name of theirs meets one of these.
+    others = [column(c) for c in docs.columns if c != text_col]
+    own = docs.select((F.struct(*others) if others else F.lit(None)).alias("row"), F.xxhash64(column(text_col)).alias("th"), column(id_col).alias("id"), column(text_col).alias("text"))
     hit, rest = with_lists(own, lists, ["id", "th"])
     cut = hit.withColumn("lines", F.split("text", "\n")).withColumn("worded", worded(F.col("lines")))
     cut = cut.withColumn("gone", F.transform("removed", lambda i: F.get("worded", i)))

@@ -98,3 +98,15 @@ def test_mixing_then_sharding(spark, docs, folder, texts):
 def test_stages_of_an_empty_table(spark, docs, folder):
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_stages_pass_columns_of_any_name_through(spark, texts, folder):
+    """Columns called like the operators' own come out as they went in, at each stage."""
+    names = ["__copy_id", "__hit_id", "__at", "__all", "__size", "__src", "__key", "__u", "__block", "__shards", "__rank", "__shard", "__others", "__rejected", "id", "th", "a.b", "row"]
+    rows = [(i, t, "en" if i % 2 else "de", f"s{i % 3}", *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        found = out.collect()
+        assert found and [c for c in out.columns if c not in ("shard", "slot")] == docs.columns, name
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in found for n in names), name
