@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import column, is_numeric, is_time, micros, present
+from .date_votes import chosen
 
 SCORE_OK = 0.2
 BLOCKS = 32
@@ -183,6 +184,11 @@ def column_kinds(real: DataFrame, synth: DataFrame, meta: dict | None = None) ->
 def value_frames(real: DataFrame, synth: DataFrame, kinds: dict[str, str], meta: dict | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """Counts of numeric (and date) values, and of categories. Where types differ, values never match."""
     formats = {c: m.get("datetime_format") for c, m in ((meta or {}).get("columns") or {}).items()}
+    # Dates that stand as text without a format: by a vote of the values of both tables.
+    open_ = [c for c, k in kinds.items() if k == "datetime" and not formats.get(c) and not (is_time(real.schema[c].dataType) and is_time(synth.schema[c].dataType))]
+    if open_:
+        texts_of = lambda df: df.select(*(column(c).cast("string").alias(c) for c in open_))
+        formats |= chosen(texts_of(real).unionByName(texts_of(synth)), open_)
 
     def number(df: DataFrame, c: str) -> Column:
         t = df.schema[c].dataType

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import uniform
 
 #: Texts that a CSV reader of data frames takes for a missing value.
-NA_TOKENS = ["", "#N/A", "#NA", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 #: Types of a YAML schema and what they mean.
 SDTYPES = {"categorical": "categorical", "integer": "numerical", "float": "numerical", "string": "id", "date": "datetime"}
 _SPARK_TYPES = {"categorical": T.StringType(), "integer": T.LongType(), "float": T.DoubleType(), "string": T.StringType(), "date": T.StringType()}
@@ -31,16 +31,19 @@ class DataSource:
         return "longitudinal" if self.modality == "sequential" else "tabular"
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True) -> DataFrame:
     """Parquet by suffix, else CSV with a header; missing-value texts and NaN become null.
 
+    Values in quotes may hold line breaks, and a quote as two. Without
+    ``line_breaks`` Spark may split a large file where a line ends.
+
     Types of a CSV without schema come from one pass over all values: whole
     numbers, numbers, booleans, else text. Dates stay text.
     """
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
-        df = spark.read.csv(path, header=True, schema=schema)
+        df = spark.read.csv(path, header=True, schema=schema, multiLine=line_breaks, escape='"')
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -66,7 +69,7 @@ def write_table(df: DataFrame, path: str) -> None:
     if path.endswith(".parquet"):
         df.write.mode("overwrite").parquet(path)
     else:
-        df.write.mode("overwrite").csv(path, header=True)
+        df.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def load_schema(path: str) -> dict:

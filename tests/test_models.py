@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from synthspark.operators import context_trees, copula, distances, key_shapes, marginals, profile, sequences
+from synthspark.operators import context_trees, copula, date_votes, distances, key_shapes, marginals, profile, sequences
 from synthspark.sources import tables
 
 
@@ -100,7 +100,8 @@ def test_missing_values_come_together(gaps, drawn):
     figures = lambda df: df.agg(*(null(*c).alias("_".join(x.replace(".", "") for x in c)) for c in (("high",), ("lo.w",), ("w",), ("v",), ("w", "v"), ("lo.w", "high")))).first().asDict()
     want, got = figures(gaps), figures(drawn[1])
     assert got == {k: pytest.approx(v, abs=0.02) for k, v in want.items()}
-    assert want["w_v"] > 5 * want["w"] * want["v"] and drawn[1].where(F.col("high") < F.col("`lo.w`")).count() == 0
+    # w is null only where v is, so they are null together as often as w; by chance alone it would be a quarter of that.
+    assert want["w_v"] == want["w"] and got["w_v"] > 3 * got["w"] * got["v"] and drawn[1].where(F.col("high") < F.col("`lo.w`")).count() == 0
 
 
 def test_skewed_columns_get_a_kernel_density(spark, gaps, drawn):
@@ -184,8 +185,8 @@ def test_context_tree_samples_all_features(spark, students, monkeypatch):
     assert out.dtypes == students.dtypes and out.select("student_id").distinct().count() == 300
     found = {(r.column, r.kind): r.score for r in sequences.evaluate_sequential(students, out, "student_id", "jaar").collect()}
     assert len(found) == 4 and all(v < 0.2 for v in found.values())
-    # A student's half is one for all years, and nothing follows an end.
-    assert out.groupBy("student_id").agg(F.count_distinct(F.coalesce("half", F.lit("-"))).alias("n")).where("n > 1").count() <= 6
+    # A student's half is one for all years but after states too rare for a context of their own; nothing follows an end.
+    assert out.groupBy("student_id").agg(F.count_distinct(F.coalesce("half", F.lit("-"))).alias("n")).where("n > 1").count() <= 15
     assert sequences.transition_pairs(out, "student_id", "jaar", "status").where("f <> 'ingeschreven'").count() == 0
     monkeypatch.setattr(context_trees, "MAP_CONTEXTS", 0)
     monkeypatch.setattr(context_trees, "CUT", 2)
@@ -210,3 +211,29 @@ def test_context_tree_with_a_time_index(spark):
     assert sequences.evaluate_sequential(df, out, "k", "t").where("score > 0.3").count() == 0
     with pytest.raises(ValueError, match="two sequences"):
         context_trees.fit_contexts(df.where("k = 0"), "k", "t")
+
+
+# ---- dates and files ----
+
+
+def test_dates_without_a_format(spark):
+    """Days above 12 tell day and month apart, whichever table has them; what no pattern reads is left out."""
+    rows = lambda *values: spark.createDataFrame([(v,) for v in values], "`d.t` string")
+    meta = {"columns": {"d.t": {"sdtype": "datetime"}}}
+    r, s = rows("31-12-2020", "01-02-2020", None, " ", "junk"), rows("05-06-2020", "07-08-2020")
+    one = distances.evaluate(r, s, meta).first()
+    # Days from 1 February to 31 December, quartiles in between: the middle of both tables is 35.5 days apart at most.
+    assert one["dtype"] == "datetime" and one["distance"] == pytest.approx((334 - 63) / 2, abs=0.6)
+    assert date_votes.chosen(rows("12/31/2020", "01/02/2020"), ["d.t"]) == {"d.t": "M/d/yyyy"}
+    assert date_votes.chosen(rows("01/02/2020"), ["d.t"]) == {"d.t": "d/M/yyyy"} and date_votes.chosen(rows("x", None), ["d.t"]) == {}
+    assert date_votes.chosen(rows("20201231", "20200101"), ["d.t"]) == {"d.t": "yyyyMMdd"}
+
+
+def test_csv_with_line_breaks_and_quotes(spark, tmp_path):
+    """Quoted line breaks and doubled quotes stay in their value; marks of missing values become null."""
+    (tmp_path / "in.csv").write_text('a,b.c\n"one\ntwo ""x""",1\n<NA>,#N/A N/A\n-nan,2\n', encoding="utf-8")
+    df = tables.read_table(spark, str(tmp_path / "in.csv"))
+    want = [('one\ntwo "x"', 1), (None, None), (None, 2)]
+    assert [tuple(r) for r in df.collect()] == want and df.dtypes == [("a", "string"), ("b.c", "bigint")]
+    tables.write_table(df.coalesce(1), str(tmp_path / "out"))
+    assert sorted(map(str, (tuple(r) for r in tables.read_table(spark, str(tmp_path / "out")).collect()))) == sorted(map(str, want))
