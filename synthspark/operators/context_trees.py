@@ -7,7 +7,7 @@ for contexts of every length in one aggregate. Where states do not tell the end,
 lengths are drawn by their own shares instead. A context stays in the tree if its
 following states are told better by it than by the context one state shorter, by
 more than the description of its own shares costs, or if a longer one stays; so the
-data choose how far back each state looks. Sampling walks the tree: from the
+data choose how far back each state looks, one state at least. Sampling walks the tree: from the
 longest context that stayed, a state is drawn by its share.
 
 Inside their stretch numbers follow normals of their own, correlated between the
@@ -146,8 +146,11 @@ def kept_contexts(counts: DataFrame, depth: int) -> DataFrame:
 
 
 def _shares(counts: DataFrame, kept: DataFrame) -> DataFrame:
-    """(context, next, low, high) of the contexts in the tree, the empty one included."""
-    own = counts.join(kept.where("kept").select("context"), "context", "left_semi").unionByName(counts.where("depth = 0"))
+    """(context, next, low, high) of the contexts in the tree, all of one state and the empty one included.
+
+    A state always looks one back, however rare: what never followed it never does.
+    """
+    own = counts.where("depth > 1").join(kept.where("kept").select("context"), "context", "left_semi").unionByName(counts.where("depth < 2"))
     w = Window.partitionBy("context")
     upto = F.sum("n").over(w.orderBy(F.desc("n"), "next").rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("n").over(w)
@@ -177,10 +180,8 @@ def fit_contexts(df: DataFrame, key: str, index: str, tie: str | None = None, de
         n = rows.groupBy("__k").agg(F.count(F.lit(1)).cast("double").alias("n"))
         found = quantiles(n.select("n"), ["n"], list(KNOTS)).orderBy("p").collect()
         lengths = [r["p"] for r in found], [r["value"] for r in found]
-        # An end is left where nothing else ever follows.
-        only = F.max(F.when(F.col("next") != END, True)).over(Window.partitionBy("context")).isNull()
-        counts_ = counts.withColumn("only", only).where((F.col("next") != END) | F.col("only")).drop("only")
-        tree = _shares(counts_, kept).persist()
+        # A state that only ever ended looks to a shorter context then.
+        tree = _shares(counts.where(F.col("next") != END), kept).persist()
     else:
         tree = _shares(counts, kept).persist()
     carry, factor = _inside(rows, numbers, knots, bins)
