@@ -1,14 +1,14 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base matches (e-mail, IP, card, phone) are sure seeds; long mixed runs of letters
-and digits are likely seeds of the kind ``secret``. Every seed and every other
+Base matches (e-mail, IP, card, phone) are the seeds. Every seed and every other
 identifier-like span (an @, six digits in groups, a long mixed run) is an instance
 of several patterns: the two and three tokens before it, the token before it with
 its shape, and the tokens on both sides. Patterns and instances form a graph that
 is scored in rounds: a pattern by the scores of its distinct instances, an
 instance by the confident patterns it stands in. Confident instances are seeds of
-the next round, until none is added. What has a kind's form but fails its check
-is known not to be of that kind, counts against its patterns and is never added.
+the next round, until none is added. Nothing but a base match is a seed, so no span
+confirms the pattern it is found by. What has a kind's form but fails its check is
+known not to be of that kind, counts against its patterns and is never added.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Kinds of spans that the method adds, in the order in which spans of one start stand.
-ALL_KINDS = (*KINDS, "secret")
 #: Patterns of the kinds. The look-behinds and possessive repeats change no match: a
 #: match can only begin where a run of its characters begins or the last match ended.
 #: Cards are runs of 12 to 19 digits that are not part of a longer run.
@@ -31,8 +29,6 @@ REGEX = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "other": r"(?<!\S)[^\s@]++@[^\s@]++|(?<![A-Za-z0-9_+/-])(?=(?:[A-Za-z_+/-]*+[0-9]){6})(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+|(?<![A-Za-z0-9])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){5,}+(?![A-Za-z0-9])",
 }
-#: A likely seed of the kind secret, and its score before its patterns are known.
-SECRET, SECRET_SCORE = r"^[A-Za-z0-9_+/-]{32,}$", 0.75
 #: A pattern needs so many distinct instances with a score, and so much confidence to add others.
 SEEDS, CONFIDENT = 3, 0.7
 _LEFT, _RIGHT = 64, 32
@@ -113,15 +109,12 @@ def bootstrap(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     instance is the chance that not all its confident patterns are wrong. Scores
     never fall, so the rounds end. Ties go to the kind that comes first.
     """
-    value = F.col("value")
-    secret = (F.col("kind") == "other") & value.rlike(SECRET)
-    own = found.select(F.when(secret, "secret").otherwise(F.col("kind")).alias("kind"), F.xxhash64(F.lower("value")).alias("v"), "value", F.explode("patterns").alias("pattern"))
+    own = found.select("kind", F.xxhash64(F.lower("value")).alias("v"), "value", F.explode("patterns").alias("pattern"))
     nodes = own.groupBy("pattern", "v").agg(F.max(F.when(F.col("kind") != "other", F.col("kind"))).alias("kind"), F.min("value").alias("value"))
     nodes = written(nodes, "pii-edges")
     size = nodes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEDS)
     edges = written(nodes.join(size, "pattern"), "pii-graph")
-    score = F.when(F.col("kind") == "secret", SECRET_SCORE).otherwise(1.0)
-    scores = written(nodes.where("kind is not null").groupBy("kind", "v").agg(F.max(score).alias("score"), F.lit(0).alias("round")), "pii-scores")
+    scores = written(nodes.where("kind is not null").select("kind", "v", F.lit(1.0).alias("score"), F.lit(0).alias("round")).distinct(), "pii-scores")
     sure, round_ = -1, 0
     while True:
         known = edges.select("pattern", "v", "n").join(scores, "v")
@@ -142,7 +135,7 @@ def discovered(found: DataFrame) -> DataFrame:
     seeds = _patterns(found.where("kind <> 'other'"))
     rows = written(free.unionByName(seeds).where("size(patterns) > 0").drop("left", "right"), "pii-contexts")
     scores, patterns = bootstrap(rows.select("kind", "value", "patterns"))
-    place = F.array_position(F.array(*(F.lit(k) for k in ALL_KINDS)), F.col("kind"))
+    place = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     best = scores.where(F.col("score") >= CONFIDENT).groupBy("v").agg(F.max_by(F.struct("kind", "round"), F.struct("score", -place)).alias("best"))
     # An instance is added where a confident pattern of its kind stands around it.
     spans = rows.where("kind = 'other'").select(*ROW, "from", "to", F.xxhash64(F.lower("value")).alias("v"), F.explode("patterns").alias("pattern"))
@@ -164,7 +157,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = written(matches(docs, id_col, text_col), "pii-matches")
     base = found.where("kind <> 'other'").select(*ROW, "kind", "from", "to", F.lit(True).alias("is_base"))
     spans = base.unionByName(discovered(found).drop("round").withColumn("is_base", F.lit(False))).distinct()
-    rank = F.array_position(F.array(*(F.lit(k) for k in ALL_KINDS)), F.col("kind"))
+    rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     span = F.struct("from", rank.alias("rank"), "to", "kind")
     return spans.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.when(F.col("is_base"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("all"))
 

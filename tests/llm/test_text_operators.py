@@ -362,23 +362,40 @@ def test_personal_data_base(spark, texts):
         assert set(told.split(",")) <= set(got[i]["spans"].split(",")) or not told
 
 
+def luhn(digits: str) -> str:
+    """``digits`` and the check digit that makes them a card."""
+    return next(digits + c for c in "0123456789" if sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits + c))) % 10 == 0)
+
+
 def test_personal_data_bootstraps(spark):
-    seeds = [f"please call me at +1 (555) 010-{1000 + i} today" for i in range(8)]
-    unseen = "so call me at 555-010-7777 soon"
-    other = "the part number 1234567 is here"
+    """Unseen identifiers of all four kinds are found, and nothing else: no commit hash, token, part number or failed check."""
     rng = random.Random(6)
-    keys = [f'the token = "{rng.randbytes(20).hex()}" was here' for _ in range(40)]
-    short, lone = f'a token = "{rng.randbytes(10).hex()}" too', f"see commit {rng.randbytes(20).hex()} there"
-    refused = "please call me at +1 2 3 and pay 4111 1111 1111 1112 now"
-    own = [*seeds, unseen, other, *keys, short, lone, refused]
-    docs = frame(spark, own)
-    got = {r["doc_id"]: r["spans"] for r in rows(personal_data.op10_personal_data(docs))}
-    assert got[8] == f"phone:{unseen.index('555')}:{unseen.index(' soon')}"
-    assert got[9] == "" and got[51] == "" and got[52] == ""
-    assert all(got[10 + i] == f"secret:{k.index(chr(34)) + 1}:{k.rindex(chr(34))}" for i, k in enumerate(keys))
-    assert got[50] == f"secret:{short.index(chr(34)) + 1}:{short.rindex(chr(34))}"
+    seen = {
+        "phone": [f"please call me at +1 (555) 010-{1000 + i} today" for i in range(8)],
+        "email": [f"write a mail to user{i}@example.org for more" for i in range(8)],
+        "ip": [f"log in from host 10.1.2.{i + 3} was refused" for i in range(8)],
+        "card": [f"was paid with card {luhn(f'41111111111{i:04d}')} last week" for i in range(8)],
+    }
+    unseen = {
+        "phone": [("so call me at 555-010-7777 soon", "555-010-7777"), ("but call me at (555) 010.8888 later", "(555) 010.8888")],
+        "email": [("just write a mail to root@localhost for help", "root@localhost"), ("then a mail to jan@büro for that", "jan@büro")],
+        "ip": [("new log in from host 10-22-33-44 was seen", "10-22-33-44")],
+        "card": [("it was paid with card 4111.1111.1111.1111 on it", "4111.1111.1111.1111")],
+    }
+    commits = [f"fixed in commit {rng.randbytes(20).hex()} by hand" for _ in range(40)]
+    tokens = [f'the token = "{rng.randbytes(20).hex()}" was here' for _ in range(40)]
+    refused = ["please call me at +1 2 3 and pay 4111 1111 1111 1112 now", "was paid with card 4111 1111 1111 1112 last", "log in from host 999.1.1.1234 was refused", "the part number 1234567 is here"]
+    planted = [(k, t, v) for k, own in unseen.items() for t, v in own]
+    base = [t for own in seen.values() for t in own]
+    docs = frame(spark, [*base, *(t for _, t, _ in planted), *commits, *tokens, *refused])
+    got = {r["doc_id"]: r for r in rows(personal_data.op10_personal_data(docs))}
+    for i, (k, t, v) in enumerate(planted, len(base)):
+        assert got[i]["spans"] == f"{k}:{t.index(v)}:{t.index(v) + len(v)}", t
+        assert got[i][f"n_{k}"] == 0
+    assert all(r["spans"] == "" for i, r in got.items() if i >= len(base) + len(planted))
     hidden = {r["doc_id"]: r["text"] for r in rows(personal_data.masked(docs))}
-    assert hidden[8] == "so call me at <phone> soon" and hidden[0] == "please call me at <phone> today" and hidden[9] == other and hidden[50] == 'a token = "<secret>" too'
+    assert hidden[len(base)] == "so call me at <phone> soon" and hidden[0] == "please call me at <phone> today"
+    assert all(hidden[len(base) + len(planted) + i] == t for i, t in enumerate([*commits, *tokens, *refused]))
 
 
 def test_bootstrap_equals_brute_force(spark):
