@@ -1,9 +1,9 @@
 """Distance to the closest record and nearest-neighbour ratio.
 
-The training sample has at most ``CAP`` rows by construction, so distances are a
-nested loop against it; the features are scaled numbers and categories whose
-squared distance is 0 if equal, 2 if not, and 1 if the real table does not know
-the category.
+The metric takes samples of at most ``CAP`` rows by definition, so its distances are
+a nested loop; ``nearest_records`` takes whole tables, by pivots. The features are scaled numbers and
+categories whose squared distance is 0 if equal, 2 if not, and 1 if the real table
+does not know the category.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_numeric, order_key, safe_ratio
+from .neighbours import nearest, square
 from .profile import high_cardinality
 
 CAP, HOLDOUT = 2000, 5
@@ -50,39 +51,48 @@ def _features(df: DataFrame, numeric: list[str], categorical: list[str], id_col:
     return df.select(F.col(id_col).alias(f"{prefix}id"), F.array(*(scale(c) for c in numeric)).alias(f"{prefix}x"), F.array(*(F.col(c).cast("string") for c in categorical)).alias(f"{prefix}y"), *unknown)
 
 
-def _square(n_numeric: int, n_categorical: int) -> Column:
-    """The squared distance as one sum without lambdas, so that it is compiled."""
-    parts = [f"(get(x, {i}) - get(t_x, {i})) * (get(x, {i}) - get(t_x, {i}))" for i in range(n_numeric)] + [f"if(get(y, {i}) <> get(t_y, {i}), 2.0D, 0.0D)" for i in range(n_categorical)]
-    while len(parts) > 1:
-        parts = [f"({' + '.join(parts[i : i + 2])})" for i in range(0, len(parts), 2)]
-    return F.expr(f"{parts[0]} - unknown")
+def with_unknown(points: DataFrame, real: DataFrame, categorical: list[str], broadcast: bool = True) -> DataFrame:
+    """``points`` with ``unknown``: how many of their categories the real table does not have.
 
-
-def with_unknown(points: DataFrame, real: DataFrame, categorical: list[str]) -> DataFrame:
-    """``points``, a capped sample, with ``unknown``: how many of its categories the real table does not have.
-
-    Only the sample's own values are looked for, so nothing grows with the real table.
+    Only the points' own values are looked for, so nothing grows with the real
+    table. ``broadcast`` is for capped samples; without it Catalyst chooses the joins.
     """
+    small = F.broadcast if broadcast else lambda df: df
     out, misses = points, F.lit(0)
     for i, c in enumerate(categorical):
         asked = points.select(F.col(c).alias(f"__k{i}")).distinct()
-        known = real.select(F.col(c).alias(f"__k{i}")).join(F.broadcast(asked), f"__k{i}", "left_semi").distinct().withColumn(f"__m{i}", F.lit(0))
-        out = out.join(F.broadcast(known), out[c] == known[f"__k{i}"], "left").drop(f"__k{i}")
+        known = real.select(F.col(c).alias(f"__k{i}")).join(small(asked), f"__k{i}", "left_semi").distinct().withColumn(f"__m{i}", F.lit(0))
+        out = out.join(small(known), out[c] == known[f"__k{i}"], "left").drop(f"__k{i}")
         misses = misses + F.coalesce(F.col(f"__m{i}"), F.lit(1))
     return out.withColumn("unknown", misses).drop(*(f"__m{i}" for i in range(len(categorical))))
 
 
-def nearest(points: DataFrame, train: DataFrame, n_numeric: int, n_categorical: int) -> DataFrame:
+def nearest_of_sample(points: DataFrame, train: DataFrame, n_numeric: int, n_categorical: int) -> DataFrame:
     """(id, src, d1, d2): distances of each point to its nearest and second nearest training row.
 
     Both sides are capped samples; points are dealt to tasks, each against all training rows.
     """
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = points.repartition(n, "id", "src").crossJoin(F.broadcast(train)).select("id", "src", F.sqrt(_square(n_numeric, n_categorical)).alias("d"))
+    pairs = points.repartition(n, "id", "src").crossJoin(F.broadcast(train)).select("id", "src", F.sqrt(square(n_numeric, n_categorical)).alias("d"))
     two = pairs.groupBy("id", "src").agg(F.slice(F.array_sort(F.collect_list("d")), 1, 2).alias("two"))
     return two.select("id", "src", F.get("two", F.lit(0)).alias("d1"), F.get("two", F.lit(1)).alias("d2"))
 
 
+def nearest_records(real: DataFrame, synth: DataFrame, id_col: str, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """(id, d1, d2): distances of every synthetic row to its two nearest real rows, over both whole tables.
+
+    Numbers are scaled by the real table. Rows with a missing value take no part;
+    a category that the real table lacks is at distance 1. Ids are unique.
+    """
+    used = [*numeric, *categorical]
+    r, s = (df.select(id_col, *used).na.drop(subset=used) for df in (real, synth))
+    limits = minmax(r, numeric).first().asDict() if numeric else {}
+    limits = {k: 0.0 if v is None else v for k, v in limits.items()}
+    train = _features(r, numeric, categorical, id_col, "t_", limits).drop("t_id")
+    asked = _features(with_unknown(s, r, categorical, broadcast=False), numeric, categorical, id_col, "", limits)
+    return nearest(asked.withColumn("src", F.lit("s")), train, len(numeric), len(categorical)).drop("src")
+
+
 def privacy_columns(real: DataFrame, synth: DataFrame, id_col: str | None = None, primary_key: str | None = None) -> tuple[list[str], list[str], list[str]]:
     """(numeric, categorical, excluded): shared columns that tell people apart.
 
@@ -123,7 +133,7 @@ def evaluate_privacy(real: DataFrame, synth: DataFrame, id_col: str, numeric: li
     train = _features(sample.where("not holdout").drop("holdout"), numeric, categorical, id_col, "t_", limits).drop("t_id")
     hold = _features(sample.where("holdout").drop("holdout"), numeric, categorical, id_col, "", limits).withColumn("src", F.lit("h"))
     asked = _features(with_unknown(points, r, categorical) if categorical else points, numeric, categorical, id_col, "", limits).withColumn("src", F.lit("s"))
-    near = nearest(asked.unionByName(hold), train, len(numeric), len(categorical))
+    near = nearest_of_sample(asked.unionByName(hold), train, len(numeric), len(categorical))
     ratio = F.when(F.col("d2").isNull(), 1.0).otherwise(safe_ratio(F.col("d1"), F.col("d2")))
     own = lambda src, c: F.median(F.when(F.col("src") == src, c))
     one = counts.crossJoin(near.agg(own("s", F.col("d1")).alias("ms"), own("s", ratio).alias("nndr"), own("h", F.col("d1")).alias("mh")))
@@ -142,7 +152,7 @@ def one_hot_distances(points: DataFrame, others: DataFrame, categorical: list[st
     """
     a = _features(with_unknown(points, known, categorical), [], categorical, id_col)
     b = _features(others, [], categorical, id_col, "t_").withColumnRenamed("t_id", "other_id")
-    return b.crossJoin(F.broadcast(a)).select("id", "other_id", _square(0, len(categorical)).alias("square"))
+    return b.crossJoin(F.broadcast(a)).select("id", "other_id", square(0, len(categorical)).alias("square"))
 
 
 def unseen_combinations(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:

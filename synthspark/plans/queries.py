@@ -531,6 +531,16 @@ def dcr_nndr_embeddings(spark, d):
     return privacy.evaluate_privacy(r, s, "vec_id", [f"e{i}" for i in range(_DIMS)], []).drop("excluded_cols", "reason")
 
 
+@query("nearest_orders", """with lim as (select min(o_totalprice) as lo, max(o_totalprice) - min(o_totalprice) as w from orders where o_orderkey % 2 = 0),
+p as (select o_orderkey, (o_totalprice - lo) / w as x, o_orderpriority as c, o_orderstatus as e from orders, lim),
+d as (select a.o_orderkey as id, sqrt(power(a.x - b.x, 2) + 2 * (a.c <> b.c)::int + 2 * (a.e <> b.e)::int) as d from p a, p b where a.o_orderkey % 2 = 1 and b.o_orderkey % 2 = 0)
+select id, round(list_min(m), 6) as d1, round(m[2], 6) as d2 from (select id, min(d, 2) as m from d group by 1)""")
+def nearest_orders(spark, d):
+    """Every odd order's two nearest even ones, over the whole table."""
+    r, s = halves(load(spark, d, "orders"), "o_orderkey")
+    return privacy.nearest_records(r, s, "o_orderkey", ["o_totalprice"], ["o_orderpriority", "o_orderstatus"]).select("id", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"))
+
+
 @query("subsample_cap", "select o_orderkey from (select o_orderkey, md5(o_orderkey || '|42') as o from orders order by 2, 1 limit 5000)")
 def subsample_cap(spark, d):
     return privacy.capped(load(spark, d, "orders"), "o_orderkey", 5000).select("o_orderkey")

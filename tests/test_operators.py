@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from synthspark import cli
-from synthspark.operators import copula, distances, privacy, profile, sequence_models, sequences
+from synthspark.operators import copula, distances, neighbours, privacy, profile, sequence_models, sequences
 from synthspark.plans import benchmarks, verdicts
 from synthspark.sources import tables
 
@@ -231,6 +232,25 @@ def test_privacy_of_copies_and_strangers(spark, numbers):
     assert not few.available and few.dcr_ratio is None
 
 
+def test_two_nearest_equal_brute_force(spark, monkeypatch):
+    """Copies, ties, unknown categories, one and no row; far fewer distances than pairs."""
+    rng = random.Random(5)
+    monkeypatch.setattr(neighbours, "RING", 8)
+    spot = lambda: [round(rng.random(), 2), round(rng.random(), 3)]
+    train = [(spot(), [rng.choice("ab")]) for _ in range(700)] + [([0.5, 0.5], ["a"])] * 300
+    points = [(i, spot(), [rng.choice("abz")]) for i in range(120)] + [(120, [0.5, 0.5], ["a"]), (121, [9.0, 9.0], ["b"])]
+    asked = spark.createDataFrame([(i, x, y, int(y == ["z"]), "s") for i, x, y in points], "id int, x array<double>, y array<string>, unknown int, src string")
+    real = lambda rows: spark.createDataFrame(rows, "t_x array<double>, t_y array<string>")
+    got = {r.id: (r.d1, r.d2) for r in neighbours.nearest(asked, real(train), 2, 1).collect()}
+    for i, x, y in points:
+        d = sorted(math.sqrt((x[0] - t[0]) ** 2 + (x[1] - t[1]) ** 2 + (2 * (y != c)) - (y == ["z"])) for t, c in train)
+        assert got[i] == pytest.approx(tuple(d[:2]), abs=1e-12)
+    known = asked.where("unknown = 0")
+    assert neighbours.candidates(known, real(train), 2, 1).count() < 0.2 * known.count() * len(train)
+    assert all(r.d2 is None and r.d1 is not None for r in neighbours.nearest(asked, real(train[:1]), 2, 1).collect())
+    assert neighbours.nearest(asked, real([]), 2, 1).count() == 0 and neighbours.nearest(asked.limit(0), real(train), 2, 1).count() == 0
+
+
 def test_ladder_and_advice(spark):
     def label(scores):
         df = spark.createDataFrame([(f"c{i}", s, s < 0.2) for i, s in enumerate(scores)], "column string, score double, ok boolean")
