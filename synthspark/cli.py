@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from .operators.copula import find_keys, fit, sample
 from .operators.distances import evaluate
+from .plans.benchmarks import RunConfig
 from .sources.tables import load_schema, primary_keys, read_table, schema_distributions, spark_schema, write_table
 
 
@@ -29,6 +30,11 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
 
 def main(argv: list[str] | None = None) -> int:
     args = parse(argv)
+    try:
+        RunConfig(rows=getattr(args, "rows", None), seed=getattr(args, "seed", 42))
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 2
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.verb == "synthesize":
         schema = load_schema(args.schema) if args.schema else None

@@ -1,9 +1,9 @@
 """Distance to the closest record and nearest-neighbour ratio.
 
 The metric takes samples of at most ``CAP`` rows by definition, so its distances are
-a nested loop; ``nearest_records`` takes whole tables, by pivots. The features are scaled numbers and
-categories whose squared distance is 0 if equal, 2 if not, and 1 if the real table
-does not know the category.
+a nested loop; ``nearest_records`` takes whole tables, by pivots. The features are
+scaled numbers and categories whose squared distance is 0 if equal, 2 if not, and 1
+if the real table does not know the category.
 """
 
 from __future__ import annotations

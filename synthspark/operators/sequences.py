@@ -168,3 +168,15 @@ def until_terminal(long: DataFrame, key: str, pos: str, column: str, terminal: l
     """Rows up to and with the first terminal state."""
     first = F.min(F.when(F.col(column).isin(terminal), F.col(pos))).over(Window.partitionBy(key))
     return long.withColumn("__end", first).where(F.col("__end").isNull() | (F.col(pos) <= F.col("__end"))).drop("__end")
+
+
+def sequence_fields(modality: str, meta: dict | None) -> tuple[str, str] | None:
+    """Key and index of sequences by the metadata; None for other tables or where one is not told."""
+    told = tuple((meta or {}).get(k) for k in ("sequence_key", "sequence_index"))
+    return told if modality == "sequential" and all(told) else None
+
+
+def sequential_report(real: DataFrame, synth: DataFrame, modality: str, meta: dict | None) -> DataFrame | None:
+    """``evaluate_sequential`` of a table whose metadata tell its sequences, else None."""
+    fields = sequence_fields(modality, meta)
+    return None if fields is None else evaluate_sequential(real, synth, *fields, meta=meta)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +11,16 @@ from pyspark.sql import functions as F
 from ..operators.distances import correlation_risk, evaluate, evaluate_pairs, quality
 from ..operators.privacy import capped, evaluate_privacy
 from ..operators.sequences import evaluate_sequential
-from .verdicts import rollup
+from .verdicts import GUARDED, regressions, rollup
 
 #: Rows of a benchmark table, and the bounds of what a run may ask for.
 ROW_CAP = 5000
 BOUNDS = {"rows": (10, 500_000), "sequences": (1, 100_000), "demo_sequences": (1, 10_000), "epochs": (10, 256), "seed": (0, 2**32 - 1)}
 
+#: Guarded figures of longitudinal runs and which way is better.
+SEQUENTIAL_GUARDED = {"length_distance": "lower", "temporal_worst": "lower", "temporal_failed": "lower"}
+TRACKS = {"tabular": GUARDED, "sequential": SEQUENTIAL_GUARDED}
+
 
 @dataclass(frozen=True)
 class RunConfig:
@@ -71,6 +76,32 @@ def run_sequential_dataset(name: str, real: DataFrame, synth: DataFrame, key: st
     return rollup(found).select(F.lit(name).alias("dataset"), F.col("max_score").alias("temporal_worst"), F.col("n_failed").alias("temporal_failed"), F.col("label").alias("verdict"), "risk").crossJoin(length)
 
 
+def write_baseline(path: str, config: RunConfig, tracks: dict[str, DataFrame]) -> None:
+    """Today's summaries as the mark that later runs are held against: one row a data set in each of ``TRACKS``."""
+    if unknown := set(tracks) - set(TRACKS):
+        raise ValueError(f"no such track: {sorted(unknown)}")
+    own = {t: [r.asDict() for r in df.orderBy("dataset").collect()] for t, df in tracks.items()}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"run": asdict(config), "row_cap": ROW_CAP, "tracks": own}, f, indent=2, ensure_ascii=False)
+
+
+def gate(path: str, tracks: dict[str, DataFrame]) -> DataFrame:
+    """(track, dataset, metric, baseline, current): guarded figures that are worse than in a baseline file.
+
+    A track or data set that the file does not have has nothing to be held against.
+    """
+    with open(path, encoding="utf-8") as f:
+        marks = json.load(f)["tracks"]
+    out = None
+    for track, now in tracks.items():
+        spark, names = now.sparkSession, [m for m in TRACKS[track] if m in now.columns]
+        before = [(m["dataset"], *(None if m.get(c) is None else float(m[c]) for c in names)) for m in marks.get(track, [])]
+        old = spark.createDataFrame(before, ", ".join(["dataset string", *(f"{c} double" for c in names)]))
+        one = regressions(old, now, TRACKS[track]).select(F.lit(track).alias("track"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def markdown_table(rows: DataFrame) -> str:
     """A summary, one row a data set, as a Markdown table."""
     names = rows.columns

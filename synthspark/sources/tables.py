@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,13 +66,69 @@ def _inferred(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Parquet by suffix, else CSV with a header; a folder of part files."""
+    """A folder of Parquet or one CSV file by suffix (.parquet, .csv), else a folder of CSV parts with headers."""
     if path.endswith(".parquet"):
         df.write.mode("overwrite").parquet(path)
+    elif path.endswith(".csv"):
+        write_csv_file(df, path)
     else:
         df.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
+def write_csv_file(df: DataFrame, path: str) -> None:
+    """One CSV file with one header, its rows in the order of the partitions.
+
+    Tasks write their own parts, which are then joined through the Hadoop file
+    system: by reference where it can (``concat``), else as streams through a small
+    buffer. What stood at ``path`` stays until the new file is whole. An empty table
+    is a header alone; a table without columns is refused.
+    """
+    if not df.columns:
+        raise ValueError("a CSV file needs a column")
+    spark = df.sparkSession
+    conf, hadoop = spark._jsparkSession.sessionState().newHadoopConf(), spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(conf)
+    work = hadoop.Path(target.getParent() or hadoop.Path("."), f".{target.getName()}-{uuid.uuid4().hex}")
+    names, parts, whole, old = (hadoop.Path(work, n) for n in ("header", "parts", "whole", "old"))
+    try:
+        # The header is written as a row is, so names with commas, quotes or line breaks are quoted alike.
+        spark.createDataFrame([tuple(df.columns)], T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(df.columns))])).coalesce(1).write.csv(names.toString(), escape='"')
+        df.write.csv(parts.toString(), escape='"')
+        found = [sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen() > 0), key=lambda p: p.getName()) for folder in (names, parts)]
+        _joined(spark, fs, [*found[0], *found[1]], whole)
+        if fs.exists(target):
+            fs.rename(target, old)
+        if not fs.rename(whole, target):
+            if fs.exists(old):
+                fs.rename(old, target)
+            raise OSError(f"{path} could not be written")
+    finally:
+        fs.delete(work, True)
+
+
+def _joined(spark: SparkSession, fs, parts: list, whole) -> None:
+    """One file of the bytes of all parts."""
+    if fs.getScheme() == "hdfs":
+        fs.rename(parts[0], whole)
+        rest = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(parts) - 1)
+        for i, p in enumerate(parts[1:]):
+            rest[i] = p
+        if len(parts) > 1:
+            fs.concat(whole, rest)
+        return
+    out = fs.create(whole)
+    try:
+        for p in parts:
+            source = fs.open(p)
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+
+
 def load_schema(path: str) -> dict:
     import yaml
 

@@ -232,6 +232,25 @@ def test_privacy_of_copies_and_strangers(spark, numbers):
     assert not few.available and few.dcr_ratio is None
 
 
+def test_one_csv_file(spark, tmp_path):
+    """The same bytes on any number of partitions, odd names and values, an old file replaced whole, no column refused."""
+    rows = [(i, [None, "a,b", 'say "x"', "two\nlines", ""][i % 5], i / 4) for i in range(200)]
+    df = spark.createDataFrame(rows, 'id int, `a,b "c"` string, x double')
+    path, other = str(tmp_path / "out.csv"), str(tmp_path / "other.csv")
+    tables.write_table(df.limit(3), path)
+    tables.write_table(df.repartitionByRange(50, "id").sortWithinPartitions("id"), path)
+    tables.write_table(df.coalesce(1), other)
+    own = (tmp_path / "out.csv").read_bytes()
+    assert own == (tmp_path / "other.csv").read_bytes() and own.startswith(b'id,"a,b ""c""",x\n')
+    back = {r[0]: (r[1], r[2]) for r in tables.read_table(spark, path).collect()}
+    assert back == {i: (t or None, x) for i, t, x in rows}
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["other.csv", "out.csv"]
+    tables.write_table(df.limit(0), path)
+    assert (tmp_path / "out.csv").read_bytes() == b'id,"a,b ""c""",x\n'
+    with pytest.raises(ValueError):
+        tables.write_table(df.select(), path)
+
+
 def test_two_nearest_equal_brute_force(spark, monkeypatch):
     """Copies, ties, unknown categories, one and no row; far fewer distances than pairs."""
     rng = random.Random(5)
@@ -263,6 +282,33 @@ def test_ladder_and_advice(spark):
     assert label([0.3, 0.9, 0.1]) == ("Let op", "hoog")
 
 
+def test_baseline_of_both_tracks(spark, tmp_path):
+    path = str(tmp_path / "baseline.json")
+    flat = lambda *rows: spark.createDataFrame(rows, "dataset string, mean_score double, cols_failed int, sdmetrics_overall double")
+    time = lambda *rows: spark.createDataFrame(rows, "dataset string, length_distance double, temporal_worst double, temporal_failed int")
+    first = {"tabular": flat(("a", 0.1, 1, 0.8), ("b", 0.2, 0, None)), "sequential": time(("s", 0.1, 0.2, 0))}
+    benchmarks.write_baseline(path, benchmarks.RunConfig(rows=100), first)
+    assert benchmarks.gate(path, first).count() == 0
+    now = {"tabular": flat(("a", 0.11, 1, 0.6), ("new", 9.0, 9, 0.0), ("b", None, None, None)), "sequential": time(("s", 0.1, 0.3, 1))}
+    found = sorted((r.track, r.dataset, r.metric, r.baseline, r.current) for r in benchmarks.gate(path, now).collect() if r.current is not None)
+    assert found == [("sequential", "s", "temporal_failed", 0.0, 1.0), ("sequential", "s", "temporal_worst", 0.2, 0.3), ("tabular", "a", "sdmetrics_overall", 0.8, 0.6)]
+    assert [r.dataset for r in benchmarks.gate(path, now).where("metric = 'run failed'").collect()] == ["b"]
+    with pytest.raises(ValueError):
+        benchmarks.write_baseline(path, benchmarks.RunConfig(), {"other": first["tabular"]})
+
+
+def test_sequence_fields_and_bounds_of_the_command_line(spark, capsys):
+    meta = {"sequence_key": "k", "sequence_index": "i"}
+    assert sequences.sequence_fields("sequential", meta) == ("k", "i")
+    assert sequences.sequence_fields("single_table", meta) is None and sequences.sequence_fields("sequential", {"sequence_key": "k"}) is None and sequences.sequence_fields("sequential", None) is None
+    truth = tables.ground_truth(spark, 30)
+    found = sequences.sequential_report(truth, truth, "sequential", {"sequence_key": "student_id", "sequence_index": "jaar"})
+    assert found.count() > 0 and found.where("not ok").count() == 0
+    assert sequences.sequential_report(truth, truth, "sequential", None) is None
+    assert cli.main(["synthesize", "no.csv", "out.csv", "--rows", "3"]) == 2 and "rows is 3" in capsys.readouterr().err
+    assert cli.main(["synthesize", "no.csv", "out.csv", "--seed", "-1"]) == 2
+
+
 def test_csv_round_trip_and_cli(spark, numbers, tmp_path):
     path = str(tmp_path / "t.csv")
     tables.write_table(numbers.withColumn("c", F.when(F.col("id") < 5, "NA").otherwise(F.col("c"))), path)
