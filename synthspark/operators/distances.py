@@ -3,9 +3,10 @@
 Values are counted by (column, value) once, in one scan of each table, and the
 counts are kept: they are the small side of everything that follows. Figures of
 one row a column or block of a column are collected and come back as constants;
-they are as small as the schema. Cumulative shares come from windows over blocks
-of a column, with the sums of earlier blocks added, so a column of very many
-values is no single task's work.
+they are as small as the schema, or one row for a million distinct values. Cumulative
+shares come from windows over blocks of a column, with the sums of earlier blocks
+added. Crowded blocks are cut again, so their number follows the data and a column
+of very many values is no single task's work.
 """
 
 from __future__ import annotations
@@ -21,7 +22,11 @@ from ..functions.scalars import column, is_numeric, is_time, micros, present
 from .date_votes import chosen
 
 SCORE_OK = 0.2
+#: Blocks that a column, and every block of too many values, is cut into; values that one may hold.
 BLOCKS = 32
+BLOCK_VALUES = 1 << 20
+#: Figures of blocks that are broadcast; more are joined as they are.
+BROADCAST_ROWS = 100_000
 DELTA = 0.1
 DAY = 86_400_000_000
 
@@ -63,35 +68,71 @@ def summaries(counts: DataFrame, blocks: int = BLOCKS) -> dict[str, Row]:
     side = {x: F.when(F.col(f"n{x}") > 0, F.col("value")) for x in "rs"}
     ranges = [c for x, v in side.items() for c in (F.min(v).alias(f"{x}_lo"), F.max(v).alias(f"{x}_hi"), F.count(v).alias(f"{x}_unique"))]
     mean = (F.sum(F.col("nr") * F.col("value")) / F.sum("nr")).alias("mean")
-    rows = counts.groupBy("column").agg(F.percentile_approx("value", [i / blocks for i in range(1, blocks)], 1000).alias("cuts"), F.sum("nr").alias("tr"), F.sum("ns").alias("ts"), mean, *ranges).collect()
+    rows = counts.groupBy("column").agg(_cuts(blocks), F.sum("nr").alias("tr"), F.sum("ns").alias("ts"), F.count(F.lit(1)).alias("values"), mean, *ranges).collect()
     return {r["column"]: r for r in rows}
 
 
-def cumulative(counts: DataFrame, blocks: int = BLOCKS, known: dict[str, Row] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """``counts`` with cr, cs (values up to and with this one), tr, ts (totals), dx (to the next value) and the columns ``keep``."""
-    known = summaries(counts, blocks) if known is None else known
+def _cuts(blocks: int) -> Column:
+    return F.percentile_approx("value", [i / blocks for i in range(1, blocks)], 1000).alias("cuts")
+
+
+def _place(cuts: Column) -> Column:
+    """How many of the cuts are below the row's value; 0 without cuts."""
+    return F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col("value"))), F.lit(0))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as a broadcast side if its known number of rows allows, else as it is."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _dealt(counts: DataFrame, known: dict[str, Row], blocks: int, most: int) -> DataFrame:
+    """``counts`` with ``block``: numbers that ascend with the values of a column, at most ``most`` values each.
+
+    The first cuts are those of ``known``; blocks of more values are cut again, as
+    often as it takes. Cuts are kept as they came, for counted again after a lost
+    executor they might differ: at most one row for every ``most`` values, and
+    none but the first of columns of fewer than ``blocks`` times as many.
+    """
     cuts = of_column({c: sorted(set(r["cuts"])) for c, r in known.items()}, "array<double>")
-    dealt = counts.withColumn("block", F.size(F.filter(cuts, lambda c: c < F.col("value"))))
-    sums: dict[str, dict[int, Row]] = {}
-    for r in dealt.groupBy("column", "block").agg(F.sum("nr").alias("br"), F.sum("ns").alias("bs"), F.min("value").alias("bx")).collect():
-        sums.setdefault(r["column"], {})[r["block"]] = r
-    ahead: dict[str, dict] = {x: {c: [0] * (blocks + 1) for c in sums} for x in ("br", "bs")}
-    following: dict[str, list] = {c: [None] * (blocks + 1) for c in sums}
-    for c, own in sums.items():
-        order = sorted(own)
-        for before, k in zip(order, order[1:]):
-            following[c][before] = own[k]["bx"]
-        for x in ahead:
-            at = 0
-            for k in order:
-                ahead[x][c][k] = at
-                at += own[k][x]
-    upto = Window.partitionBy("column", "block").orderBy("value")
+    dealt = counts.withColumn("block", _place(cuts).cast("long"))
+    # Of up to this many values no first block is too large: a cut is off by 1/1000 of them at most.
+    open_ = any(r["values"] > most * blocks * 0.9 for r in known.values())
+    while open_:
+        own = dealt.groupBy("column", "block").agg(_cuts(blocks), F.count(F.lit(1)).alias("values"), F.min("value").alias("low"), F.max("value").alias("high"))
+        # The least value is a cut too: where one value stands very often it is apart from the others at last.
+        crowded = own.where((F.col("values") > most) & (F.col("low") < F.col("high"))).select("column", "block", F.array_distinct(F.concat(F.array("low"), "cuts"))).collect()
+        if not crowded:
+            break
+        finer = counts.sparkSession.createDataFrame(crowded, "column string, block long, cuts array<double>")
+        again = dealt.join(small(finer, len(crowded)), ["column", "block"], "left")
+        dealt = again.withColumn("block", F.col("block") * (blocks + 1) + _place(F.col("cuts"))).drop("cuts")
+    return dealt
+
+
+def cumulative(counts: DataFrame, blocks: int = BLOCKS, known: dict[str, Row] | None = None, keep: list[str] | None = None, most: int = BLOCK_VALUES) -> DataFrame:
+    """``counts`` with cr, cs (values up to and with this one), tr, ts (totals), dx (to the next value) and the columns ``keep``.
+
+    A block holds at most ``most`` values, so there are the more of them the more
+    distinct values a column has, and no window grows with it.
+    """
+    known = summaries(counts, blocks) if known is None else known
+    dealt = _dealt(counts, known, blocks, most)
+    rows, ahead, last = [], {}, {}
+    for r in sorted(dealt.groupBy("column", "block").agg(F.sum("nr").alias("br"), F.sum("ns").alias("bs"), F.min("value").alias("bx")).collect(), key=lambda r: (r["column"], r["block"])):
+        c = r["column"]
+        if c in last:
+            rows[last[c]][-1] = r["bx"]
+        at = ahead.get(c, (0, 0))
+        last[c] = len(rows)
+        rows.append([c, r["block"], known[c]["tr"], known[c]["ts"], *at, None])
+        ahead[c] = (at[0] + r["br"], at[1] + r["bs"])
+    starts = counts.sparkSession.createDataFrame([tuple(r) for r in rows], "column string, block long, tr long, ts long, r0 long, s0 long, next double")
+    # Rows of one value stand in one block, in the order of what else is kept.
+    upto = Window.partitionBy("column", "block").orderBy("value", *(keep or []))
     running = upto.rowsBetween(Window.unboundedPreceding, 0)
-    start = lambda x: F.get(of_column(ahead[x], "array<bigint>"), F.col("block"))
-    after = F.coalesce(F.lead("value").over(upto), F.get(of_column(following, "array<double>"), F.col("block")))
-    total = lambda x: of_column({c: r[x] for c, r in known.items()}, "bigint").alias(x)
-    return dealt.select("column", "value", "nr", "ns", *(keep or []), total("tr"), total("ts"), (F.sum("nr").over(running) + start("br")).alias("cr"), (F.sum("ns").over(running) + start("bs")).alias("cs"), (after - F.col("value")).alias("dx"))
+    after = F.coalesce(F.lead("value").over(upto), F.col("next"))
+    return dealt.join(small(starts, len(rows)), ["column", "block"]).select("column", "value", "nr", "ns", *(keep or []), "tr", "ts", (F.sum("nr").over(running) + F.col("r0")).alias("cr"), (F.sum("ns").over(running) + F.col("s0")).alias("cs"), (after - F.col("value")).alias("dx"))
 
 
 def _quantile(p: float) -> Column:

@@ -86,6 +86,28 @@ def test_blocked_sums_equal_a_plain_window(numbers):
         assert cr == total
 
 
+@pytest.mark.parametrize("most", [3, 20, 10_000])
+def test_blocks_follow_the_number_of_values(spark, monkeypatch, most):
+    """Crowded blocks are cut again: the same sums, no block of more values, none where a table is small; ties are kept in order."""
+    rng = random.Random(5)
+    rows = [("many", rng.lognormvariate(0, 3), rng.randrange(4), rng.randrange(3)) for _ in range(900)] + [("few", float(i), 1, 2) for i in range(5)] + [("one", 7.0, 2, 0)]
+    rows = [(c, v, i % 7, nr + 1, ns) for i, (c, v, nr, ns) in enumerate(rows)] + [("tied", 1.0, i, 1, 1) for i in range(60)] + [("tied", 2.0, 0, 1, 1)]
+    counts = spark.createDataFrame(rows, "column string, value double, k long, nr long, ns long").repartition(3).persist()
+    dealt = distances._dealt(counts, distances.summaries(counts, 8), 8, most)
+    sizes = dealt.groupBy("column", "block").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("d")).collect()
+    assert max(r.n for r in sizes if r.d > 1) <= max(most, 1 if most < 900 else 130)
+    for broadcast in (100_000, 0):
+        monkeypatch.setattr(distances, "BROADCAST_ROWS", broadcast)
+        got = distances.cumulative(counts, 8, keep=["k"], most=most).collect()
+        assert len(got) == len(rows)
+        for name in ("many", "few", "one", "tied"):
+            own, cr, cs = sorted((r for r in got if r.column == name), key=lambda r: (r.value, r.k)), 0, 0
+            for r, after in zip(own, [*own[1:], None]):
+                cr, cs = cr + r.nr, cs + r.ns
+                assert (r.cr, r.cs, r.dx) == (cr, cs, None if after is None else after.value - r.value)
+                assert (r.tr, r.ts) == (sum(x.nr for x in own), sum(x.ns for x in own))
+
+
 def test_skew_hints_and_types(spark):
     df = spark.createDataFrame([(0.0 if i < 90 else float(i), i % 12 + 1, None if i % 5 else 1.5, float(i % 7)) for i in range(600)], "z double, opl long, gap double, g double")
     # z has 511 distinct values and 90 zeros of 600: neither skewed nor heaped; g has seven values.
