@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,32 @@ DATE_FORMATS = [
 ]
 
 
+#: Directives of strptime and the letters that Spark has for them.
+DIRECTIVES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "f": "SSSSSS", "%": "%"}
+
+
+def spark_pattern(pattern: str) -> str:
+    """A strptime pattern in Spark's letters; one without directives is Spark's already."""
+    if "%" not in pattern:
+        return pattern
+    out = ""
+    for directive, text in re.findall(r"%(.)|([^%]+)", pattern):
+        if directive and directive not in DIRECTIVES:
+            raise ValueError(f"%{directive} of {pattern} has no counterpart")
+        out += DIRECTIVES[directive] if directive else re.sub("[A-Za-z]+", lambda m: f"'{m[0]}'", text)
+    return out
+
+
+def reading_pattern(pattern: str) -> str:
+    """``spark_pattern`` for reading: days, months and hours that stand apart may have one digit, as strptime takes them."""
+    return re.sub(r"(?<![A-Za-z'])(dd|MM|HH)(?![A-Za-z'])", lambda m: m[0][0], spark_pattern(pattern))
+
+
+def is_position(kind: T.DataType) -> bool:
+    """Where a row stood in its input: a column to order by, no value of the table."""
+    return isinstance(kind, T.StructType)
+
+
 def column(name: str) -> Column:
     """The column of exactly this name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -55,8 +83,7 @@ def micros(c: Column, kind: T.DataType, pattern: str | None = None) -> Column:
     """Microseconds since the epoch; what cannot be parsed is null."""
     if is_time(kind):
         return F.unix_micros(c.cast("timestamp"))
-    spark_pattern = {p: s for _, p, s in DATE_FORMATS}.get(pattern, pattern)
-    parsed = F.try_to_timestamp(c.cast("string"), F.lit(spark_pattern)) if spark_pattern else F.try_to_timestamp(c.cast("string"))
+    parsed = F.try_to_timestamp(c.cast("string"), F.lit(reading_pattern(pattern))) if pattern else F.try_to_timestamp(c.cast("string"))
     return F.unix_micros(parsed)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import column, is_numeric, is_time, micros, present, uniform
+from ..functions.scalars import column, is_numeric, is_position, is_time, micros, present, uniform
 from .copula import KNOTS, Marginal, _normal, _rank, _share
 from .profile import quantiles
 
@@ -69,7 +69,7 @@ class ContextModel:
 
 def _features(df: DataFrame, key: str, index: str, tie: str | None, by_gap: bool) -> tuple[DataFrame, list[str], list[str]]:
     """(__k, __at, features): sequences in order, rows numbered from 1; names of texts and numbers."""
-    names = [c for c in df.columns if c not in (key, index)]
+    names = [c for c in df.columns if c not in (key, index) and not is_position(df.schema[c].dataType)]
     numbers = [c for c in names if is_numeric(df.schema[c].dataType) or is_time(df.schema[c].dataType)]
     texts = [c for c in names if c not in numbers]
     order = Window.partitionBy("__k").orderBy(F.col("__i").asc_nulls_last(), *([F.col("__tie")] if tie else []))
@@ -189,7 +189,7 @@ def fit_contexts(df: DataFrame, key: str, index: str, tie: str | None = None, de
     counts.unpersist()
     rows.unpersist()
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return ContextModel(key, index, df.columns, types, texts, numbers, knots, bins, depth, tree, n, size["longest"], carry, factor, None if by_gap else sorted(levels), size["first"], lengths)
+    return ContextModel(key, index, [c for c in df.columns if not is_position(df.schema[c].dataType)], types, texts, numbers, knots, bins, depth, tree, n, size["longest"], carry, factor, None if by_gap else sorted(levels), size["first"], lengths)
 
 
 def _ends_told(counts: DataFrame) -> bool:

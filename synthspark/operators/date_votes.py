@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import column
+from ..functions.scalars import column, reading_pattern, spark_pattern
 
 #: Patterns in order of priority (regular expression of the form, Spark pattern).
 PATTERNS = [
@@ -48,3 +48,23 @@ def chosen(df: DataFrame, columns: list[str]) -> dict[str, str]:
         own = (-r["votes"], r["place"], r["pattern"])
         best[r["column"]] = min(best.get(r["column"], own), own)
     return {c: pattern for c, (_, _, pattern) in best.items()}
+
+
+def as_dates(df: DataFrame, formats: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """Text columns as dates, or as times where the format tells the hour, and the formats that were used.
+
+    A column of which the format misses a single present value stays text, as one
+    without any value does; columns of other types stay as they are.
+    """
+    texts = {c: spark_pattern(p) for c, p in formats.items() if c in df.columns and df.schema[c].dataType.typeName() == "string"}
+    if not texts:
+        return df, {}
+    read = {c: F.try_to_timestamp(F.trim(column(c)), F.lit(reading_pattern(p))) for c, p in texts.items()}
+    facts = df.agg(*(f(x).alias(f"{name}{i}") for i, (c, r) in enumerate(read.items()) for name, f, x in (("all", F.count, column(c)), ("read", F.count, r)))).first()
+    used = {c: p for i, (c, p) in enumerate(texts.items()) if 0 < facts[f"all{i}"] == facts[f"read{i}"]}
+    return df.select(*(read[c].cast("timestamp" if "H" in used[c] else "date").alias(c) if c in used else column(c) for c in df.columns)), used
+
+
+def as_texts(df: DataFrame, formats: dict[str, str]) -> DataFrame:
+    """Dates and times in the formats that their columns were read by."""
+    return df.select(*(F.date_format(column(c), spark_pattern(formats[c])).alias(c) if c in formats else column(c) for c in df.columns))

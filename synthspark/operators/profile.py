@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import column as named
-from ..functions.scalars import date_format_of, is_numeric, is_time, present
+from ..functions.scalars import date_format_of, is_numeric, is_position, is_time, present
 from .distances import cumulative, long_values
 
 #: Limits of the skewness rule.
@@ -21,6 +21,11 @@ def _cells(df: DataFrame, columns: list[str] | None = None) -> list[tuple[str, C
     return [(c, present(named(c), df.schema[c].dataType)) for c in (columns or df.columns)]
 
 
+def values_of(df: DataFrame) -> list[str]:
+    """The columns but those that tell a row's place in its input."""
+    return [f.name for f in df.schema.fields if not is_position(f.dataType)]
+
+
 def _names(spark, df: DataFrame, columns: list[str]) -> DataFrame:
     rows = [(i, c, is_numeric(df.schema[c].dataType), df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long"), is_time(df.schema[c].dataType), df.schema[c].dataType.typeName() == "string", df.schema[c].dataType.typeName() == "boolean") for i, c in enumerate(columns)]
     return spark.createDataFrame(rows, "pos int, column string, numeric boolean, integral boolean, time boolean, text boolean, flag boolean")
@@ -34,7 +39,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, n_rows, n_null, null_fraction, n_unique, low, high, pos and type flags); low and high of numbers."""
-    columns = columns or df.columns
+    columns = columns or values_of(df)
     spark = df.sparkSession
     cells = F.array(*(F.struct(F.lit(c).alias("column"), v.cast("string").alias("value"), (v.cast("double") if is_numeric(df.schema[c].dataType) else F.lit(None).cast("double")).alias("number")) for c, v in _cells(df, columns)))
     counts = df.select(F.explode(cells).alias("cell")).select("cell.*").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("lo"), F.max("number").alias("hi"))
@@ -121,7 +126,7 @@ def column_hints(df: DataFrame, columns: list[str] | None = None, order: str | N
     column with nulls is no integer column here. Dates that stand as text count as
     categories or ids until the hint.
     """
-    columns = columns or df.columns
+    columns = columns or values_of(df)
     texts = [c for c in columns if df.schema[c].dataType.typeName() == "string"]
     formats = date_formats(df, texts, order) if texts and order else None
     own = detected(column_profile(df, columns), None)
@@ -150,7 +155,7 @@ def sequence_columns(df: DataFrame, columns: list[str] | None = None, order: str
     fewest values. The key repeats (two rows a value or more): named like an entity
     first, then of most values. Ties go to the first column.
     """
-    columns = columns or df.columns
+    columns = columns or values_of(df)
     texts = [c for c in columns if df.schema[c].dataType.typeName() == "string"]
     own = column_profile(df, columns)
     own = own.join(date_formats(df, texts, order), "column", "left") if texts and order else own.withColumn("format", F.lit(None).cast("string"))
@@ -171,9 +176,9 @@ def metadata(df: DataFrame, order: str | None = None) -> dict:
     return {"columns": {c: found[c] for c in df.columns if c in found}}
 
 
-def sequential_metadata(df: DataFrame, key: str, index: str) -> dict:
+def sequential_metadata(df: DataFrame, key: str, index: str, order: str | None = None) -> dict:
     """Metadata of a longitudinal table: the key is an id, the index a number or date."""
-    columns = metadata(df)["columns"]
+    columns = metadata(df, order)["columns"]
     columns[key] = {"sdtype": "id"}
     if columns.get(index, {}).get("sdtype") not in ("numerical", "datetime"):
         columns[index] = {"sdtype": "numerical"}

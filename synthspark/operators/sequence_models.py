@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_numeric, uniform
+from ..functions.scalars import is_numeric, is_position, uniform
 from .copula import CopulaModel, fit, sample
 from .profile import mode_value, quantiles
 from .sequences import lengths, terminal_states, to_long, to_wide, transition_matrix
@@ -32,7 +32,7 @@ class SequenceModel:
 
 def fit_sequences(df: DataFrame, key: str, index: str, seed: int = 42, tie: str | None = None) -> SequenceModel:
     """Fit one row a sequence; refuses tables too small for their number of steps and features."""
-    features = [c for c in df.columns if c not in (key, index)]
+    features = [c for c in df.columns if c not in (key, index) and not is_position(df.schema[c].dataType)]
     levels = sorted(r[0] for r in df.where(F.col(index).isNotNull()).select(index).distinct().limit(MOST_LEVELS + 1).collect())
     entities = df.select(F.count_distinct(key)).first()[0]
     if len(levels) < 2 or entities < 2:
@@ -51,7 +51,7 @@ def fit_sequences(df: DataFrame, key: str, index: str, seed: int = 42, tie: str
     wide = to_wide(df, key, index, features, levels, tie).drop(key).persist()
     model = fit(wide, seed=seed, keys=[], distributions={}, presence=False)
     wide.unpersist()
-    return SequenceModel(key, index, features, levels, terminal, fallback, model, df.columns, {f.name: f.dataType.simpleString() for f in df.schema.fields})
+    return SequenceModel(key, index, features, levels, terminal, fallback, model, [c for c in df.columns if c in (key, index, *features)], {f.name: f.dataType.simpleString() for f in df.schema.fields})
 
 
 def sample_sequences(spark: SparkSession, model: SequenceModel, n: int, seed: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_numeric
+from ..functions.scalars import is_numeric, is_position
 from .distances import SCORE_OK, both, counted, numeric_distances
 
 
@@ -86,7 +86,7 @@ def sequential_features(real: DataFrame, synth: DataFrame, key: str, index: str,
     Metadata decides on the type; without it, a column is a number if it is one in both tables.
     """
     kinds = {c: m.get("sdtype") for c, m in ((meta or {}).get("columns") or {}).items()}
-    shared = [c for c in real.columns if c in synth.columns and c not in (key, index) and kinds.get(c) not in ("id", "datetime")]
+    shared = [c for c in real.columns if c in synth.columns and c not in (key, index) and kinds.get(c) not in ("id", "datetime") and not is_position(real.schema[c].dataType)]
     number = lambda c: kinds.get(c) == "numerical" or (kinds.get(c) is None and is_numeric(real.schema[c].dataType) and is_numeric(synth.schema[c].dataType))
     return {c: "autocorrelation" if number(c) else "transition" for c in shared}
 

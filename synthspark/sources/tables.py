@@ -16,6 +16,8 @@ from ..functions.scalars import uniform
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 #: Types of a YAML schema and what they mean.
 SDTYPES = {"categorical": "categorical", "integer": "numerical", "float": "numerical", "string": "id", "date": "datetime"}
+#: Name of the column that tells where a row stood in its input.
+POSITION = "__position"
 _SPARK_TYPES = {"categorical": T.StringType(), "integer": T.LongType(), "float": T.DoubleType(), "string": T.StringType(), "date": T.StringType()}
 
 
@@ -32,7 +34,7 @@ class DataSource:
         return "longitudinal" if self.modality == "sequential" else "tabular"
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True, position: str | None = None) -> DataFrame:
     """Parquet by suffix, else CSV with a header; missing-value texts and NaN become null.
 
     Values in quotes may hold line breaks, and a quote as two. Without
@@ -40,6 +42,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
     Types of a CSV without schema come from one pass over all values: whole
     numbers, numbers, booleans, else text. Dates stay text.
+
+    ``position`` names one more column by which the rows sort as the input has
+    them: file, first byte of the task's stretch of it, and number within. Operators
+    take it as ``order`` or ``tie``. It is the same on any number of partitions but
+    for the numbers, which only compare inside a stretch.
     """
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
@@ -53,16 +60,23 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(~F.isnan(c), c)
         out.append(c.alias(f.name))
+    if position:
+        if position in df.columns:
+            raise ValueError(f"the table has a column {position}")
+        number = F.col("_metadata.row_index") if path.endswith(".parquet") else F.monotonically_increasing_id()
+        start = F.lit(0).cast("long") if path.endswith(".parquet") else F.col("_metadata.file_block_start")
+        out.append(F.struct(F.col("_metadata.file_path").alias("file"), start.alias("start"), number.alias("row")).alias(position))
     df = df.select(*out)
-    return df if path.endswith(".parquet") or schema is not None else _inferred(df)
+    return df if path.endswith(".parquet") or schema is not None else _inferred(df, position)
 
 
-def _inferred(df: DataFrame) -> DataFrame:
+def _inferred(df: DataFrame, position: str | None) -> DataFrame:
+    """The columns but ``position`` in the first type that all their values have."""
     kinds = ("bigint", "double", "boolean")
-    fits = [F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(k).isNull()).alias(f"{i}/{k}") for i, c in enumerate(df.columns) for k in kinds]
+    fits = [F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(k).isNull()).alias(f"{i}/{k}") for i, c in enumerate(df.columns) if c != position for k in kinds]
     misses = df.agg(*fits).first() if fits else None
     kind = lambda i: next((k for k in kinds if misses[f"{i}/{k}"] == 0), "string")
-    return df.select(*(F.col(f"`{c}`").cast(kind(i)).alias(c) for i, c in enumerate(df.columns)))
+    return df.select(*(F.col(f"`{c}`") if c == position else F.col(f"`{c}`").cast(kind(i)).alias(c) for i, c in enumerate(df.columns)))
 
 
 def write_table(df: DataFrame, path: str) -> None:

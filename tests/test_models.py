@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import itertools
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from synthspark import cli
+from synthspark.functions.scalars import reading_pattern, spark_pattern
 from synthspark.operators import context_trees, copula, date_votes, distances, key_shapes, marginals, profile, sequences
 from synthspark.sources import tables
 
@@ -229,6 +232,64 @@ def test_dates_without_a_format(spark):
     assert date_votes.chosen(rows("20201231", "20200101"), ["d.t"]) == {"d.t": "yyyyMMdd"}
 
 
+def test_rows_in_the_order_of_their_input(spark, tmp_path):
+    """Positions sort rows as the files have them, on many partitions; hints, ties and sequence models take them."""
+    path = str(tmp_path / "t")
+    days = [f"{i % 28 + 1:02d}-03-2020" if i < 40 else "soon" for i in range(2000)]
+    rows = [(i // 4, 1, "ab"[i % 2], days[i], 1.5 * i) for i in range(2000)]
+    spark.createDataFrame(rows, "k long, t long, s string, day string, x double").coalesce(1).write.csv(path, header=True)
+    spark.createDataFrame(rows, "k long, t long, s string, day string, x double").coalesce(1).write.parquet(path + ".parquet")
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")
+    try:
+        for df in (tables.read_table(spark, path, line_breaks=False, position="__at"), tables.read_table(spark, path + ".parquet", position="__at")):
+            mixed = df.repartition(7)
+            assert [r.x for r in mixed.orderBy("__at").collect()] == [r[4] for r in rows]
+            assert {r.column: r.rule for r in profile.column_hints(mixed, order="__at").collect()}["day"] == "date"
+            assert profile.metadata(mixed, "__at")["columns"]["day"] == {"sdtype": "datetime", "datetime_format": "%d-%m-%Y"}
+            assert "__at" not in profile.metadata(mixed, "__at")["columns"]
+            # All steps of a sequence have the same index: only the input tells their order.
+            pairs = {(r.f, r.t): r.n for r in sequences.transition_matrix(mixed, "k", "t", "s", "__at").collect()}
+            assert pairs == {("a", "b"): 1000, ("b", "a"): 500}
+            found = sequences.evaluate_sequential(mixed, mixed, "k", "t", tie="__at")
+            assert "__at" not in {r.column for r in found.collect()}
+            assert context_trees.fit_contexts(mixed.drop("day"), "k", "t", "__at", bins=2).columns == ["k", "t", "s", "x"]
+        assert tables.read_table(spark, path, line_breaks=False, position="__at").rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    with pytest.raises(ValueError):
+        tables.read_table(spark, path + ".parquet", position="x")
+
+
+def test_patterns_of_dates():
+    assert spark_pattern("%d/%m/%Y") == "dd/MM/yyyy" and spark_pattern("%Y-%m-%dT%H:%M:%S") == "yyyy-MM-dd'T'HH:mm:ss"
+    assert spark_pattern("yyyyMMdd") == "yyyyMMdd" == reading_pattern("%Y%m%d") and reading_pattern("%d-%m-%YT%H:%M") == "d-M-yyyy'T'HH:mm"
+    with pytest.raises(ValueError):
+        spark_pattern("%j")
+
+
+def test_dates_of_text_keep_their_format(spark, tmp_path, capsys):
+    """The command line finds dates by the first rows of the file, samples days between the real ones and writes them as they were."""
+    real, out, schema = (str(tmp_path / n) for n in ("real.csv", "out.csv", "schema.yaml"))
+    rows = [(i % 7, f"{i % 28 + 1:02d}-{i % 3 + 4:02d}-2021", f"{i % 28 + 1}/5/2020", "08-05-2020" if i else "later", None) for i in range(300)]
+    tables.write_table(spark.createDataFrame(rows, "a long, day string, told string, mixed string, none string"), real)
+    assert cli.main(["synthesize", real, out, "--rows", "50"]) == 0
+    got = spark.read.csv(out, header=True).collect()
+    found = [datetime.strptime(r.day, "%d-%m-%Y") for r in got]
+    assert len(found) == 50 and min(found) >= datetime(2021, 4, 1) and max(found) <= datetime(2021, 6, 28) and len(set(found)) > 10
+    assert {r.mixed for r in got} <= {"08-05-2020", "later"} and {r.none for r in got} == {None}
+    # Without a schema the form d/m is none that is looked for; with one it is read.
+    assert {r.told for r in got} <= {r[2] for r in rows}
+    with open(schema, "w") as f:
+        f.write("columns:\n  a: {dtype: integer}\n  day: {dtype: date, datetime_format: '%d-%m-%Y'}\n  told: {dtype: date, datetime_format: '%d/%m/%Y'}\n  mixed: {dtype: categorical}\n  none: {dtype: string}\n")
+    texts = tables.read_table(spark, real, tables.spark_schema(tables.load_schema(schema)))
+    assert date_votes.as_dates(texts, cli.declared_dates(tables.load_schema(schema)))[1] == {"day": "dd-MM-yyyy", "told": "dd/MM/yyyy"}
+    assert date_votes.as_dates(texts, {"told": "d/M/yyyy", "a": "yyyy", "none": "yyyy", "gone": "yyyy"})[1] == {"told": "d/M/yyyy"}
+    assert date_votes.as_texts(*date_votes.as_dates(texts, {"day": "%d-%m-%Y"})).select("day").exceptAll(texts.select("day")).count() == 0
+    assert cli.main(["inspect", real]) == 0
+    assert "day datetime %d-%m-%Y" in capsys.readouterr().out
+
+
 def test_csv_with_line_breaks_and_quotes(spark, tmp_path):
     """Quoted line breaks and doubled quotes stay in their value; marks of missing values become null."""
     (tmp_path / "in.csv").write_text('a,b.c\n"one\ntwo ""x""",1\n<NA>,#N/A N/A\n-nan,2\n', encoding="utf-8")
