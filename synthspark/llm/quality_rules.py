@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.profile import quantiles
 from . import common
 from .common import SPACE, written
 from .decontamination import words_between
@@ -109,11 +110,15 @@ def measured(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_c
 
 
 def threshold(docs: DataFrame, trusted: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text") -> float:
-    """The score that all but ``REFUSED`` of the calibrating documents reach, less ``MARGIN``."""
+    """The score that all but ``REFUSED`` of the calibrating documents reach, less ``MARGIN``.
+
+    The quantile is exact, with linear interpolation, from cumulative counts over
+    blocks of the scores, which are written once: no task gathers all of them.
+    """
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__x")).join(_sent(trusted.where(_calibrates())), F.col("__id") == F.col("__trusted"), "left_semi")
-    scored = with_words(own, "__x", ["__id"]).where(F.size("__w") >= 50).select(score(F.col("__h"), table).alias("__score"))
-    found = scored.agg(F.percentile("__score", F.lit(REFUSED))).first()[0]
-    return -math.inf if found is None else found - MARGIN
+    scored = written(with_words(own, "__x", ["__id"]).where(F.size("__w") >= 50).select(score(F.col("__h"), table).alias("__score")), "scores")
+    found = quantiles(scored, ["__score"], [REFUSED]).first()
+    return -math.inf if found is None else found["value"] - MARGIN
 
 
 def op2_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import types as T
 
 from synthspark.llm import chat_formatting, common, decontamination, jaccard_join, language_id, line_dedup, mixing, personal_data, quality_rules, repeated_bytes, sharding
@@ -187,6 +189,58 @@ def test_quality_base_counts_and_trusted_kept(spark, texts):
     assert all(got[i]["kept"] for i in range(25) if not got[i]["base_failed"])
 
 
+def hash_of(x, seed=42):
+    """The 64-bit hash of a text, a long or an int (4 bytes where ``x`` is a pair with the width), signed."""
+    data = x.encode() if isinstance(x, str) else x[0].to_bytes(x[1], "little", signed=True) if isinstance(x, tuple) else x.to_bytes(8, "little", signed=True)
+    h = xxhash.xxh64(data, seed=seed % 2**64).intdigest()
+    return h - 2**64 if h >= 2**63 else h
+
+
+def test_quality_equals_brute_force(spark, monkeypatch):
+    """Counts of both multinomials, ratio, threshold and verdict in plain Python."""
+    monkeypatch.setattr(quality_rules, "REFUSED", 0.1)
+    monkeypatch.setattr(quality_rules, "MARGIN", 0.0)
+    rng = random.Random(8)
+    good, bad = [f"g{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    texts = {i: " ".join(rng.choice(good if rng.random() < (0.8 if i % 3 else 0.4) else bad) for _ in range(rng.choice([5, 60, 120]))) for i in range(120)}
+    texts |= {120: None, 121: "", 122: " \n\t ", 123: "x " * 80}
+    trusted = {i for i in texts if i % 3 == 1}
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted] + [(2, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    held = {i for i in trusted if hash_of(i, hash_of((1, 4))) % quality_rules.CALIBRATE == 0}
+    assert held and held < trusted
+
+    def grams(i):
+        h = [hash_of(w) for w in re.findall(r"[^\x20\x09-\x0D]+", texts[i] or "")]
+        return len(h), [x % quality_rules.BUCKETS for x in h + [hash_of(b, hash_of(a)) for a, b in zip(h, h[1:])]]
+
+    raw, target = Counter(), Counter()
+    for i in texts:
+        raw.update(grams(i)[1])
+        if i in trusted - held:
+            target.update(grams(i)[1])
+    n_raw, n_target = (sum(c.values()) + quality_rules.BUCKETS for c in (raw, target))
+
+    def score(i):
+        n, own = grams(i)
+        logs = []
+        for b in own:
+            q = (raw[b] + 1) / n_raw
+            logs.append(float(f"{math.log((target[b] + quality_rules.BUCKETS * q) / n_target / q):.5f}"))
+        return sum(logs) / (2 * n - 1) if n else 0.0
+
+    at = np.quantile([score(i) for i in held if grams(i)[0] >= 50], 0.1)
+    got = {r["doc_id"]: r for r in rows(quality_rules.op2_quality_rules(frame(spark, [texts[i] for i in range(len(texts))]), labels))}
+    assert got.keys() == texts.keys()
+    for i, r in got.items():
+        assert r["score"] == pytest.approx(score(i), abs=1e-12)
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[i] or "")
+        windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+        again = {k + j for k in range(len(words) - 2) for j in range(3) if windows[tuple(words[k : k + 3])] > 1}
+        assert r["base_failed"] == (len(words) < 50 or 100 * len(again) > 50 * len(words))
+        assert abs(score(i) - at) < 1e-9 or r["kept"] == (not r["base_failed"] and score(i) >= at)
+    assert len({r["kept"] for r in got.values() if not r["base_failed"]}) == 2
+
+
 def test_quality_without_labels(spark, texts):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["kept"] != r["base_failed"] for r in rows(quality_rules.op2_quality_rules(frame(spark, texts), none)))
