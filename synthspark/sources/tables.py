@@ -1,10 +1,9 @@
-"""Table sources and sinks, YAML schemas, demo tables and generated ground truth."""
+"""Table sources and sinks, YAML schemas and generated ground truth."""
 
 from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,19 +20,6 @@ POSITION = "__position"
 _SPARK_TYPES = {"categorical": T.StringType(), "integer": T.LongType(), "float": T.DoubleType(), "string": T.StringType(), "date": T.StringType()}
 
 
-@dataclass
-class DataSource:
-    df: DataFrame
-    meta: dict | None
-    file_key: str
-    modality: str = "single_table"
-    demo_name: str | None = None
-
-    @property
-    def type_label(self) -> str:
-        return "longitudinal" if self.modality == "sequential" else "tabular"
-
-
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True, position: str | None = None) -> DataFrame:
     """Parquet by suffix, else CSV with a header; missing-value texts and NaN become null.
 
@@ -174,18 +160,6 @@ def primary_keys(schema: dict) -> list[str]:
     return [c for c, s in schema["columns"].items() if (s or {}).get("role") == "primary_key"]
 
 
-#: Demo tables by modality: tables of the data folder.
-DEMOS = {"single_table": ["customer", "lineitem", "orders", "part", "supplier"], "sequential": ["conversations", "events"]}
-
-
-def list_demos(modality: str) -> list[str]:
-    return DEMOS.get(modality, [])
-
-
-def load_demo(spark: SparkSession, folder: str, name: str, modality: str = "single_table") -> DataSource:
-    return DataSource(spark.read.parquet(f"{folder}/{name}.parquet"), None, name, modality, name)
-
-
 def ground_truth(spark: SparkSession, n: int = 300, seed: int = 42) -> DataFrame:
     """Students 1 to n over at most five years with two absorbing states; credits never fall."""
     return ground_truth_of(spark.range(1, n + 1), seed)

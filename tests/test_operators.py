@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from synthspark import cli
 from synthspark.operators import copula, distances, neighbours, privacy, profile, sequence_models, sequences
 from synthspark.plans import benchmarks, verdicts
-from synthspark.sources import tables
+from synthspark.sources import catalogue, tables
 
 
 @pytest.fixture(scope="module")
@@ -340,6 +341,41 @@ def test_csv_round_trip_and_cli(spark, numbers, tmp_path):
     assert cli.parse(["validate", "a", "b"]).real == "a"
 
 
+def test_sources_with_metadata(spark, tmp_path):
+    folder, listed = tmp_path / "data", str(tmp_path / "catalogue")
+    tables.ground_truth(spark, 40).coalesce(1).write.parquet(str(folder / "years.parquet"))
+    spark.createDataFrame([(i, "k", "2020-01-05") for i in range(90)], "id long, c string, d string").write.parquet(str(folder / "flat.parquet"))
+    catalogue.write_catalogue(spark, str(folder), listed)
+    assert catalogue.list_demos(spark, listed, "sequential") == ["years"] and catalogue.list_demos(spark, listed, "other") == []
+    assert catalogue.list_demos(spark, listed, "single_table") == ["flat", "years"]
+    flat, years = catalogue.load_demo(spark, listed, "flat"), catalogue.load_demo(spark, listed, "years", "sequential")
+    assert flat.meta == {"columns": {"id": {"sdtype": "id"}, "c": {"sdtype": "categorical"}, "d": {"sdtype": "datetime", "datetime_format": "%Y-%m-%d"}}}
+    assert (flat.df.columns, flat.df.count(), flat.type_label) == (["id", "c", "d"], 90, "tabular")
+    assert sequences.sequence_fields(years.modality, years.meta) == ("student_id", "jaar") and years.type_label == "longitudinal"
+    assert "sequence_key" not in catalogue.load_demo(spark, listed, "years").meta
+    with pytest.raises(ValueError):
+        catalogue.load_demo(spark, listed, "flat", "sequential")
+    catalogue.write_catalogue(spark, str(tmp_path), str(tmp_path / "none"))
+    assert catalogue.list_demos(spark, str(tmp_path / "none"), "single_table") == []
+    made = catalogue.load_ground_truth(spark, 40)
+    assert sequences.sequential_report(made.df, made.df, made.modality, made.meta).where("not ok").count() == 0
+
+
+def test_uploads_are_kept_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalogue, "CHUNK", 7)
+    csv = "a,d\n" + "".join(f'{i},"{i % 28 + 1:02d}-05-2021"\n' for i in range(30))
+    up = catalogue.load_upload(spark, "table.csv", csv.encode())
+    assert [tuple(r) for r in up.df.collect()] == [(i, f"{i % 28 + 1:02d}-05-2021") for i in range(30)]
+    assert up.meta["columns"] == {"a": {"sdtype": "id"}, "d": {"sdtype": "datetime", "datetime_format": "%d-%m-%Y"}}
+    assert catalogue.load_upload(spark, "other.csv", csv.encode()).file_key == up.file_key
+    folder = Path(catalogue.shared_folder(spark)) / "uploads"
+    assert [p.name for p in folder.glob(f"{up.file_key[:64]}*")] == [up.file_key]
+    assert catalogue.load_upload(spark, "other.csv", csv.encode() + b"30,\n").df.count() == 31
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "p"))
+    data = next((tmp_path / "p").glob("*.parquet")).read_bytes()
+    assert sorted(r.id for r in catalogue.load_upload(spark, "p.parquet", data).df.collect()) == [0, 1, 2, 3, 4]
+
+
 def test_yaml_schema(tmp_path):
     p = tmp_path / "s.yaml"
     p.write_text("name: t\ncolumns:\n  a: {dtype: integer, role: primary_key}\n  b: {dtype: date}\n  c: {dtype: odd, distribution: gaussian_kde}\n")
