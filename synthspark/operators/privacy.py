@@ -1,7 +1,7 @@
 """Distance to the closest record and nearest-neighbour ratio.
 
 The metric takes samples of at most ``CAP`` rows by definition, so its distances are
-a nested loop; ``nearest_records`` takes whole tables, by pivots. The features are
+a nested loop; ``nearest_records`` takes whole tables, by order or by pivots. The features are
 scaled numbers and categories whose squared distance is 0 if equal, 2 if not, and 1
 if the real table does not know the category.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_numeric, order_key, safe_ratio
-from .neighbours import nearest, square
+from .neighbours import SUBSETS, nearest, nearest_on_line, square
 from .profile import high_cardinality
 
 CAP, HOLDOUT = 2000, 5
@@ -87,10 +87,13 @@ def nearest_records(real: DataFrame, synth: DataFrame, id_col: str, numeric: lis
     used = [*numeric, *categorical]
     r, s = (df.select(id_col, *used).na.drop(subset=used) for df in (real, synth))
     limits = minmax(r, numeric).first().asDict() if numeric else {}
-    limits = {k: 0.0 if v is None else v for k, v in limits.items()}
+    limits = {k: float(k.startswith("range_")) if v is None else v for k, v in limits.items()}
     train = _features(r, numeric, categorical, id_col, "t_", limits).drop("t_id")
     asked = _features(with_unknown(s, r, categorical, broadcast=False), numeric, categorical, id_col, "", limits)
-    return nearest(asked.withColumn("src", F.lit("s")), train, len(numeric), len(categorical)).drop("src")
+    asked = asked.withColumn("src", F.lit("s"))
+    if len(numeric) == 1 and len(categorical) <= SUBSETS:
+        return nearest_on_line(asked, train, len(categorical)).drop("src")
+    return nearest(asked, train, len(numeric), len(categorical)).drop("src")
 
 
 def privacy_columns(real: DataFrame, synth: DataFrame, id_col: str | None = None, primary_key: str | None = None) -> tuple[list[str], list[str], list[str]]:

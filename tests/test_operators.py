@@ -293,6 +293,34 @@ def test_two_nearest_equal_brute_force(spark, monkeypatch):
     assert neighbours.nearest(asked, real([]), 2, 1).count() == 0 and neighbours.nearest(asked.limit(0), real(train), 2, 1).count() == 0
 
 
+def test_two_nearest_on_a_line_equal_brute_force(spark, monkeypatch):
+    """One number beside categories: no point is paired with more than its neighbours, over many blocks."""
+    rng = random.Random(6)
+    monkeypatch.setattr(neighbours, "LINE", 2)
+    monkeypatch.setattr(neighbours, "BLOCKS", 64)
+    real = [(i, round(rng.random() ** 3, 2), rng.choice("ab"), rng.choice("pq")) for i in range(300)] + [(300 + i, 0.5, "a", "p") for i in range(50)] + [(400, 30.0, "c", "p"), (401, 31.0, "c", "q")]
+    synth = [(i, round(rng.random() * 2 - 0.5, 2), rng.choice("abcz"), rng.choice("pqz")) for i in range(200)] + [(200, 0.5, "a", "p"), (201, -9.0, "b", "q"), (202, 40.0, "a", "q")] + [(300 + i, 7.0, "c", "z") for i in range(50)]
+    frame = lambda rows: spark.createDataFrame(rows, "id int, v double, a string, b string")
+    lo, width = min(r[1] for r in real), max(r[1] for r in real) - min(r[1] for r in real)
+    known = [{r[k] for r in real} for k in (2, 3)]
+
+    def check(n):
+        found = privacy.nearest_records(frame(real[:n]) if n else frame(real), frame(synth), "id", ["v"], ["a", "b"])
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() or n
+        return {r.id: (r.d1, r.d2) for r in found.collect()}
+
+    got = check(0)
+    assert len(got) == len(synth)
+    for i, v, a, b in synth:
+        free = (a not in known[0]) + (b not in known[1])
+        d = sorted(math.sqrt(((v - r[1]) / width) ** 2 + 2 * (a != r[2]) + 2 * (b != r[3]) - free) for r in real)
+        assert got[i] == pytest.approx(tuple(d[:2]), abs=1e-12)
+    one = check(1)
+    assert len(one) == len(synth) and all(d1 is not None and d2 is None for d1, d2 in one.values())
+    assert privacy.nearest_records(frame(real).limit(0), frame(synth), "id", ["v"], ["a", "b"]).count() == 0
+    assert privacy.nearest_records(frame(real), frame(synth).limit(0), "id", ["v"], ["a", "b"]).count() == 0
+
+
 def test_ladder_and_advice(spark):
     def label(scores):
         df = spark.createDataFrame([(f"c{i}", s, s < 0.2) for i, s in enumerate(scores)], "column string, score double, ok boolean")
