@@ -18,16 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.profile import quantiles_of
 from .common import text_slices, written
 
 ORDER = 4
 SPACE = 32
 #: Distinct 4-grams of all languages that are held in memory; where there are more, models are tables.
 MAX_GRAMS = 400_000
-#: Training documents of each language that calibrate rejection, about.
-CALIBRATION_DOCS = 2_000
 #: A document is rejected at so many standard deviations above the mean entropy, and not
-#: below ``MARGIN`` times what all but the last hundredth of the calibration documents show:
+#: below ``MARGIN`` times what all but the last hundredth of the training documents show:
 #: a few mislabelled ones among them do not open the door for others like them.
 REJECT_Z, MARGIN, QUANTILE = 8.0, 2.5, 0.99
 UNIFORM = 1.0 / 4096
@@ -237,42 +236,51 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
     return {lang: KneserNey(g["gram"].to_numpy().astype(np.uint64), g["n"].to_numpy()) for lang, g in sorted(n.toPandas().groupby("lang"))}
 
 
-def calibrate(docs: DataFrame, models: dict[str, KneserNey] | GramTables, id_col: str, lang_col: str, text_col: str) -> dict[str, tuple[float, float, float, float]]:
+def calibrate(docs: DataFrame, models: dict[str, KneserNey] | GramTables, lang_col: str, text_col: str) -> dict[str, tuple[float, float, float, float]]:
     """Mean entropy, variance of a character, variance of a long text, and the limit in deviations, by language.
 
-    They come from about ``CALIBRATION_DOCS`` training documents a language, by a hash of the id.
+    They come from every training document: sums by language, and exact quantiles
+    from blocked counts, so that no task and not the driver gathers the documents.
     """
     names = models.names if isinstance(models, GramTables) else list(models)
-    counts = {r[0]: r[1] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
-    share = F.lit(0.0)
-    for lang in names:
-        share = F.when(F.col(lang_col) == lang, CALIBRATION_DOCS / max(1, counts.get(lang, 1))).otherwise(share)
-    picked = docs.where(F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 20)) < share * (1 << 20))
+    texts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("__text")).where(F.col("lang").isin(names))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in text_slices(whole, 1)):
-            bits, n = entropies(batch.column(1).to_pylist(), list(models.values()))
-            own = np.array([names.index(x) if x in names else -1 for x in batch.column(0).to_pylist()], dtype=int)
-            ok = (n > 0) & (own >= 0)
-            h = bits[ok, own[ok]] / n[ok]
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in own[ok]], pa.string()), pa.array(h), pa.array(n[ok])], ["lang", "h", "n"])
+            langs, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lang in sorted(set(langs)):
+                bits, n = entropies([t if x == lang else None for x, t in zip(langs, own, strict=True)], [models[lang]])
+                ok = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * int(ok.sum()), pa.string()), pa.array(bits[ok, 0] / n[ok]), pa.array(n[ok])], ["lang", "h", "n"])
 
+    out = {lang: (4.0, 16.0, 0.25, REJECT_Z) for lang in names}
+    if not names:
+        return out
     if isinstance(models, GramTables):
-        texts = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("__text")).where(F.col("lang").isin(names))
         scored = texts.withColumn("__key", text_key(F.col("__text"))).join(models.entropies(texts), "__key")
         own_model = F.array_position(F.array(*(F.lit(x) for x in names)), F.col("lang")).cast("int")
-        rows = scored.select("lang", F.get("__h", own_model - 1).alias("h"), F.col("__n").alias("n")).toPandas()
+        rows = scored.select("lang", F.get("__h", own_model - 1).alias("h"), F.col("__n").alias("n"))
     else:
-        rows = picked.select(F.col(lang_col), F.col(text_col)).mapInArrow(measure, "lang string, h double, n double").toPandas()
-    out = {lang: (4.0, 16.0, 0.25, REJECT_Z) for lang in names}
-    for lang, g in rows.groupby("lang"):
-        mean = float((g.n * g.h).sum() / g.n.sum())
-        spread = float((g.n * (g.h - mean) ** 2).sum())
-        char, long = max(4.0, spread / len(g)), max(0.01, spread / float(g.n.sum()))
-        out[lang] = (mean, char, long, max(REJECT_Z, MARGIN * float(((g.h - mean) / np.sqrt(long + char / g.n)).quantile(QUANTILE))))
+        rows = texts.mapInArrow(measure, "lang string, h double, n double")
+    # Three figures a document, read three times.
+    rows = written(rows, "language-calibration")
+    means = {r["lang"]: r["mean"] for r in rows.groupBy("lang").agg((F.sum(F.col("n") * F.col("h")) / F.sum("n")).alias("mean")).collect()}
+    apart = F.col("h") - _of_language(means)
+    spreads = {r["lang"]: r for r in rows.groupBy("lang").agg(F.sum(F.col("n") * apart * apart).alias("spread"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).collect()}
+    char = {lang: max(4.0, r["spread"] / r["docs"]) for lang, r in spreads.items()}
+    long = {lang: max(0.01, r["spread"] / r["n"]) for lang, r in spreads.items()}
+    counts = rows.select(F.col("lang").alias("column"), (apart / F.sqrt(_of_language(long) + _of_language(char) / F.col("n"))).alias("value")).groupBy("column", "value").agg(F.count(F.lit(1)).alias("nr"), F.lit(0).cast("long").alias("ns"))
+    for r in quantiles_of(written(counts, "language-deviations"), [QUANTILE]).collect() if means else []:
+        lang = r["column"]
+        out[lang] = (means[lang], char[lang], long[lang], max(REJECT_Z, MARGIN * r["value"]))
     return out
 
 
+def _of_language(found: dict[str, float]) -> Column:
+    """The figure of the row's ``lang``."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in found.items() for x in pair)), F.col("lang")) if found else F.lit(None).cast("double")
+
+
 def identify(docs: DataFrame, models: dict[str, KneserNey] | GramTables, limits: dict[str, tuple[float, float, float, float]], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``), then ``__lang``, ``__score``, ``__entropy``, ``__rejected``.
 
@@ -334,7 +342,7 @@ def learned(docs: DataFrame) -> tuple[dict | GramTables, dict]:
     """Models and limits from the documents that are not held out."""
     own = docs.select("doc_id", "lang", "text").where(~F.coalesce(held_out(), F.lit(False)))
     models = train(own)
-    return models, calibrate(own, models, "doc_id", "lang", "text")
+    return models, calibrate(own, models, "lang", "text")
 
 
 def op8_language_id(docs: DataFrame) -> DataFrame:

@@ -527,6 +527,22 @@ def test_language_id_rejects_beside_mislabelled(spark):
     assert got[900]["__rejected"] and all(r["__text"] == "clash" for r in got.values())
 
 
+def test_language_id_calibrates_on_all_documents(spark):
+    rng = random.Random(9)
+    words = {"en": ["the", "and", "thing", "with", "hand"], "ru": ["не", "дом", "река", "что"]}
+    docs = [(i, " ".join(rng.choice(words[x]) for _ in range(rng.randint(1, 9))), x) for i in range(5400) for x in [["en", "ru"][i % 2]]]
+    df = spark.createDataFrame([*docs, (9000, None, "en"), (9001, "12 !", "ru"), (9002, "abc", None)], "doc_id long, text string, lang string")
+    models, limits = language_id.learned(df)
+    for lang in words:
+        bits, n = language_id.entropies([t for i, t, x in docs if x == lang and zlib.crc32(str(i).encode()) % 4 != 2], [models[lang]])
+        h = bits[:, 0] / n
+        mean = (n * h).sum() / n.sum()
+        spread = (n * (h - mean) ** 2).sum()
+        char, long = max(4.0, spread / len(n)), max(0.01, spread / n.sum())
+        far = np.quantile((h - mean) / np.sqrt(long + char / n), language_id.QUANTILE)
+        assert limits[lang] == pytest.approx((mean, char, long, max(language_id.REJECT_Z, language_id.MARGIN * far)), rel=1e-9)
+
+
 def test_language_id_keeps_all_grams(spark, monkeypatch):
     """Too many grams for memory: the models are tables, of all grams, with the same results."""
     rng = random.Random(8)
