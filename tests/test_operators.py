@@ -321,6 +321,14 @@ def test_two_nearest_on_a_line_equal_brute_force(spark, monkeypatch):
     assert privacy.nearest_records(frame(real), frame(synth).limit(0), "id", ["v"], ["a", "b"]).count() == 0
 
 
+def test_one_hot_distances_are_dealt_to_tasks(spark):
+    """A table of one partition meets the points in many tasks."""
+    df = spark.createDataFrame([(i, "abc"[i % 3], "xy"[i % 2]) for i in range(200)], "id int, a string, b string").coalesce(1)
+    out = privacy.one_hot_distances(df.where("id < 3"), df.where("id >= 3"), ["a", "b"], df, "id")
+    per = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(per) == 3 * 197 and len(per) >= 8 and max(per) < 100
+
+
 def test_ladder_and_advice(spark):
     def label(scores):
         df = spark.createDataFrame([(f"c{i}", s, s < 0.2) for i, s in enumerate(scores)], "column string, score double, ok boolean")
