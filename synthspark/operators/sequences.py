@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_numeric, is_position
 from .distances import SCORE_OK, both, counted, numeric_distances
 
+#: Rows that a partition of whole sequences holds, about.
+PART_ROWS = 250_000
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows with a key, dealt by it to partitions of about ``PART_ROWS`` rows, so that the memory of a task does not grow with the table.
+
+    It counts ``df``, so it is for tables and what is kept. Groupings by the key,
+    or by it and others, need no shuffle after it.
+    """
+    own = df.where(F.col(key).isNotNull())
+    return own.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(own.count() / PART_ROWS)), key)
+
 
 def in_order(key: str, index: str, tie: str | None = None):
     """Window of a sequence: by index, nulls last, then by a tie-breaking column."""

@@ -448,7 +448,7 @@ _LEVELS = [1, 2, 3, 4, 5, 6, 7]
 
 @query("to_wide", "select l_orderkey, " + ", ".join(f"max(l_quantity) filter (where l_linenumber = {i}) as l_quantity__t{i}, max(l_returnflag) filter (where l_linenumber = {i}) as l_returnflag__t{i}" for i in _LEVELS) + ", count(*) as __seq_len__ from (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity, max(l_returnflag) as l_returnflag from lineitem group by 1, 2) group by 1")
 def to_wide(spark, d):
-    df = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_returnflag").alias("l_returnflag"))
+    df = sequences.dealt(load(spark, d, "lineitem"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_returnflag").alias("l_returnflag"))
     return sequences.to_wide(df, "l_orderkey", "l_linenumber", ["l_quantity", "l_returnflag"], _LEVELS)
 
 
@@ -457,7 +457,7 @@ _STEPS = "with g as (select l_orderkey, l_linenumber, max(l_quantity) as q from
 
 @query("wide_to_long", _STEPS + " select l_orderkey, i::int as pos, q as l_quantity from (select l_orderkey, unnest(range(1, least(n, 7) + 1)) as i from k) left join g using (l_orderkey) where l_linenumber = i or l_linenumber is null union all select x.l_orderkey, x.i::int, null from (select l_orderkey, unnest(range(1, least(n, 7) + 1)) as i from k) x where not exists (select 1 from g where g.l_orderkey = x.l_orderkey and g.l_linenumber = x.i)")
 def wide_to_long(spark, d):
-    df = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    df = sequences.dealt(load(spark, d, "lineitem"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
     wide = sequences.to_wide(df, "l_orderkey", "l_linenumber", ["l_quantity"], _LEVELS)
     return sequences.to_long(wide, "l_orderkey", ["l_quantity"], len(_LEVELS), F.col("__seq_len__"))
 

@@ -205,6 +205,17 @@ def test_last_row_of_a_level_wins(spark):
     assert (r["v__t1"], r["v__t2"], r["__seq_len__"]) == ("b", "c", 4)
 
 
+def test_sequences_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    """Partitions follow the rows, and grouping by the key and by more needs no other shuffle."""
+    monkeypatch.setattr(sequences, "PART_ROWS", 50)
+    df = spark.createDataFrame([(i // 3, i % 3, str(i)) for i in range(900)] + [(None, 1, "x")], "k long, t int, v string")
+    own = sequences.dealt(df, "k")
+    assert own.rdd.getNumPartitions() == 18 and own.count() == 900
+    wide = sequences.to_wide(own.groupBy("k", "t").agg(F.max("v").alias("v")), "k", "t", ["v"], [0, 1, 2])
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(map(tuple, wide.collect())) == [(k, *(str(3 * k + j) for j in range(3)), 3) for k in range(300)]
+
+
 def test_privacy_picks_columns_and_says_why(spark, numbers):
     named = numbers.withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string"))).withColumn("pk", F.col("id"))
     copies = named.withColumn("id", F.col("id") + 1000)
