@@ -32,6 +32,17 @@ class SequenceModel:
 
 def fit_sequences(df: DataFrame, key: str, index: str, seed: int = 42, tie: str | None = None) -> SequenceModel:
     """Fit one row a sequence; refuses tables too small for their number of steps and features."""
+    kept = df.storageLevel.useMemory or df.storageLevel.useDisk
+    rows = df if kept else df.persist()
+    try:
+        return _fitted(rows, key, index, seed, tie)
+    finally:
+        if not kept:
+            rows.unpersist()
+
+
+def _fitted(df: DataFrame, key: str, index: str, seed: int, tie: str | None) -> SequenceModel:
+    """The model of rows that are kept, for they are read for each of its parts."""
     features = [c for c in df.columns if c not in (key, index) and not is_position(df.schema[c].dataType)]
     levels = sorted(r[0] for r in df.where(F.col(index).isNotNull()).select(index).distinct().limit(MOST_LEVELS + 1).collect())
     entities = df.select(F.count_distinct(key)).first()[0]

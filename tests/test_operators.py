@@ -134,6 +134,13 @@ def test_sequence_columns_and_models(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_sequence_fit_makes_its_rows_once(spark):
+    truth, made = tables.ground_truth(spark, 60), spark.sparkContext.accumulator(0)
+    df = truth.withColumn("ec", F.udf(lambda x: (made.add(1), x)[1], "double")("ec"))
+    sequence_models.fit_sequences(df, "student_id", "jaar")
+    assert made.value == truth.count() and not df.storageLevel.useMemory
+
+
 def test_sequences_too_small(spark):
     df = spark.createDataFrame([(i, j, 1, 2, 3, 4) for i in range(3) for j in range(3)], "id long, jaar long, a long, b long, c long, d long")
     with pytest.raises(ValueError):
