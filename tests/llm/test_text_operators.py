@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import types as T
@@ -100,6 +101,28 @@ def test_jaccard_rows_of_one_id(spark):
     assert kept == sorted([("1", base), ("2", other), ("2", other), ("None", base), ("None", "alone")])
 
 
+def test_shingles_of_all_words_at_once(monkeypatch):
+    """Short words are hashed together, long ones alone; equal sets of shingles and no others have equal hashes."""
+    called = []
+    digest = jaccard_join.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(jaccard_join.xxhash, "xxh3_64_intdigest", lambda w: called.append(w) or digest(w))
+    rng = random.Random(5)
+    parts = ["a", "B", "\u00e9", " ", "  ", "\t", "\n", "\x0b", "\r", "\x1c", "\u00a0", "\x00", "w" * 8, "v" * 9, "u" * 17, "\u65e5"]
+    texts = [None, "", " \n", "One two", "ONE  two\t", "x" * 200 + " Y", *("".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(400))]
+    wanted = []
+    for t in texts:
+        w = SPACES.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        wanted.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    for found in (jaccard_join.shingle_sets(pa.array(texts)), jaccard_join.shingle_sets(pa.array(["before it", *texts, "after"], pa.large_string()).slice(1, len(texts)))):
+        assert [len(s) for s in found] == [len(s) for s in wanted]
+        assert all((np.diff(s.view(np.uint64)) > 0).all() for s in found)
+        assert len({s.tobytes() for s in found}) == len({frozenset(s) for s in wanted}) == len({(a.tobytes(), frozenset(b)) for a, b in zip(found, wanted, strict=True)})
+        assert len(set(np.concatenate(found).tolist())) == len(set().union(*wanted))
+    called.clear()
+    (one,) = jaccard_join.shingle_sets(pa.array([" ".join(f"word{i}" for i in range(5000)) + " " + "z" * 65]))
+    assert len(one) == 4997 and called == [b"z" * 65]
+
+
 @pytest.mark.parametrize("small", [2, 3, 256])
 def test_jaccard_families_without_a_centre(spark, monkeypatch, small):
     """Trees of edited copies, cut texts and a chain: not all members link to the first pivot."""
