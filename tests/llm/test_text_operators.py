@@ -123,6 +123,18 @@ def test_shingles_of_all_words_at_once(monkeypatch):
     assert len(one) == 4997 and called == [b"z" * 65]
 
 
+def test_texts_are_not_shuffled_for_few_copies(spark):
+    docs = frame(spark, [f"one two three four five {i % 6}" for i in range(12)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = jaccard_join.first_of_each(docs)
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(6))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("small", [2, 3, 256])
 def test_jaccard_families_without_a_centre(spark, monkeypatch, small):
     """Trees of edited copies, cut texts and a chain: not all members link to the first pivot."""
