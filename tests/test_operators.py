@@ -347,6 +347,16 @@ def test_one_hot_distances_are_dealt_to_tasks(spark):
     assert sum(per) == 3 * 197 and len(per) >= 8 and max(per) < 100
 
 
+def test_one_hot_distances_come_in_runs(spark):
+    """Rows of one point stand together, so that written files are small; null ids stay."""
+    rows = [(i, "abc"[i % 3], "xy"[i % 2]) for i in range(400)] + [(None, "a", "y")]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    out = privacy.one_hot_distances(df.where("id < 50"), df.where("id >= 50 or id is null"), ["a", "b"], df.where("a <> 'c'"), "id").collect()
+    wanted = [(i, j, 2.0 * ((a != x) + (b != y)) - (a == "c")) for i, a, b in rows[:50] for j, x, y in rows[50:]]
+    assert sorted((r.id, r.other_id or -1, r.square) for r in out) == sorted((i, j or -1, s) for i, j, s in wanted)
+    assert sum(x.id != y.id for x, y in zip(out, out[1:], strict=False)) < len(out) / 4
+
+
 def test_ladder_and_advice(spark):
     def label(scores):
         df = spark.createDataFrame([(f"c{i}", s, s < 0.2) for i, s in enumerate(scores)], "column string, score double, ok boolean")
